@@ -26,6 +26,16 @@ FILE = ["url", "filename", "language_pair", "category", "description", "pos"]
 
 ColumnRule = Callable[[], Column]
 
+# anchors(page_url, pos, href), or what finds them at given addresses(page_url)
+AnchorSource = DataFrame | Callable[[DataFrame], DataFrame]
+
+# writes an intermediate table under a name and reads it back, or leaves it lazy
+Store = Callable[[DataFrame, str], DataFrame]
+
+
+def unstored(df: DataFrame, name: str) -> DataFrame:
+    return df
+
 
 @dataclass(frozen=True)
 class Family:
@@ -184,10 +194,18 @@ def _is_kept(families) -> Column:
     return any_of([(F.col("family") == f.prefix) & f.keep() for f in families])
 
 
-def link_index(selectors: DataFrame, anchors: DataFrame) -> DataFrame:
+def anchors_at(source: AnchorSource, addresses: DataFrame) -> DataFrame:
+    """Anchors for a step: the whole table, or what the source finds at the addresses."""
+    if callable(source):
+        return source(addresses.select("page_url").distinct())
+    return source
+
+
+def link_index(selectors: DataFrame, source: AnchorSource) -> DataFrame:
     """First hop: selectors with the anchors of their index page."""
-    pages = anchors.select(F.col("page_url").alias("index_url"), "pos", "href")
-    return selectors.join(pages, "index_url").where(F.col("href") != "")
+    asked = selectors.withColumnRenamed("index_url", "page_url")
+    links = asked.join(anchors_at(source, asked), "page_url").where(F.col("href") != "")
+    return links.withColumnRenamed("page_url", "index_url")
 
 
 def page_files(links: DataFrame, families: Families) -> DataFrame:
@@ -227,13 +245,13 @@ def category_pages(links: DataFrame, families: Families) -> DataFrame:
     )
 
 
-def category_files(categories: DataFrame, anchors: DataFrame, families: Families) -> DataFrame:
+def category_files(categories: DataFrame, source: AnchorSource, families: Families) -> DataFrame:
     """Second hop: files on category pages. A page that is not there drops only
     its own category."""
     kinds = families.of_kind(DirectoryFamily)
     is_file = any_of([(F.col("family") == f.prefix) & f.is_file() for f in kinds])
     return (
-        categories.drop("pos").join(anchors, "page_url").where(F.col("href") != "").where(is_file)
+        categories.drop("pos").join(anchors_at(source, categories), "page_url").where(F.col("href") != "").where(is_file)
         .select(
             *SELECTOR,
             F.concat(strip_slashes(F.col("page_url")), F.lit("/"), F.col("href")).alias("url"),
@@ -264,14 +282,20 @@ def fixed_files(selectors: DataFrame, families: Families) -> DataFrame:
     )
 
 
-def family_files(selectors: DataFrame, anchors: DataFrame, families: Families) -> DataFrame:
-    """Every selector's files: SELECTOR + FILE columns, all families together."""
-    links = link_index(selectors, anchors)
+def family_files(selectors: DataFrame, source: AnchorSource, families: Families,
+                 store: Store = unstored) -> DataFrame:
+    """Every selector's files: SELECTOR + FILE columns, all families together.
+
+    With a `store` that writes, the anchors are read once per hop; left lazy, the
+    first hop is planned once for page families and once for category families.
+    """
+    links = store(link_index(selectors, source), "links")
     parts = []
     if families.of_kind(PageFamily):
         parts.append(page_files(links, families))
     if families.of_kind(DirectoryFamily):
-        parts.append(category_files(category_pages(links, families), anchors, families))
+        categories = store(category_pages(links, families), "categories")
+        parts.append(category_files(categories, source, families))
     if families.of_kind(FixedFamily):
         parts.append(fixed_files(selectors, families))
     for family in families.of_kind(TableFamily):

@@ -3,9 +3,10 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusplan import known
+from corpusplan.functions.shape import settle
 from corpusplan.functions.skew import mark_alone, spread_lookup
 from corpusplan.functions.text import default_filename, join_path, nonempty, subdirectory
-from corpusplan.operators.families import SELECTOR, Families, family_files
+from corpusplan.operators.families import SELECTOR, AnchorSource, Families, Store, family_files, unstored
 
 def _per_family(families: Families, rule) -> Column:
     """CASE over the first prefix the id starts with."""
@@ -15,25 +16,30 @@ def _per_family(families: Families, rule) -> Column:
     return choice
 
 
-def _with_facts(requests: DataFrame, families: Families) -> DataFrame:
-    digits = nonempty(F.regexp_extract("dataset_id", r"([0-9]+)\z", 1))
+def _resolution(families: Families) -> dict[str, Column]:
+    """family, version and index_url over the columns dataset_id and _facts."""
     fact = F.col("_facts")
+    digits = nonempty(F.regexp_extract("dataset_id", r"([0-9]+)\z", 1))
     version = F.when(fact["fixed_version"], fact["default_version"]).otherwise(
         F.coalesce(F.concat(fact["version_tag"], digits), fact["default_version"]))
-    return (
-        requests.withColumn("_facts", _per_family(families, lambda f: f.facts()))
-        .withColumns({"family": fact["family"], "version": version})
-        .withColumn("index_url", F.concat(fact["head"], "version", fact["tail"]))
-    )
+    return {
+        "family": fact["family"], "version": version,
+        "index_url": F.concat(fact["head"], version, fact["tail"]),
+    }
+
+
+def _with_facts(requests: DataFrame, families: Families) -> DataFrame:
+    return requests.withColumn("_facts", _per_family(families, lambda f: f.facts()))
 
 
 def resolve(requests: DataFrame, families: Families) -> DataFrame:
     """Add family, version and index_url; all NULL where no family matches."""
-    return _with_facts(requests, families).drop("_facts")
+    return settle(_with_facts(requests, families), _resolution(families)).drop("_facts")
 
 
 def with_selector(requests: DataFrame, families: Families) -> DataFrame:
-    """Add the question each request asks of its family, as plain join keys.
+    """Add family, version, index_url and the question each request asks of its
+    family, as plain join keys.
 
     Fields a family does not look at are blanked, so that however many requests
     ask the same thing, its files are worked out once.
@@ -45,15 +51,12 @@ def with_selector(requests: DataFrame, families: Families) -> DataFrame:
         asked = _per_family(optional, lambda f: F.to_json(
             F.struct(*[F.col("extra").getItem(o).alias(o) for o in f.extra_options()])))
         extra = F.when(fact["family"].isin([f.prefix for f in optional]), asked).otherwise(empty)
-    return (
-        _with_facts(requests, families)
-        .withColumns({
-            "want_pair": F.when(fact["uses_pair"], F.coalesce("language_pair", empty)).otherwise(empty),
-            "want_category": F.when(fact["uses_category"], F.coalesce("category", empty)).otherwise(empty),
-            "want_extra": extra,
-        })
-        .drop("_facts")
-    )
+    wanted = {
+        "want_pair": F.when(fact["uses_pair"], F.coalesce("language_pair", empty)).otherwise(empty),
+        "want_category": F.when(fact["uses_category"], F.coalesce("category", empty)).otherwise(empty),
+        "want_extra": extra,
+    }
+    return settle(_with_facts(requests, families), _resolution(families) | wanted).drop("_facts")
 
 
 def selectors_of(requests: DataFrame) -> DataFrame:
@@ -61,46 +64,58 @@ def selectors_of(requests: DataFrame) -> DataFrame:
     return requests.where(F.col("family").isNotNull()).select(*SELECTOR, "index_url").distinct()
 
 
-def match_files(requests: DataFrame, anchors: DataFrame, families: Families,
-                mark_single: bool = False) -> DataFrame:
-    """One row per request and file it asks for.
+def answer(requests: DataFrame, source: AnchorSource, families: Families,
+           store: Store = unstored) -> tuple[DataFrame, DataFrame]:
+    """(requests with their selector, files per selector).
 
-    The pair and category tests run once per distinct selector; what is left is an
-    equi-join. With `mark_single` a boolean `single` tells whether the file is its
-    request's only one; it is settled per selector, before the join.
+    The pair and category tests run once per distinct selector, whatever the number
+    of requests.
     """
-    asked = with_selector(requests, families)
-    files = family_files(selectors_of(asked), anchors, families)
-    if mark_single:
-        files = mark_alone(files, SELECTOR, "single", spread=["url", "pos"])
-    request_side = asked.select("req_id", "dataset_id", "target_dir", "has_target_dir", *SELECTOR)
-    return request_side.join(files, SELECTOR)
+    asked = store(with_selector(requests, families), "asked")
+    selectors = store(selectors_of(asked), "selectors")
+    return asked, store(family_files(selectors, source, families, store), "files")
 
 
-def plan_batch(requests: DataFrame, anchors: DataFrame, families: Families,
-               parent_dir: str = known.DEFAULT_PARENT) -> DataFrame:
+def match_files(asked: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per request and file it asks for; an equi-join."""
+    return asked.select("req_id", "dataset_id", "target_dir", "has_target_dir", *SELECTOR).join(files, SELECTOR)
+
+
+def lay_out_batch(asked: DataFrame, files: DataFrame, parent_dir: str = known.DEFAULT_PARENT) -> DataFrame:
     """Files of a batch with their output paths.
 
     A request without a target directory uses its dataset id; one whose target
     directory is there but empty follows the layout rule.
     """
     override = F.when(F.col("has_target_dir"), F.col("target_dir")).otherwise(F.col("dataset_id"))
-    matched = match_files(requests, anchors, families)
     place = subdirectory(override, F.col("category"), F.col("language_pair"), F.col("filename"))
-    return _planned(matched, join_path(F.lit(parent_dir), place))
+    return _planned(match_files(asked, files), join_path(F.lit(parent_dir), place))
 
 
-def plan_single(requests: DataFrame, anchors: DataFrame, families: Families,
-                parent_dir: str = known.DEFAULT_PARENT) -> DataFrame:
+def lay_out_single(asked: DataFrame, files: DataFrame, parent_dir: str = known.DEFAULT_PARENT) -> DataFrame:
     """Files of stand-alone requests with their output paths.
 
     The target directory is the parent here. A request with exactly one file puts
-    it there directly, one with more follows the layout rule.
+    it there directly, one with more follows the layout rule. Which case holds is
+    settled per selector, before the join.
     """
-    matched = match_files(requests, anchors, families, mark_single=True)
+    marked = mark_alone(files, SELECTOR, "single", spread=["url", "pos"])
     parent = F.coalesce(nonempty(F.col("target_dir")), F.lit(parent_dir))
     place = subdirectory(F.lit(None).cast("string"), F.col("category"), F.col("language_pair"), F.col("filename"))
-    return _planned(matched, F.when(F.col("single"), parent).otherwise(join_path(parent, place)))
+    return _planned(
+        match_files(asked, marked), F.when(F.col("single"), parent).otherwise(join_path(parent, place)))
+
+
+def plan_batch(requests: DataFrame, source: AnchorSource, families: Families,
+               parent_dir: str = known.DEFAULT_PARENT) -> DataFrame:
+    """Requests and anchors to planned files, as one lazy plan."""
+    return lay_out_batch(*answer(requests, source, families), parent_dir)
+
+
+def plan_single(requests: DataFrame, source: AnchorSource, families: Families,
+                parent_dir: str = known.DEFAULT_PARENT) -> DataFrame:
+    """As `plan_batch` for stand-alone requests."""
+    return lay_out_single(*answer(requests, source, families), parent_dir)
 
 
 def _planned(matched: DataFrame, directory: Column) -> DataFrame:
@@ -111,10 +126,9 @@ def _planned(matched: DataFrame, directory: Column) -> DataFrame:
     )
 
 
-def missing_requests(requests: DataFrame, anchors: DataFrame, families: Families) -> DataFrame:
+def unanswered(asked: DataFrame, files: DataFrame) -> DataFrame:
     """Requests that lead to no file, unresolvable ids included."""
-    asked = with_selector(requests, families)
-    answered = family_files(selectors_of(asked), anchors, families).select(*SELECTOR).distinct()
+    answered = files.select(*SELECTOR).distinct()
     missing = spread_lookup(asked, answered, SELECTOR, "left_anti", spread=["req_id"])
     return missing.select("req_id", "dataset_id", "language_pair", "category", "family", "version")
 

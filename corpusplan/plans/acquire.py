@@ -9,12 +9,10 @@ from corpusplan import known
 from corpusplan.functions.archive import archive_kind
 from corpusplan.operators.anchors import extract_anchors, pages_at
 from corpusplan.operators.collisions import collisions, first_per_path
-from corpusplan.operators.families import (
-    DirectoryFamily, Families, category_pages, link_index, standard_families,
-)
+from corpusplan.operators.families import AnchorSource, Families, Store, standard_families
 from corpusplan.operators.landing import attribute, fetch_status
 from corpusplan.operators.requests import (
-    missing_requests, plan_batch, plan_single, require_files, require_known, selectors_of, with_selector,
+    answer, lay_out_batch, lay_out_single, plan_batch, plan_single, require_files, require_known, unanswered,
 )
 from corpusplan.session import shared_dir
 from corpusplan.sources.archives import tar_lines
@@ -50,26 +48,24 @@ class Run:
         return tar_lines(tars.select(F.col("output_path").alias("path")), tasks)
 
 
-def needed_anchors(requests: DataFrame, pages: DataFrame, families: Families) -> DataFrame:
-    """Anchors of just the pages the requests lead to: their index pages, then the
-    category pages found there. No other page is parsed."""
-    selectors = selectors_of(with_selector(requests, families))
-    index = selectors.select(F.col("index_url").alias("page_url")).distinct()
-    anchors = extract_anchors(pages_at(pages, index))
-    if not families.of_kind(DirectoryFamily):
-        return anchors
-    further = category_pages(link_index(selectors, anchors), families).select("page_url").distinct()
-    category_anchors = extract_anchors(pages_at(pages, further.join(index, "page_url", "left_anti")))
-    return anchors.unionByName(category_anchors)
+def page_links(pages: DataFrame) -> AnchorSource:
+    """Anchors straight from page texts: at each hop only the pages asked for are
+    picked and parsed."""
+    return lambda addresses: extract_anchors(pages_at(pages, addresses))
 
 
 def plan_from_pages(requests: DataFrame, pages: DataFrame, families: Families | None = None,
                     single: bool = False, parent_dir: str = known.DEFAULT_PARENT) -> DataFrame:
     """Planned files straight from page texts, as one lazy plan."""
-    families = families or standard_families()
-    anchors = needed_anchors(requests, pages, families)
     planner = plan_single if single else plan_batch
-    return planner(requests, anchors, families, parent_dir)
+    return planner(requests, page_links(pages), families or standard_families(), parent_dir)
+
+
+def _store_in(folder: str) -> Store:
+    def store(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    return store
 
 
 def _copy_rows(batches, ts):
@@ -90,7 +86,7 @@ def _copy_rows(batches, ts):
         yield done[[c.split()[0] for c in _OUTCOME.split(", ")]]
 
 
-def land(spark: SparkSession, kept: DataFrame, mirror_dir: str, parent_dir: str, folder: str,
+def land(spark: SparkSession, kept: DataFrame, mirror_dir: str, parent_dir: str, store: Store,
          force: bool = False, tasks: int | None = None) -> DataFrame:
     """Copy the planned objects of a mirror to their output paths.
 
@@ -99,9 +95,8 @@ def land(spark: SparkSession, kept: DataFrame, mirror_dir: str, parent_dir: str,
     copies again.
     """
     ts = int(spark.sql("select unix_timestamp() as t").first().t)
-    status = fetch_status(kept, existing_paths(spark, parent_dir), mirror_objects(spark, mirror_dir), force)
-    status.write.parquet(f"{folder}/status")
-    status = spark.read.parquet(f"{folder}/status")
+    status = store(
+        fetch_status(kept, existing_paths(spark, parent_dir), mirror_objects(spark, mirror_dir), force), "status")
     columns = ["req_id", "dataset_id", "url", "filename", "target_dir", "output_path"]
     to_copy = status.where("status = 'landed'")
     if tasks is None:
@@ -109,34 +104,31 @@ def land(spark: SparkSession, kept: DataFrame, mirror_dir: str, parent_dir: str,
         tasks = max(spark.sparkContext.defaultParallelism, -(-size // _TASK_BYTES))
     copied = to_copy.select(*columns, "src_path").repartition(tasks).mapInPandas(
         partial(_copy_rows, ts=ts), _OUTCOME)
+    nothing = F.lit(None).cast("bigint")
     rest = status.where("status <> 'landed'").select(
-        *columns, "status", "error", F.lit(None).cast("bigint").alias("length"),
-        F.lit(None).cast("bigint").alias("ts"))
-    copied.unionByName(rest).write.parquet(f"{folder}/outcomes")
-    return spark.read.parquet(f"{folder}/outcomes")
+        *columns, "status", "error", nothing.alias("length"), nothing.alias("ts"))
+    return store(copied.unionByName(rest), "outcomes")
 
 
-def acquire(requests: DataFrame, anchors: DataFrame, mirror_dir: str, parent_dir: str,
+def acquire(requests: DataFrame, source: AnchorSource, mirror_dir: str, parent_dir: str,
             ledger_dir: str | None = None, families: Families | None = None, single: bool = False,
             force: bool = False, tasks: int | None = None) -> Run:
     """Plan, land and record a batch (or stand-alone requests with `single`).
 
     Unknown ids and a batch without any file raise. Every step is written to a
-    folder under the cluster's shared scratch folder and read back, so a lost
-    executor repeats one step at most.
+    folder under the cluster's shared scratch folder and read back: anchors are read
+    once per hop, and a lost executor repeats one step at most.
     """
     spark = requests.sparkSession
     families = families or standard_families()
     folder = shared_dir(spark, "run")
+    store = _store_in(folder)
     parent_dir = qualified(spark, parent_dir)
     require_known(requests, families)
-    planner = plan_single if single else plan_batch
-    planner(requests, anchors, families, parent_dir).write.parquet(f"{folder}/plan")
-    plan = require_files(spark.read.parquet(f"{folder}/plan"))
-    outcomes = land(spark, first_per_path(plan), mirror_dir, parent_dir, folder, force, tasks)
+    asked, files = answer(requests, source, families, store)
+    lay_out = lay_out_single if single else lay_out_batch
+    plan = require_files(store(lay_out(asked, files, parent_dir), "plan"))
+    outcomes = land(spark, first_per_path(plan), mirror_dir, parent_dir, store, force, tasks)
     if ledger_dir:
         append_batch(ledger_entries(outcomes), ledger_dir, folder.rsplit("/", 1)[-1])
-    return Run(
-        folder, plan, collisions(plan), missing_requests(requests, anchors, families),
-        outcomes, attribute(plan, outcomes),
-    )
+    return Run(folder, plan, collisions(plan), unanswered(asked, files), outcomes, attribute(plan, outcomes))

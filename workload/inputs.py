@@ -7,8 +7,12 @@ datasets grows with the table while each index page keeps its size. The row
 expressions are plain SQL that Spark and DuckDB read alike.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusplan.functions.shape import settle
+
 VERSION = "CAST(substr(source, 4) AS BIGINT) + 20 * CAST(floor(doc_id / 1000.0) AS BIGINT)"
 KIND = "CAST(floor(doc_id / 20.0) AS BIGINT) % 10"
 ASK = "CAST(floor(doc_id / 7.0) AS BIGINT) % 8"
@@ -61,28 +65,29 @@ CATALOGUE_ID = """CASE k % 5 WHEN 0 THEN 'europarl-v7' WHEN 1 THEN 'news-comment
 CATEGORY_FILES = [".tgz", ".tar.gz", ".gz", ".zip", ".txt"]
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _aliased(columns: dict[str, str]) -> list[str]:
-    return [f"{sql} AS {name}" for name, sql in columns.items()]
+def _derived(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return settle(df, {name: F.expr(sql) for name, sql in columns.items()})
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns all inputs are worked out from; texts are not read."""
-    return table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "lang", f"{VERSION} AS v", f"{KIND} AS k", f"{ASK} AS m")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return _derived(documents, {"v": VERSION, "k": KIND, "m": ASK}).drop("source")
 
 
 def index_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds(spark, sf_dir).selectExpr(*_aliased(ANCHOR))
+    return _derived(seeds(spark, sf_dir), ANCHOR).select(*ANCHOR)
 
 
 def category_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five files on the page behind every WMT link; some `test/` pages cannot be read."""
     pages = (
-        seeds(spark, sf_dir).where("v % 3 = 2").selectExpr("v", *_aliased(ANCHOR))
+        _derived(seeds(spark, sf_dir).where("v % 3 = 2"), ANCHOR)
         .where("href <> ''").where("NOT (href = 'test/' AND v % 5 = 0)")
         .select("v", "page_url", "href").distinct()
     )
@@ -107,7 +112,7 @@ def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds(spark, sf_dir).selectExpr(*_aliased(REQUEST))
+    return _derived(seeds(spark, sf_dir), REQUEST).select(*REQUEST)
 
 
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,5 +123,5 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seeds(spark, sf_dir).selectExpr("v", "k", "lang", *_aliased(ANCHOR))
+    rows = _derived(seeds(spark, sf_dir), ANCHOR)
     return rows.where(EXISTING["wanted"]).selectExpr(f"{EXISTING['output_path']} AS output_path").distinct()

@@ -71,8 +71,12 @@ def candidates(spark, sf_dir):
     return files.select("family", "version", *fam.FILE)
 
 
+def _answer(spark, sf_dir):
+    return req.answer(inputs.requests(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD)
+
+
 def request_files(spark, sf_dir):
-    matched = req.match_files(inputs.requests(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD)
+    matched = req.match_files(*_answer(spark, sf_dir))
     return matched.select("req_id", "dataset_id", "family", "version", *fam.FILE)
 
 
@@ -102,7 +106,7 @@ def path_conflicts(spark, sf_dir):
 
 
 def missing_requests(spark, sf_dir):
-    return req.missing_requests(inputs.requests(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD)
+    return req.unanswered(*_answer(spark, sf_dir))
 
 
 def batch_summary(spark, sf_dir):
@@ -206,7 +210,7 @@ def rule_extension(spark, sf_dir):
         F.lit(False).alias("has_target_dir"),
         F.create_map(F.lit("suffix"), F.when(F.expr("m < 4"), ".html").otherwise("/")).alias("extra"),
     )
-    matched = req.match_files(asked, inputs.index_anchors(spark, sf_dir), own)
+    matched = req.match_files(*req.answer(asked, inputs.index_anchors(spark, sf_dir), own))
     return matched.select("req_id", "family", "version", "url", "category", "pos")
 
 
