@@ -11,4 +11,5 @@ def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     What a generator yields stays a column, so they go through one that yields
     exactly one row per row.
     """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.explode(F.array(row)).alias("_settled")).select(*df.columns, "_settled.*")
