@@ -1,15 +1,16 @@
 """Keeping plans small."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
-def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that later steps see as plain columns.
+def settle(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add columns, given as SQL, that later steps see as plain columns.
 
     Spark copies the expressions of a projection into every later filter and join
     condition on them, which for long CASE expressions outgrows the code generator.
     What a generator yields stays a column, so they go through one that yields
     exactly one row per row.
     """
-    row = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.explode(F.array(row)).alias("_settled")).select(*df.columns, "_settled.*")
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    row = F.expr(f"explode(array(named_struct({fields})))").alias("_settled")
+    return df.select("*", row).select(*df.columns, "_settled.*")

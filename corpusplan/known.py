@@ -26,6 +26,7 @@ UN_CORPUS_VERSION = "v1.0"
 TRAIN_MARK = "-train"
 TRAIN_SUFFIX = ".tgz"
 NEWS_PAIR = r"[.]([a-z]{2}-[a-z]{2})[.](?:tsv|tsv[.]gz)\z"
+NEWS_STEM = "news-commentary-"
 CATEGORY_WORDS = ("training", "test", "dev")
 ARCHIVE_SUFFIXES = (".tgz", ".gz", ".tar.gz", ".zip")
 

@@ -1,6 +1,6 @@
 """Dataset families: which files an index page offers to a request.
 
-A family is declared with column functions, so the rules of all families run as one
+A family is declared with SQL expressions, so the rules of all families run as one
 filter and one projection over one join of requests with anchors. New families are
 added with `Families.register`; registration order is match priority.
 
@@ -18,13 +18,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusplan import known
-from corpusplan.functions.archive import is_archive
-from corpusplan.functions.text import any_of, contains, nonempty, strip_slashes
+from corpusplan.functions.text import strip_slashes
 
 SELECTOR = ["family", "version", "want_pair", "want_category", "want_extra"]
 FILE = ["url", "filename", "language_pair", "category", "description", "pos"]
 
-ColumnRule = Callable[[], Column]
+_NONE = "CAST(NULL AS STRING)"
 
 # anchors(page_url, pos, href), or what finds them at given addresses(page_url)
 AnchorSource = DataFrame | Callable[[DataFrame], DataFrame]
@@ -37,6 +36,15 @@ def unstored(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def literal(value: str | bool | None) -> str:
+    """A value as SQL text."""
+    if value is None:
+        return _NONE
+    if isinstance(value, bool):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass(frozen=True)
 class Family:
     """What every family has.
@@ -52,7 +60,7 @@ class Family:
     fixed_version: bool = False
     options: Sequence[str] = ()
 
-    def facts(self) -> Column:
+    def facts(self) -> str:
         """The declaration as one constant row."""
         head, tail = self.index.split("{version}") if self.index else (None, None)
         values = {
@@ -60,9 +68,7 @@ class Family:
             "version_tag": self.version_tag, "head": head, "tail": tail,
             "uses_pair": "language_pair" in self.options, "uses_category": "category" in self.options,
         }
-        return F.struct(*[
-            (F.lit(v) if v is not None else F.lit(None).cast("string")).alias(k) for k, v in values.items()
-        ])
+        return "named_struct(" + ", ".join(f"'{k}', {literal(v)}" for k, v in values.items()) + ")"
 
     def extra_options(self) -> list[str]:
         return sorted(o for o in self.options if o not in ("language_pair", "category"))
@@ -72,10 +78,10 @@ class Family:
 class PageFamily(Family):
     """Files are listed on the index page itself. Rules see the link columns."""
 
-    keep: ColumnRule = field(kw_only=True)
-    language_pair: ColumnRule = field(kw_only=True, default=lambda: F.lit(None).cast("string"))
-    category: ColumnRule = field(kw_only=True, default=lambda: F.lit(None).cast("string"))
-    description: ColumnRule = field(kw_only=True, default=lambda: F.col("href"))
+    keep: str = field(kw_only=True)
+    language_pair: str = field(kw_only=True, default=_NONE)
+    category: str = field(kw_only=True, default=_NONE)
+    description: str = field(kw_only=True, default="href")
 
 
 @dataclass(frozen=True)
@@ -86,10 +92,10 @@ class DirectoryFamily(Family):
     `href` of the category page and the settled `category`.
     """
 
-    keep: ColumnRule = field(kw_only=True)
-    category: ColumnRule = field(kw_only=True)
-    is_file: ColumnRule = field(kw_only=True)
-    description: ColumnRule = field(kw_only=True, default=lambda: F.col("href"))
+    keep: str = field(kw_only=True)
+    category: str = field(kw_only=True)
+    is_file: str = field(kw_only=True)
+    description: str = field(kw_only=True, default="href")
 
 
 @dataclass(frozen=True)
@@ -98,6 +104,14 @@ class FixedFamily(Family):
 
     files: Sequence[tuple[str, str, str]] = field(kw_only=True)
 
+    def rows(self) -> str:
+        structs = [
+            f"named_struct('url', {literal(url)}, 'filename', {literal(name)}, "
+            f"'description', {literal(text)}, 'pos', {place})"
+            for place, (url, name, text) in enumerate(self.files)
+        ]
+        return f"array({', '.join(structs)})"
+
 
 @dataclass(frozen=True)
 class TableFamily(Family):
@@ -126,54 +140,42 @@ class Families:
         return [f for f in self if isinstance(f, kind)]
 
 
-def _href() -> Column:
-    return F.col("href")
-
-
-def _wanted_pair_in_href() -> Column:
-    return (F.col("want_pair") == "") | contains(_href(), F.col("want_pair"))
+def _any(tests: Sequence[str]) -> str:
+    return "(" + " OR ".join(tests) + ")"
 
 
-def _train_pair() -> Column:
-    return F.substring_index(_href(), known.TRAIN_MARK, 1)
+# the text before the first mark; the pair part of a news file name
+_TRAIN_PAIR = f"substring_index(href, {literal(known.TRAIN_MARK)}, 1)"
+_NEWS_PAIR = f"regexp_extract(href, {literal(known.NEWS_PAIR)}, 1)"
 
-
-def _news_pair() -> Column:
-    return F.regexp_extract(_href(), known.NEWS_PAIR, 1)
-
-
-def _category_link() -> Column:
-    words = any_of([contains(_href(), F.lit(w)) for w in known.CATEGORY_WORDS])
-    asked = F.col("want_category")
-    return F.when(asked == "", words).otherwise(contains(_href(), asked))
+_CATEGORY_WORD = _any([f"contains(href, {literal(w)})" for w in known.CATEGORY_WORDS])
 
 
 def standard_families() -> Families:
-    """The families known from the start. Their rules are written out when a plan is
-    made, so no session is needed here."""
+    """The families known from the start."""
     europarl = PageFamily(
         known.EUROPARL, known.EUROPARL_VERSION, known.EUROPARL_INDEX, options=("language_pair",),
         # the pair is searched in the whole name: `en` asks for every English pair
-        keep=lambda: F.endswith(_href(), F.lit(known.TRAIN_SUFFIX))
-        & contains(_href(), F.lit(known.TRAIN_MARK)) & _wanted_pair_in_href(),
-        language_pair=_train_pair,
-        description=lambda: F.format_string("Europarl %s %s corpus", "version", _train_pair()),
+        keep=f"endswith(href, {literal(known.TRAIN_SUFFIX)}) AND contains(href, {literal(known.TRAIN_MARK)}) "
+             "AND (want_pair = '' OR contains(href, want_pair))",
+        language_pair=_TRAIN_PAIR,
+        description=f"concat('Europarl ', version, ' ', {_TRAIN_PAIR}, ' corpus')",
     )
     news = PageFamily(
         known.NEWS_COMMENTARY, known.NEWS_COMMENTARY_VERSION, known.NEWS_COMMENTARY_INDEX,
         options=("language_pair",),
         # a prefix test: version v1 takes the files of v15 as well
-        keep=lambda: F.startswith(_href(), F.concat(F.lit("news-commentary-"), "version"))
-        & (_news_pair() != "") & F.col("want_pair").isin(F.lit(""), _news_pair()),
-        language_pair=_news_pair,
-        description=lambda: F.format_string("News Commentary %s %s corpus", "version", _news_pair()),
+        keep=f"startswith(href, concat({literal(known.NEWS_STEM)}, version)) AND {_NEWS_PAIR} <> '' "
+             f"AND want_pair IN ('', {_NEWS_PAIR})",
+        language_pair=_NEWS_PAIR,
+        description=f"concat('News Commentary ', version, ' ', {_NEWS_PAIR}, ' corpus')",
     )
     wmt = DirectoryFamily(
         known.WMT, known.WMT_VERSION, known.WMT_INDEX, version_tag="", options=("category",),
-        keep=_category_link,
-        category=lambda: F.coalesce(nonempty(F.col("want_category")), strip_slashes(_href())),
-        is_file=lambda: is_archive(_href()),
-        description=lambda: F.format_string("WMT%s %s dataset - %s", "version", "category", "href"),
+        keep=f"CASE WHEN want_category = '' THEN {_CATEGORY_WORD} ELSE contains(href, want_category) END",
+        category=r"coalesce(nullif(want_category, ''), regexp_replace(href, '/+\\z', ''))",
+        is_file=_any([f"endswith(href, {literal(s)})" for s in known.ARCHIVE_SUFFIXES]),
+        description="concat('WMT', version, ' ', category, ' dataset - ', href)",
     )
     un_corpus = FixedFamily(
         known.UN_CORPUS, known.UN_CORPUS_VERSION, fixed_version=True,
@@ -182,16 +184,14 @@ def standard_families() -> Families:
     return Families([europarl, news, wmt, un_corpus])
 
 
-def _one_of(families: Sequence[Family], rule: Callable[[Family], Column]) -> Column:
+def _one_of(families: Sequence[Family], rule: Callable[[Family], str]) -> Column:
     """CASE over the `family` column."""
-    choice = F
-    for family in families:
-        choice = choice.when(F.col("family") == family.prefix, rule(family))
-    return choice
+    cases = " ".join(f"WHEN {literal(f.prefix)} THEN {rule(f)}" for f in families)
+    return F.expr(f"CASE family {cases} END")
 
 
-def _is_kept(families) -> Column:
-    return any_of([(F.col("family") == f.prefix) & f.keep() for f in families])
+def _for_some(families: Sequence[Family], rule: Callable[[Family], str]) -> Column:
+    return F.expr(_any([f"(family = {literal(f.prefix)} AND {rule(f)})" for f in families]))
 
 
 def anchors_at(source: AnchorSource, addresses: DataFrame) -> DataFrame:
@@ -211,13 +211,13 @@ def link_index(selectors: DataFrame, source: AnchorSource) -> DataFrame:
 def page_files(links: DataFrame, families: Families) -> DataFrame:
     """Files listed on index pages, all page families in one pass."""
     kinds = families.of_kind(PageFamily)
-    return links.where(_is_kept(kinds)).select(
+    return links.where(_for_some(kinds, lambda f: f.keep)).select(
         *SELECTOR,
         F.concat("index_url", "href").alias("url"),
         F.col("href").alias("filename"),
-        _one_of(kinds, lambda f: f.language_pair()).alias("language_pair"),
-        _one_of(kinds, lambda f: f.category()).alias("category"),
-        _one_of(kinds, lambda f: f.description()).alias("description"),
+        _one_of(kinds, lambda f: f.language_pair).alias("language_pair"),
+        _one_of(kinds, lambda f: f.category).alias("category"),
+        _one_of(kinds, lambda f: f.description).alias("description"),
         "pos",
     )
 
@@ -232,10 +232,10 @@ def category_pages(links: DataFrame, families: Families) -> DataFrame:
     kinds = families.of_kind(DirectoryFamily)
     last = Window.partitionBy(*SELECTOR, "category").orderBy(F.desc("pos"))
     return (
-        links.where(_is_kept(kinds))
+        links.where(_for_some(kinds, lambda f: f.keep))
         .select(
             *SELECTOR,
-            _one_of(kinds, lambda f: f.category()).alias("category"),
+            _one_of(kinds, lambda f: f.category).alias("category"),
             F.concat("index_url", "href").alias("page_url"),
             "pos",
         )
@@ -249,7 +249,7 @@ def category_files(categories: DataFrame, source: AnchorSource, families: Famili
     """Second hop: files on category pages. A page that is not there drops only
     its own category."""
     kinds = families.of_kind(DirectoryFamily)
-    is_file = any_of([(F.col("family") == f.prefix) & f.is_file() for f in kinds])
+    is_file = _for_some(kinds, lambda f: f.is_file)
     return (
         categories.drop("pos").join(anchors_at(source, categories), "page_url").where(F.col("href") != "").where(is_file)
         .select(
@@ -258,7 +258,7 @@ def category_files(categories: DataFrame, source: AnchorSource, families: Famili
             F.col("href").alias("filename"),
             F.lit(None).cast("string").alias("language_pair"),
             "category",
-            _one_of(kinds, lambda f: f.description()).alias("description"),
+            _one_of(kinds, lambda f: f.description).alias("description"),
             "pos",
         )
     )
@@ -267,17 +267,9 @@ def category_files(categories: DataFrame, source: AnchorSource, families: Famili
 def fixed_files(selectors: DataFrame, families: Families) -> DataFrame:
     """Files that need no page."""
     kinds = families.of_kind(FixedFamily)
-
-    def rows(family: FixedFamily) -> Column:
-        return F.array(*[
-            F.struct(F.lit(url).alias("url"), F.lit(name).alias("filename"),
-                     F.lit(text).alias("description"), F.lit(i).alias("pos"))
-            for i, (url, name, text) in enumerate(family.files)
-        ])
-
     return (
         selectors.where(F.col("family").isin([f.prefix for f in kinds]))
-        .select(*SELECTOR, F.explode(_one_of(kinds, rows)).alias("file"))
+        .select(*SELECTOR, F.explode(_one_of(kinds, FixedFamily.rows)).alias("file"))
         .select(*SELECTOR, "file.*")
     )
 

@@ -6,35 +6,34 @@ from corpusplan import known
 from corpusplan.functions.shape import settle
 from corpusplan.functions.skew import mark_alone, spread_lookup
 from corpusplan.functions.text import default_filename, join_path, nonempty, subdirectory
-from corpusplan.operators.families import SELECTOR, AnchorSource, Families, Store, family_files, unstored
+from corpusplan.operators.families import (
+    SELECTOR, AnchorSource, Families, Store, family_files, literal, unstored,
+)
 
-def _per_family(families: Families, rule) -> Column:
+def _per_family(families, rule) -> str:
     """CASE over the first prefix the id starts with."""
-    choice = F
-    for family in families:
-        choice = choice.when(F.startswith(F.col("dataset_id"), F.lit(family.prefix)), rule(family))
-    return choice
-
-
-def _resolution(families: Families) -> dict[str, Column]:
-    """family, version and index_url over the columns dataset_id and _facts."""
-    fact = F.col("_facts")
-    digits = nonempty(F.regexp_extract("dataset_id", r"([0-9]+)\z", 1))
-    version = F.when(fact["fixed_version"], fact["default_version"]).otherwise(
-        F.coalesce(F.concat(fact["version_tag"], digits), fact["default_version"]))
-    return {
-        "family": fact["family"], "version": version,
-        "index_url": F.concat(fact["head"], version, fact["tail"]),
-    }
+    cases = " ".join(f"WHEN startswith(dataset_id, {literal(f.prefix)}) THEN {rule(f)}" for f in families)
+    return f"CASE {cases} END"
+
+
+_VERSION = r"""CASE WHEN _facts.fixed_version THEN _facts.default_version ELSE coalesce(
+    _facts.version_tag || nullif(regexp_extract(dataset_id, '([0-9]+)\\z', 1), ''), _facts.default_version) END"""
+
+# over the columns dataset_id and _facts
+_RESOLUTION = {
+    "family": "_facts.family",
+    "version": _VERSION,
+    "index_url": f"_facts.head || {_VERSION} || _facts.tail",
+}
 
 
 def _with_facts(requests: DataFrame, families: Families) -> DataFrame:
-    return requests.withColumn("_facts", _per_family(families, lambda f: f.facts()))
+    return requests.withColumn("_facts", F.expr(_per_family(families, lambda f: f.facts())))
 
 
 def resolve(requests: DataFrame, families: Families) -> DataFrame:
     """Add family, version and index_url; all NULL where no family matches."""
-    return settle(_with_facts(requests, families), _resolution(families)).drop("_facts")
+    return settle(_with_facts(requests, families), _RESOLUTION).drop("_facts")
 
 
 def with_selector(requests: DataFrame, families: Families) -> DataFrame:
@@ -44,19 +43,19 @@ def with_selector(requests: DataFrame, families: Families) -> DataFrame:
     Fields a family does not look at are blanked, so that however many requests
     ask the same thing, its files are worked out once.
     """
-    fact, empty = F.col("_facts"), F.lit("")
     optional = [f for f in families if f.extra_options()]
-    extra = empty
+    extra = "''"
     if optional and "extra" in requests.columns:
-        asked = _per_family(optional, lambda f: F.to_json(
-            F.struct(*[F.col("extra").getItem(o).alias(o) for o in f.extra_options()])))
-        extra = F.when(fact["family"].isin([f.prefix for f in optional]), asked).otherwise(empty)
+        asked = _per_family(optional, lambda f: "to_json(named_struct({}))".format(
+            ", ".join(f"{literal(o)}, extra[{literal(o)}]" for o in f.extra_options())))
+        names = ", ".join(literal(f.prefix) for f in optional)
+        extra = f"CASE WHEN _facts.family IN ({names}) THEN {asked} ELSE '' END"
     wanted = {
-        "want_pair": F.when(fact["uses_pair"], F.coalesce("language_pair", empty)).otherwise(empty),
-        "want_category": F.when(fact["uses_category"], F.coalesce("category", empty)).otherwise(empty),
+        "want_pair": "CASE WHEN _facts.uses_pair THEN coalesce(language_pair, '') ELSE '' END",
+        "want_category": "CASE WHEN _facts.uses_category THEN coalesce(category, '') ELSE '' END",
         "want_extra": extra,
     }
-    return settle(_with_facts(requests, families), _resolution(families) | wanted).drop("_facts")
+    return settle(_with_facts(requests, families), _RESOLUTION | wanted).drop("_facts")
 
 
 def selectors_of(requests: DataFrame) -> DataFrame:

@@ -70,24 +70,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _derived(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    return settle(df, {name: F.expr(sql) for name, sql in columns.items()})
-
-
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns all inputs are worked out from; texts are not read."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    return _derived(documents, {"v": VERSION, "k": KIND, "m": ASK}).drop("source")
+    return settle(documents, {"v": VERSION, "k": KIND, "m": ASK}).drop("source")
 
 
 def index_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(seeds(spark, sf_dir), ANCHOR).select(*ANCHOR)
+    return settle(seeds(spark, sf_dir), ANCHOR).select(*ANCHOR)
 
 
 def category_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five files on the page behind every WMT link; some `test/` pages cannot be read."""
     pages = (
-        _derived(seeds(spark, sf_dir).where("v % 3 = 2"), ANCHOR)
+        settle(seeds(spark, sf_dir).where("v % 3 = 2"), ANCHOR)
         .where("href <> ''").where("NOT (href = 'test/' AND v % 5 = 0)")
         .select("v", "page_url", "href").distinct()
     )
@@ -112,7 +108,7 @@ def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(seeds(spark, sf_dir), REQUEST).select(*REQUEST)
+    return settle(seeds(spark, sf_dir), REQUEST).select(*REQUEST)
 
 
 def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +119,5 @@ def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _derived(seeds(spark, sf_dir), ANCHOR)
+    rows = settle(seeds(spark, sf_dir), ANCHOR)
     return rows.where(EXISTING["wanted"]).selectExpr(f"{EXISTING['output_path']} AS output_path").distinct()

@@ -200,8 +200,8 @@ def rule_extension(spark, sf_dir):
     """A family of one's own that takes a request option of its own."""
     listed = fam.PageFamily(
         "listing", "0", "http://statmt.org/wmt{version}/", version_tag="", options=("suffix",),
-        keep=lambda: F.endswith("href", F.get_json_object("want_extra", "$.suffix")),
-        category=lambda: F.get_json_object("want_extra", "$.suffix"),
+        keep="endswith(href, get_json_object(want_extra, '$.suffix'))",
+        category="get_json_object(want_extra, '$.suffix')",
     )
     own = corpusplan.standard_families().register(listed)
     asked = inputs.seeds(spark, sf_dir).select(
@@ -297,7 +297,7 @@ def _acquire_boxes(spark, sf_dir):
     _write_boxes(spark, sf_dir, f"{mirror}/boxes.example")
     own = corpusplan.standard_families().register(fam.PageFamily(
         "boxes", "0", "http://boxes.example/box={version}/", version_tag="",
-        keep=lambda: F.endswith("href", F.lit(".gz"))))
+        keep="endswith(href, '.gz')"))
     objects = inventory.mirror_objects(spark, mirror)
     listed = objects.select(
         F.regexp_extract("url", r"\A(.*/)[^/]*\z", 1).alias("page_url"), F.lit(0).alias("pos"),
@@ -347,7 +347,7 @@ def unpacked_lines(spark, sf_dir):
         partial(_pack, folder=f"{mirror}/tars.example/all"), "path string")
     packed.write.format("noop").mode("overwrite").save()
     own = corpusplan.standard_families().register(fam.PageFamily(
-        "tars", "all", "http://tars.example/{version}/", keep=lambda: F.endswith("href", F.lit(".tgz"))))
+        "tars", "all", "http://tars.example/{version}/", keep="endswith(href, '.tgz')"))
     objects = inventory.mirror_objects(spark, mirror)
     listed = objects.select(
         F.lit("http://tars.example/all/").alias("page_url"), F.lit(0).alias("pos"),
