@@ -1,15 +1,12 @@
 """MD5 checksums, lower-case hex."""
 
 import hashlib
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusplan.sources.inventory import BINARY, require_path
+from corpusplan.sources.inventory import list_files, require_path
 from corpusplan.sources.streams import open_read
 
-# beyond this a file is read in pieces instead of as one value
-_WHOLE_FILE_LIMIT = 64 << 20
 _PIECE = 4 << 20
 
 
@@ -18,13 +15,13 @@ def text_checksums(df: DataFrame, text: str, checksum: str = "md5") -> DataFrame
     return df.withColumn(checksum, F.md5(F.col(text).cast("binary")))
 
 
-def _md5_of_files(batches, piece):
+def _md5_of_files(batches):
     for batch in batches:
         sums = []
         for path in batch["path"]:
             digest = hashlib.md5()
             with open_read(path) as stream:
-                while data := stream.read(piece):
+                while data := stream.read(_PIECE):
                     digest.update(data)
             sums.append(digest.hexdigest())
         yield batch.assign(md5=sums)
@@ -33,14 +30,10 @@ def _md5_of_files(batches, piece):
 def file_checksums(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
     """path -> (path, length, md5) of a file or of every file below a folder.
 
-    Small files are hashed inside the scan; large ones are read in pieces, so no
-    file has to fit in memory. A missing path raises.
+    Files are read in pieces inside the tasks, so none has to fit in memory. A
+    missing path raises.
     """
     require_path(spark, path)
-    files = spark.read.format(BINARY).option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= _WHOLE_FILE_LIMIT)
-    large = files.where(F.col("length") > _WHOLE_FILE_LIMIT).select("path", "length")
+    files = list_files(spark, path, recursive=True).select("path", "length")
     tasks = tasks or spark.sparkContext.defaultParallelism
-    pieces = large.repartition(tasks).mapInPandas(
-        partial(_md5_of_files, piece=_PIECE), "path string, length bigint, md5 string")
-    return small.select("path", "length", F.md5("content").alias("md5")).unionByName(pieces)
+    return files.repartition(tasks).mapInPandas(_md5_of_files, "path string, length bigint, md5 string")

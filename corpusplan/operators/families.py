@@ -115,8 +115,8 @@ class FixedFamily(Family):
 
 @dataclass(frozen=True)
 class TableFamily(Family):
-    """Anything else: `select` turns the family's links into files
-    (SELECTOR + FILE columns)."""
+    """Anything else: `select` turns the family's links into files: SELECTOR
+    columns, `url`, and whichever other FILE columns it knows."""
 
     select: Callable[[DataFrame], DataFrame] = field(kw_only=True)
 
@@ -274,6 +274,14 @@ def fixed_files(selectors: DataFrame, families: Families) -> DataFrame:
     )
 
 
+def _whole_rows(files: DataFrame) -> DataFrame:
+    """Optional columns a family leaves out are NULL, the position 0."""
+    left_out = {
+        c: F.lit(0) if c == "pos" else F.lit(None).cast("string") for c in FILE if c not in files.columns
+    }
+    return files.withColumns(left_out).select(*SELECTOR, *FILE) if left_out else files.select(*SELECTOR, *FILE)
+
+
 def family_files(selectors: DataFrame, source: AnchorSource, families: Families,
                  store: Store = unstored) -> DataFrame:
     """Every selector's files: SELECTOR + FILE columns, all families together.
@@ -291,10 +299,10 @@ def family_files(selectors: DataFrame, source: AnchorSource, families: Families,
     if families.of_kind(FixedFamily):
         parts.append(fixed_files(selectors, families))
     for family in families.of_kind(TableFamily):
-        parts.append(family.select(links.where(F.col("family") == family.prefix)))
+        parts.append(_whole_rows(family.select(links.where(F.col("family") == family.prefix))))
     if not parts:
         raise ValueError("no families registered")
     files = parts[0]
     for part in parts[1:]:
         files = files.unionByName(part, allowMissingColumns=True)
-    return files.select(*SELECTOR, *FILE)
+    return _whole_rows(files)

@@ -3,29 +3,31 @@
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusplan import known
 from corpusplan.functions.archive import archive_kind
 from corpusplan.operators.anchors import extract_anchors, pages_at
 from corpusplan.operators.collisions import collisions, first_per_path
 from corpusplan.operators.families import AnchorSource, Families, Store, standard_families
-from corpusplan.operators.landing import attribute, fetch_status
+from corpusplan.operators.landing import attribute
 from corpusplan.operators.requests import (
     answer, lay_out_batch, lay_out_single, plan_batch, plan_single, require_files, require_known, unanswered,
 )
 from corpusplan.session import shared_dir
 from corpusplan.sources.archives import tar_lines
-from corpusplan.sources.inventory import existing_paths, mirror_objects, qualified
+from corpusplan.sources.inventory import qualified
 from corpusplan.sources.ledger import append_batch, ledger_entries
-from corpusplan.sources.streams import copy
+from corpusplan.sources.streams import copy, size_of
 
-# a copying task takes about this many bytes
+# a task copies about this many bytes, and looks up about this many files
 _TASK_BYTES = 1 << 30
+_TASK_LOOKUPS = 1024
 
-_OUTCOME = (
-    "req_id bigint, dataset_id string, url string, filename string, target_dir string, "
-    "output_path string, status string, error string, length bigint, ts bigint"
+_FILE = ["req_id", "dataset_id", "url", "filename", "target_dir", "output_path"]
+_STATUS = (
+    "req_id bigint, dataset_id string, url string, filename string, target_dir string, output_path string, "
+    "src_path string, status string, error string, length bigint"
 )
 
 
@@ -68,46 +70,72 @@ def _store_in(folder: str) -> Store:
     return store
 
 
-def _copy_rows(batches, ts):
+def _look_up(source, target, force):
+    """(status, error, length) a planned file is about to get."""
+    try:
+        if not force and size_of(target) is not None:
+            return "skipped", None, None
+        length = size_of(source)
+        if length is None or length < 0:
+            return "failed", f"no object at {source}", None
+        return "landed", None, length
+    except Exception as problem:  # one bad file does not stop the batch
+        return "failed", f"{type(problem).__name__}: {problem}", None
+
+
+def _copy(source, target, length):
+    try:
+        return "landed", None, copy(source, target)
+    except Exception as problem:
+        return "failed", f"{type(problem).__name__}: {problem}", None
+
+
+def _settle_rows(batches, settle_row, inputs):
     for batch in batches:
-        errors, lengths = [], []
-        for source, target in zip(batch["src_path"], batch["output_path"]):
-            try:
-                lengths.append(copy(source, target))
-                errors.append(None)
-            except Exception as problem:  # one bad file does not stop the batch
-                lengths.append(0)
-                errors.append(f"{type(problem).__name__}: {problem}")
-        done = batch.drop(columns=["src_path"])
-        done["error"] = errors
-        done["length"] = lengths
-        done["status"] = ["failed" if e else "landed" for e in errors]
-        done["ts"] = ts
-        yield done[[c.split()[0] for c in _OUTCOME.split(", ")]]
-
-
-def land(spark: SparkSession, kept: DataFrame, mirror_dir: str, parent_dir: str, store: Store,
-         force: bool = False, tasks: int | None = None) -> DataFrame:
+        if batch.empty:
+            continue
+        done = [settle_row(*row) for row in batch[inputs].itertuples(index=False)]
+        batch["status"], batch["error"], batch["length"] = zip(*done)
+        batch["length"] = batch["length"].astype("Int64")
+        yield batch
+
+
+def _look_up_rows(batches, force):
+    return _settle_rows(batches, partial(_look_up, force=force), ["src_path", "output_path"])
+
+
+def _copy_rows(batches):
+    return _settle_rows(batches, _copy, ["src_path", "output_path", "length"])
+
+
+def land(kept: DataFrame, mirror_dir: str, store: Store, force: bool = False,
+         tasks: int | None = None) -> DataFrame:
     """Copy the planned objects of a mirror to their output paths.
 
-    Only names and sizes are joined and shuffled; the bytes go from file to file in
-    pieces inside the tasks. The outcome table is written once, so reading it never
-    copies again.
+    The mirror is laid out as host/path. Tasks look up their own files on both sides,
+    so nothing is listed and nothing joined; the bytes go from file to file in
+    pieces, under a temporary name until they are whole. What is to be copied is
+    written down before the copying starts: a task repeated after a lost executor
+    copies again and does not take its own earlier work for files that were there
+    before. The outcomes are written once, so reading them never copies again.
     """
-    ts = int(spark.sql("select unix_timestamp() as t").first().t)
-    status = store(
-        fetch_status(kept, existing_paths(spark, parent_dir), mirror_objects(spark, mirror_dir), force), "status")
-    columns = ["req_id", "dataset_id", "url", "filename", "target_dir", "output_path"]
+    spark = kept.sparkSession
+    least = spark.sparkContext.defaultParallelism
+    address = F.regexp_replace("url", r"\A[a-z]+://", "")
+    source = F.concat(F.lit(qualified(spark, mirror_dir) + "/"), address)
+    rows = store(kept.select(*_FILE, source.alias("src_path")), "kept")
+    looked_up = rows.repartition(tasks or max(least, -(-rows.count() // _TASK_LOOKUPS))).mapInPandas(
+        partial(_look_up_rows, force=force), _STATUS)
+    status = store(looked_up, "status")
     to_copy = status.where("status = 'landed'")
     if tasks is None:
         size = to_copy.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first().bytes
-        tasks = max(spark.sparkContext.defaultParallelism, -(-size // _TASK_BYTES))
-    copied = to_copy.select(*columns, "src_path").repartition(tasks).mapInPandas(
-        partial(_copy_rows, ts=ts), _OUTCOME)
-    nothing = F.lit(None).cast("bigint")
-    rest = status.where("status <> 'landed'").select(
-        *columns, "status", "error", nothing.alias("length"), nothing.alias("ts"))
-    return store(copied.unionByName(rest), "outcomes")
+        tasks = max(least, -(-size // _TASK_BYTES))
+    copied = to_copy.repartition(tasks).mapInPandas(_copy_rows, _STATUS)
+    now = F.unix_timestamp()
+    outcomes = copied.unionByName(status.where("status <> 'landed'")).select(
+        *_FILE, "status", "error", "length", F.when(F.col("status") == "landed", now).alias("ts"))
+    return store(outcomes, "outcomes")
 
 
 def acquire(requests: DataFrame, source: AnchorSource, mirror_dir: str, parent_dir: str,
@@ -128,7 +156,7 @@ def acquire(requests: DataFrame, source: AnchorSource, mirror_dir: str, parent_d
     asked, files = answer(requests, source, families, store)
     lay_out = lay_out_single if single else lay_out_batch
     plan = require_files(store(lay_out(asked, files, parent_dir), "plan"))
-    outcomes = land(spark, first_per_path(plan), mirror_dir, parent_dir, store, force, tasks)
+    outcomes = land(first_per_path(plan), mirror_dir, store, force, tasks)
     if ledger_dir:
         append_batch(ledger_entries(outcomes), ledger_dir, folder.rsplit("/", 1)[-1])
     return Run(folder, plan, collisions(plan), unanswered(asked, files), outcomes, attribute(plan, outcomes))

@@ -1,9 +1,24 @@
-"""Files in storage as tables."""
+"""Files in storage as tables.
 
+Spark's own file sources leave out empty files and names that start with `.` or `_`,
+and list on the driver; here tasks do the listing and nothing is left out.
+"""
+
+import fnmatch
+from functools import partial
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BINARY = "binaryFile"
-_INVENTORY = "path string, modificationTime timestamp, length bigint"
+from corpusplan.sources.streams import locate
+
+_FILE = "path string, modificationTime timestamp, length bigint, is_dir boolean"
+_STEP = f"{_FILE}, unlisted boolean"
+_COLUMNS = ["path", "modificationTime", "length", "is_dir", "unlisted"]
+_ROWS = 8192
+# folders of the first levels are listed by tasks of their own
+_LEVELS = 3
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -12,7 +27,7 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 
 def qualified(spark: SparkSession, path: str) -> str:
-    """The path as Spark prints it in listings, with scheme and no trailing slash."""
+    """The path with its scheme and without a trailing slash."""
     target, system = _hadoop_path(spark, path)
     return system.makeQualified(target).toString()
 
@@ -27,27 +42,72 @@ def require_path(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(path)
 
 
+def _content(folder, recursive):
+    """Rows below a folder; a file in its place is a row of its own."""
+    system, name = locate(folder)
+    name = name.rstrip("/") or "/"
+    itself = system.get_file_info(name)
+    if itself.type == fs.FileType.File:
+        yield folder, itself.mtime, itself.size, False, False
+    elif itself.type == fs.FileType.Directory:
+        prefix, cut = folder.rstrip("/"), len(name.rstrip("/"))
+        for info in system.get_file_info(fs.FileSelector(name, recursive=recursive)):
+            is_dir = info.type == fs.FileType.Directory
+            size = None if is_dir else info.size
+            yield prefix + info.path[cut:], info.mtime, size, is_dir, is_dir and not recursive
+
+
+def _frame(rows):
+    frame = pd.DataFrame(rows, columns=_COLUMNS)
+    frame["modificationTime"] = pd.to_datetime(frame["modificationTime"], utc=True)
+    frame["length"] = frame["length"].astype("Int64")
+    return frame
+
+
+def _list_folders(batches, recursive, first):
+    """Add what is in the folders not listed yet; everything else passes."""
+    for batch in batches:
+        rows = []
+        for path, modified, length, is_dir, unlisted in batch[_COLUMNS].itertuples(index=False):
+            if not (unlisted and first):
+                rows.append((path, modified, length, is_dir, False))
+            for row in _content(path, recursive) if unlisted else ():
+                rows.append(row)
+                if len(rows) >= _ROWS:
+                    yield _frame(rows)
+                    rows = []
+        yield _frame(rows)
+
+
+def _walk(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
+    found = spark.createDataFrame([(qualified(spark, directory), None, None, True, True)], _STEP)
+    levels = _LEVELS if recursive else 1
+    for level in range(levels):
+        found = found.mapInPandas(partial(_list_folders, recursive=False, first=level == 0), _STEP)
+        if recursive:
+            found = found.repartition(spark.sparkContext.defaultParallelism)
+    if recursive:
+        found = found.mapInPandas(partial(_list_folders, recursive=True, first=False), _STEP)
+    return found.drop("unlisted")
+
+
 def list_files(spark: SparkSession, directory: str, pattern: str | None = None,
                recursive: bool = False) -> DataFrame:
-    """path, modificationTime and length of files; contents are not read.
+    """path, modificationTime, length and is_dir; contents are not read.
 
-    A folder that is not there gives no rows. A pattern filters file names and may
-    start with `**/` to look below subfolders. Names that start with `.` or `_` are
-    hidden, as everywhere in Spark.
+    A folder that is not there gives no rows. Without a pattern only regular files
+    are listed. A pattern tests names, folders' too; it may start with folders or
+    with `**/` to look at every level.
     """
-    if not path_exists(spark, directory):
-        return spark.createDataFrame([], _INVENTORY)
-    reader = spark.read.format(BINARY)
-    if pattern:
-        if pattern.startswith("**/"):
-            recursive, pattern = True, pattern[3:]
-        if "/" in pattern:
-            folder, pattern = pattern.rsplit("/", 1)
-            directory = f"{directory.rstrip('/')}/{folder}"
-        reader = reader.option("pathGlobFilter", pattern)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(directory).select("path", "modificationTime", "length")
+    if pattern is None:
+        return _walk(spark, directory, recursive).where(~F.col("is_dir"))
+    if pattern.startswith("**/"):
+        recursive, pattern = True, pattern[3:]
+    if "/" in pattern:
+        folder, pattern = pattern.rsplit("/", 1)
+        directory = f"{directory.rstrip('/')}/{folder}"
+    name = F.substring_index("path", "/", -1)
+    return _walk(spark, directory, recursive).where(name.rlike(rf"\A{fnmatch.translate(pattern)}"))
 
 
 def existing_paths(spark: SparkSession, directory: str) -> DataFrame:
@@ -64,4 +124,3 @@ def mirror_objects(spark: SparkSession, mirror_dir: str, scheme: str = "http://"
     files = list_files(spark, mirror_dir, recursive=True)
     rest = F.substring("path", len(root) + 1, 1 << 30)
     return files.select(F.concat(F.lit(scheme), rest).alias("url"), F.col("path").alias("src_path"), "length")
-

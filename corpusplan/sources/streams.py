@@ -19,6 +19,15 @@ def locate(path: str):
     return fs.FileSystem.from_uri(quote(path, safe=":/@?=&%"))
 
 
+def size_of(path: str) -> int | None:
+    """Size of a file, -1 for a folder, None where there is nothing."""
+    system, name = locate(path)
+    info = system.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
+        return None
+    return info.size if info.type == fs.FileType.File else -1
+
+
 def open_read(path: str):
     system, name = locate(path)
     return system.open_input_stream(name, compression=None)

@@ -274,7 +274,7 @@ def _pack_boxes(spark, sf_dir):
     """Tar archives of fifty documents each; returns their folder."""
     folder = inventory.qualified(spark, corpusplan.shared_dir(spark, "tars"))
     documents = inputs.table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{inputs.BOX} AS box")
-    packed = documents.groupBy("box").applyInPandas(partial(_pack, folder=folder), "path string")
+    packed = documents.groupBy("box").applyInPandas(lambda group: _pack(group, folder), "path string")
     packed.write.format("noop").mode("overwrite").save()
     return folder
 
@@ -343,8 +343,8 @@ def unpacked_lines(spark, sf_dir):
     base = corpusplan.shared_dir(spark, "tarmirror")
     mirror = inventory.qualified(spark, f"{base}/mirror")
     documents = inputs.table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{inputs.BOX} AS box")
-    packed = documents.groupBy("box").applyInPandas(
-        partial(_pack, folder=f"{mirror}/tars.example/all"), "path string")
+    folder = f"{mirror}/tars.example/all"
+    packed = documents.groupBy("box").applyInPandas(lambda group: _pack(group, folder), "path string")
     packed.write.format("noop").mode("overwrite").save()
     own = corpusplan.standard_families().register(fam.PageFamily(
         "tars", "all", "http://tars.example/{version}/", keep="endswith(href, '.tgz')"))
