@@ -13,7 +13,7 @@ from corpusplan.operators.families import (
     standard_families,
 )
 from corpusplan.plans.acquire import Run, acquire, plan_from_pages
-from corpusplan.session import configure, shared_dir
+from corpusplan.session import Store, configure, shared_dir
 
 __all__ = [
     "DirectoryFamily",
@@ -21,6 +21,7 @@ __all__ = [
     "FixedFamily",
     "PageFamily",
     "Run",
+    "Store",
     "TableFamily",
     "acquire",
     "configure",

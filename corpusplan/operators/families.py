@@ -29,10 +29,10 @@ _NONE = "CAST(NULL AS STRING)"
 AnchorSource = DataFrame | Callable[[DataFrame], DataFrame]
 
 # writes an intermediate table under a name and reads it back, or leaves it lazy
-Store = Callable[[DataFrame, str], DataFrame]
+Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def unstored(df: DataFrame, name: str) -> DataFrame:
+def lazy(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
@@ -283,7 +283,7 @@ def _whole_rows(files: DataFrame) -> DataFrame:
 
 
 def family_files(selectors: DataFrame, source: AnchorSource, families: Families,
-                 store: Store = unstored) -> DataFrame:
+                 store: Keep = lazy) -> DataFrame:
     """Every selector's files: SELECTOR + FILE columns, all families together.
 
     With a `store` that writes, the anchors are read once per hop; left lazy, the
@@ -294,8 +294,7 @@ def family_files(selectors: DataFrame, source: AnchorSource, families: Families,
     if families.of_kind(PageFamily):
         parts.append(page_files(links, families))
     if families.of_kind(DirectoryFamily):
-        categories = store(category_pages(links, families), "categories")
-        parts.append(category_files(categories, source, families))
+        parts.append(category_files(category_pages(links, families), source, families))
     if families.of_kind(FixedFamily):
         parts.append(fixed_files(selectors, families))
     for family in families.of_kind(TableFamily):

@@ -44,7 +44,9 @@ def attribute(plan: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Outcome of every planned row, those that lost their path included.
 
     plan: all rows, before one was kept per path. A row shares the outcome of the
-    kept row when both name the same address, else it is a `collision`.
+    kept row when both name the same address, else it is a `collision`. Read the
+    outcomes from a written table: then Spark can split a path that very many
+    rows want.
     """
     done = outcomes.select(
         "output_path", F.col("url").alias("done_url"), F.col("status").alias("done_status"),

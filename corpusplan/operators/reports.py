@@ -65,7 +65,7 @@ def catalogue_listing(catalogue: DataFrame) -> DataFrame:
 
 def language_pairs(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Add the known language pairs of each request's dataset, an empty list where
-    none are known. The catalogue has a handful of fixed rows."""
+    none are known."""
     known_pairs = catalogue.select(F.col("id").alias("dataset_id"), "language_pairs")
-    return requests.join(F.broadcast(known_pairs), "dataset_id", "left").withColumn(
+    return requests.join(known_pairs, "dataset_id", "left").withColumn(
         "language_pairs", F.coalesce("language_pairs", F.array().cast("array<string>")))

@@ -7,7 +7,7 @@ from corpusplan.functions.shape import settle
 from corpusplan.functions.skew import mark_alone, spread_lookup
 from corpusplan.functions.text import default_filename, join_path, nonempty, subdirectory
 from corpusplan.operators.families import (
-    SELECTOR, AnchorSource, Families, Store, family_files, literal, unstored,
+    SELECTOR, AnchorSource, Families, Keep, family_files, lazy, literal,
 )
 
 def _per_family(families, rule) -> str:
@@ -64,15 +64,14 @@ def selectors_of(requests: DataFrame) -> DataFrame:
 
 
 def answer(requests: DataFrame, source: AnchorSource, families: Families,
-           store: Store = unstored) -> tuple[DataFrame, DataFrame]:
+           store: Keep = lazy) -> tuple[DataFrame, DataFrame]:
     """(requests with their selector, files per selector).
 
     The pair and category tests run once per distinct selector, whatever the number
     of requests.
     """
     asked = store(with_selector(requests, families), "asked")
-    selectors = store(selectors_of(asked), "selectors")
-    return asked, store(family_files(selectors, source, families, store), "files")
+    return asked, store(family_files(selectors_of(asked), source, families, store), "files")
 
 
 def match_files(asked: DataFrame, files: DataFrame) -> DataFrame:

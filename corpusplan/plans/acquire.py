@@ -9,12 +9,12 @@ from corpusplan import known
 from corpusplan.functions.archive import archive_kind
 from corpusplan.operators.anchors import extract_anchors, pages_at
 from corpusplan.operators.collisions import collisions, first_per_path
-from corpusplan.operators.families import AnchorSource, Families, Store, standard_families
+from corpusplan.operators.families import AnchorSource, Families, standard_families
 from corpusplan.operators.landing import attribute
 from corpusplan.operators.requests import (
-    answer, lay_out_batch, lay_out_single, plan_batch, plan_single, require_files, require_known, unanswered,
+    answer, lay_out_batch, lay_out_single, plan_batch, plan_single, require_known, unanswered,
 )
-from corpusplan.session import shared_dir
+from corpusplan.session import Store, shared_dir
 from corpusplan.sources.archives import tar_lines
 from corpusplan.sources.inventory import qualified
 from corpusplan.sources.ledger import append_batch, ledger_entries
@@ -63,13 +63,6 @@ def plan_from_pages(requests: DataFrame, pages: DataFrame, families: Families |
     return planner(requests, page_links(pages), families or standard_families(), parent_dir)
 
 
-def _store_in(folder: str) -> Store:
-    def store(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-    return store
-
-
 def _look_up(source, target, force):
     """(status, error, length) a planned file is about to get."""
     try:
@@ -123,15 +116,13 @@ def land(kept: DataFrame, mirror_dir: str, store: Store, force: bool = False,
     least = spark.sparkContext.defaultParallelism
     address = F.regexp_replace("url", r"\A[a-z]+://", "")
     source = F.concat(F.lit(qualified(spark, mirror_dir) + "/"), address)
-    rows = store(kept.select(*_FILE, source.alias("src_path")), "kept")
-    looked_up = rows.repartition(tasks or max(least, -(-rows.count() // _TASK_LOOKUPS))).mapInPandas(
-        partial(_look_up_rows, force=force), _STATUS)
-    status = store(looked_up, "status")
-    to_copy = status.where("status = 'landed'")
-    if tasks is None:
-        size = to_copy.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first().bytes
-        tasks = max(least, -(-size // _TASK_BYTES))
-    copied = to_copy.repartition(tasks).mapInPandas(_copy_rows, _STATUS)
+    rows = store(kept.select(*_FILE, source.alias("src_path")), "kept", files=F.count(F.lit(1)))
+    lookups = max(least, -(-store.measured["kept"]["files"] // _TASK_LOOKUPS))
+    looked_up = rows.repartition(tasks or lookups).mapInPandas(partial(_look_up_rows, force=force), _STATUS)
+    planned = F.coalesce(F.sum(F.when(F.col("status") == "landed", F.col("length"))), F.lit(0))
+    status = store(looked_up, "status", bytes=planned)
+    copies = max(least, -(-store.measured["status"]["bytes"] // _TASK_BYTES))
+    copied = status.where("status = 'landed'").repartition(tasks or copies).mapInPandas(_copy_rows, _STATUS)
     now = F.unix_timestamp()
     outcomes = copied.unionByName(status.where("status <> 'landed'")).select(
         *_FILE, "status", "error", "length", F.when(F.col("status") == "landed", now).alias("ts"))
@@ -149,14 +140,15 @@ def acquire(requests: DataFrame, source: AnchorSource, mirror_dir: str, parent_d
     """
     spark = requests.sparkSession
     families = families or standard_families()
-    folder = shared_dir(spark, "run")
-    store = _store_in(folder)
+    store = Store(shared_dir(spark, "run"))
     parent_dir = qualified(spark, parent_dir)
     require_known(requests, families)
     asked, files = answer(requests, source, families, store)
     lay_out = lay_out_single if single else lay_out_batch
-    plan = require_files(store(lay_out(asked, files, parent_dir), "plan"))
+    plan = store(lay_out(asked, files, parent_dir), "plan", files=F.count(F.lit(1)))
+    if not store.measured["plan"]["files"]:
+        raise ValueError("no files found for any request")
     outcomes = land(first_per_path(plan), mirror_dir, store, force, tasks)
     if ledger_dir:
-        append_batch(ledger_entries(outcomes), ledger_dir, folder.rsplit("/", 1)[-1])
-    return Run(folder, plan, collisions(plan), unanswered(asked, files), outcomes, attribute(plan, outcomes))
+        append_batch(ledger_entries(outcomes), ledger_dir, store.folder.rsplit("/", 1)[-1])
+    return Run(store.folder, plan, collisions(plan), unanswered(asked, files), outcomes, attribute(plan, outcomes))

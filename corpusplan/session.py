@@ -4,7 +4,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 import corpusplan
 
@@ -46,3 +46,25 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="corpusplan-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Store:
+    """Writes the tables between the steps of a run to one folder and reads them back.
+
+    Each is worked out once, and what follows starts from files every executor can
+    read. Named aggregates are measured while a table is written.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.measured: dict[str, dict] = {}
+
+    def __call__(self, df: DataFrame, name: str, **measures: Column) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        if measures:
+            observation = Observation(name)
+            df = df.observe(observation, *[m.alias(k) for k, m in measures.items()])
+        df.write.parquet(path)
+        if measures:
+            self.measured[name] = observation.get
+        return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -15,11 +15,13 @@ _BYTES = 8 << 20
 _PIECE = 1 << 20
 
 
-def read_gzip_text(spark: SparkSession, path: str) -> DataFrame:
+def read_gzip_text(spark: SparkSession, path: str, rebalance: bool = False) -> DataFrame:
     """Lines of gzip text files with the name each file unpacks to.
 
-    A gzip file cannot be split, so a file is one task while it is read; rebalance
-    evens out what follows.
+    A gzip file cannot be split, so a file is one task while it is read. With
+    `rebalance` its lines are spread evenly for what follows, at the price of a
+    shuffle; worth it when few files hold most of the text and the work on a line is
+    heavy.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz")
@@ -28,7 +30,7 @@ def read_gzip_text(spark: SparkSession, path: str) -> DataFrame:
         .where(archive_kind(F.col("archive")) == "gzip")
     )
     named = lines.select("archive", unpacked_name(F.col("archive")).alias("member"), "line")
-    return named.hint("rebalance")
+    return named.hint("rebalance") if rebalance else named
 
 
 def _members(path):

@@ -18,7 +18,7 @@ _STEP = f"{_FILE}, unlisted boolean"
 _COLUMNS = ["path", "modificationTime", "length", "is_dir", "unlisted"]
 _ROWS = 8192
 # folders of the first levels are listed by tasks of their own
-_LEVELS = 3
+_LEVELS = 2
 
 
 def _hadoop_path(spark: SparkSession, path: str):

@@ -121,8 +121,12 @@ def _objects(spark, sf_dir):
         F.length("url").cast("bigint").alias("length"))
 
 
-def _outcomes(spark, sf_dir, force=False):
-    kept = collisions.first_per_path(plan(spark, sf_dir))
+def _store(spark):
+    return corpusplan.Store(corpusplan.shared_dir(spark, "tables"))
+
+
+def _outcomes(spark, sf_dir, force=False, planned=None):
+    kept = collisions.first_per_path(plan(spark, sf_dir) if planned is None else planned)
     return landing.fetch_status(kept, inputs.existing(spark, sf_dir), _objects(spark, sf_dir), force)
 
 
@@ -132,7 +136,7 @@ def fetch_outcomes(spark, sf_dir, force=False):
 
 
 def skip_existing(spark, sf_dir):
-    kept, there = plan_kept(spark, sf_dir), inputs.existing(spark, sf_dir)
+    kept, there = _store(spark)(plan_kept(spark, sf_dir), "kept"), inputs.existing(spark, sf_dir)
     both = landing.to_fetch(kept, there).select("output_path", F.lit("fetch").alias("todo")).unionByName(
         landing.already_there(kept, there).select("output_path", F.lit("skip").alias("todo")))
     return both
@@ -143,7 +147,10 @@ def outcome_counts(spark, sf_dir, force=False):
 
 
 def attributed_outcomes(spark, sf_dir):
-    return landing.attribute(plan(spark, sf_dir), _outcomes(spark, sf_dir)).select(
+    store = _store(spark)
+    planned = store(plan(spark, sf_dir), "plan")
+    outcomes = store(_outcomes(spark, sf_dir, planned=planned), "outcomes")
+    return landing.attribute(planned, outcomes).select(
         "req_id", "dataset_id", "url", "output_path", "status", "error")
 
 
