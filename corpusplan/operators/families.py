@@ -8,7 +8,8 @@ Tables passed between the steps:
 
 * selectors: what is asked of a family, one row per distinct question
   (family, version, want_pair, want_category, want_extra, index_url)
-* links: selectors joined with the anchors of their index page (+ pos, href)
+* links: selectors joined with the anchors of their index page that a rule keeps
+  (+ pos, href, and step: `page`, `category` or `table`)
 * files: selectors' answers (SELECTOR columns + FILE columns)
 """
 
@@ -18,6 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusplan import known
+from corpusplan.functions.shape import settle
 from corpusplan.functions.text import strip_slashes
 
 SELECTOR = ["family", "version", "want_pair", "want_category", "want_extra"]
@@ -190,8 +192,8 @@ def _one_of(families: Sequence[Family], rule: Callable[[Family], str]) -> Column
     return F.expr(f"CASE family {cases} END")
 
 
-def _for_some(families: Sequence[Family], rule: Callable[[Family], str]) -> Column:
-    return F.expr(_any([f"(family = {literal(f.prefix)} AND {rule(f)})" for f in families]))
+def _for_some(families: Sequence[Family], rule: Callable[[Family], str]) -> str:
+    return _any([f"(family = {literal(f.prefix)} AND {rule(f)})" for f in families])
 
 
 def anchors_at(source: AnchorSource, addresses: DataFrame) -> DataFrame:
@@ -201,17 +203,28 @@ def anchors_at(source: AnchorSource, addresses: DataFrame) -> DataFrame:
     return source
 
 
-def link_index(selectors: DataFrame, source: AnchorSource) -> DataFrame:
-    """First hop: selectors with the anchors of their index page."""
+def link_index(selectors: DataFrame, source: AnchorSource, families: Families) -> DataFrame:
+    """First hop: selectors with the links of their index page that a rule keeps.
+
+    All rules are tested in the one join. The step is settled, so the filters of the
+    steps that follow stay above the join and the join is planned once for all.
+    """
+    steps = {"page": families.of_kind(PageFamily), "category": families.of_kind(DirectoryFamily)}
+    tables = families.of_kind(TableFamily)
+    kept = [_for_some(kinds, lambda f: f.keep) for kinds in steps.values() if kinds]
+    kept += [f"family = {literal(f.prefix)}" for f in tables]
     asked = selectors.withColumnRenamed("index_url", "page_url")
-    links = asked.join(anchors_at(source, asked), "page_url").where(F.col("href") != "")
-    return links.withColumnRenamed("page_url", "index_url")
+    links = asked.join(anchors_at(source, asked), "page_url").where("href <> ''")
+    links = links.where(_any(kept)) if kept else links.where("false")
+    cases = [f"WHEN {literal(f.prefix)} THEN '{step}'" for step, kinds in steps.items() for f in kinds]
+    step = f"CASE family {' '.join(cases)} ELSE 'table' END" if cases else "'table'"
+    return settle(links.withColumnRenamed("page_url", "index_url"), {"step": step})
 
 
 def page_files(links: DataFrame, families: Families) -> DataFrame:
     """Files listed on index pages, all page families in one pass."""
     kinds = families.of_kind(PageFamily)
-    return links.where(_for_some(kinds, lambda f: f.keep)).select(
+    return links.where("step = 'page'").select(
         *SELECTOR,
         F.concat("index_url", "href").alias("url"),
         F.col("href").alias("filename"),
@@ -232,7 +245,7 @@ def category_pages(links: DataFrame, families: Families) -> DataFrame:
     kinds = families.of_kind(DirectoryFamily)
     last = Window.partitionBy(*SELECTOR, "category").orderBy(F.desc("pos"))
     return (
-        links.where(_for_some(kinds, lambda f: f.keep))
+        links.where("step = 'category'")
         .select(
             *SELECTOR,
             _one_of(kinds, lambda f: f.category).alias("category"),
@@ -286,10 +299,9 @@ def family_files(selectors: DataFrame, source: AnchorSource, families: Families,
                  store: Keep = lazy) -> DataFrame:
     """Every selector's files: SELECTOR + FILE columns, all families together.
 
-    With a `store` that writes, the anchors are read once per hop; left lazy, the
-    first hop is planned once for page families and once for category families.
+    Anchors are read once per hop.
     """
-    links = store(link_index(selectors, source), "links")
+    links = store(link_index(selectors, source, families), "links")
     parts = []
     if families.of_kind(PageFamily):
         parts.append(page_files(links, families))
@@ -298,7 +310,8 @@ def family_files(selectors: DataFrame, source: AnchorSource, families: Families,
     if families.of_kind(FixedFamily):
         parts.append(fixed_files(selectors, families))
     for family in families.of_kind(TableFamily):
-        parts.append(_whole_rows(family.select(links.where(F.col("family") == family.prefix))))
+        own = links.where(f"step = 'table' AND family = {literal(family.prefix)}").drop("step")
+        parts.append(_whole_rows(family.select(own)))
     if not parts:
         raise ValueError("no families registered")
     files = parts[0]

@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from corpusplan import standard_families
 from corpusplan.functions.skew import mark_alone, mark_first, spread_lookup
+from corpusplan.operators import requests as req
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +57,32 @@ def test_hot_key_is_shared_by_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_hot_dataset_is_split_at_run_time(spark):
+    """A third of all requests ask for one dataset: its join partition is divided."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20kb",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    asked = spark.range(0, 90000, 1, 8).selectExpr(
+        "CAST(id AS INT) AS req_id",
+        "CASE WHEN id % 3 = 0 THEN 'europarl-v1' ELSE 'europarl-v' || (id % 5000 + 2) END AS dataset_id",
+        "CAST(NULL AS STRING) AS language_pair", "CAST(NULL AS STRING) AS category",
+        "CAST(NULL AS STRING) AS target_dir", "FALSE AS has_target_dir")
+    anchors = spark.range(0, 10002, 1, 8).selectExpr(
+        "'http://statmt.org/europarl/v' || (id % 5001 + 1) || '/' AS page_url", "CAST(id AS INT) AS pos",
+        "'l' || id || '-en-train.tgz' AS href")
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        plan = req.plan_batch(asked, anchors, standard_families())
+        total = plan.agg(F.count("url").alias("n"), F.bit_xor(F.xxhash64("req_id", "output_path", "url")))
+        assert total.collect()[0].n == 180000
+        assert "SortMergeJoin(skew=true)" in total._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in small:
+            spark.conf.unset(key)

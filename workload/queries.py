@@ -41,7 +41,7 @@ def _unfiltered(spark, sf_dir):
 
 def _page_files(spark, sf_dir, family):
     selectors = _unfiltered(spark, sf_dir).where(F.col("family") == family)
-    links = fam.link_index(selectors, inputs.index_anchors(spark, sf_dir))
+    links = fam.link_index(selectors, inputs.index_anchors(spark, sf_dir), STANDARD)
     return fam.page_files(links, STANDARD).select("family", "version", *fam.FILE)
 
 
@@ -55,12 +55,12 @@ def news_files(spark, sf_dir):
 
 def wmt_categories(spark, sf_dir):
     selectors = _unfiltered(spark, sf_dir)
-    links = fam.link_index(selectors, inputs.index_anchors(spark, sf_dir))
+    links = fam.link_index(selectors, inputs.index_anchors(spark, sf_dir), STANDARD)
     return fam.category_pages(links, STANDARD).select("version", "category", "page_url", "pos")
 
 
 def wmt_files(spark, sf_dir):
-    found = fam.link_index(_unfiltered(spark, sf_dir), inputs.index_anchors(spark, sf_dir))
+    found = fam.link_index(_unfiltered(spark, sf_dir), inputs.index_anchors(spark, sf_dir), STANDARD)
     categories = fam.category_pages(found, STANDARD)
     return fam.category_files(categories, inputs.category_anchors(spark, sf_dir), STANDARD).select(
         "family", "version", "url", "filename", "category", "description", "pos")
