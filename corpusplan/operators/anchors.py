@@ -4,6 +4,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusplan.functions.html import links
 
+# addresses are broadcast up to this many bytes, counting some per row
+BROADCAST_BYTES = 32 << 20
+_ROW_BYTES = 64
+
 
 def extract_anchors(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """pages(url, html) -> anchors(page_url, pos, href), no shuffle.
@@ -16,10 +20,19 @@ def extract_anchors(pages: DataFrame, url: str = "url", html: str = "html") -> D
     return pages.select(F.col(url).alias("page_url"), F.posexplode(links(F.col(html))).alias("pos", "href"))
 
 
-def pages_at(pages: DataFrame, addresses: DataFrame, url: str = "url") -> DataFrame:
-    """Only the pages at the given addresses(page_url).
+def anchors_at_addresses(pages: DataFrame, addresses: DataFrame, url: str = "url", html: str = "html",
+                         broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Anchors of the pages at the given distinct addresses(page_url). Page texts are
+    never shuffled.
 
-    Put before `extract_anchors` so that pages nobody asked for are not parsed.
+    The addresses are measured first (give a written table, so that this is cheap).
+    When they are few they are broadcast, and only their pages are parsed. When they
+    are many, pages are parsed where they are read and the links, a small part of the
+    text, are joined; this is an inner join, because Spark moves a semi-join below
+    the parsing.
     """
-    wanted = addresses.select(F.col("page_url").alias(url))
-    return pages.join(wanted, url, "left_semi")
+    size = addresses.agg(F.sum(F.octet_length("page_url") + _ROW_BYTES).alias("bytes")).first().bytes or 0
+    if size <= broadcast_bytes:
+        few = F.broadcast(addresses.select(F.col("page_url").alias(url)))
+        return extract_anchors(pages.join(few, url, "left_semi"), url, html)
+    return extract_anchors(pages, url, html).join(addresses.select("page_url"), "page_url")

@@ -196,14 +196,15 @@ def _for_some(families: Sequence[Family], rule: Callable[[Family], str]) -> str:
     return _any([f"(family = {literal(f.prefix)} AND {rule(f)})" for f in families])
 
 
-def anchors_at(source: AnchorSource, addresses: DataFrame) -> DataFrame:
+def anchors_at(source: AnchorSource, addresses: DataFrame, store: Keep, name: str) -> DataFrame:
     """Anchors for a step: the whole table, or what the source finds at the addresses."""
     if callable(source):
-        return source(addresses.select("page_url").distinct())
+        return source(store(addresses.select("page_url").distinct(), name))
     return source
 
 
-def link_index(selectors: DataFrame, source: AnchorSource, families: Families) -> DataFrame:
+def link_index(selectors: DataFrame, source: AnchorSource, families: Families,
+               store: Keep = lazy) -> DataFrame:
     """First hop: selectors with the links of their index page that a rule keeps.
 
     All rules are tested in the one join. The step is settled, so the filters of the
@@ -214,7 +215,8 @@ def link_index(selectors: DataFrame, source: AnchorSource, families: Families) -
     kept = [_for_some(kinds, lambda f: f.keep) for kinds in steps.values() if kinds]
     kept += [f"family = {literal(f.prefix)}" for f in tables]
     asked = selectors.withColumnRenamed("index_url", "page_url")
-    links = asked.join(anchors_at(source, asked), "page_url").where("href <> ''")
+    found = anchors_at(source, asked.where("page_url IS NOT NULL"), store, "index_addresses")
+    links = asked.join(found, "page_url").where("href <> ''")
     links = links.where(_any(kept)) if kept else links.where("false")
     cases = [f"WHEN {literal(f.prefix)} THEN '{step}'" for step, kinds in steps.items() for f in kinds]
     step = f"CASE family {' '.join(cases)} ELSE 'table' END" if cases else "'table'"
@@ -258,13 +260,15 @@ def category_pages(links: DataFrame, families: Families) -> DataFrame:
     )
 
 
-def category_files(categories: DataFrame, source: AnchorSource, families: Families) -> DataFrame:
+def category_files(categories: DataFrame, source: AnchorSource, families: Families,
+                   store: Keep = lazy) -> DataFrame:
     """Second hop: files on category pages. A page that is not there drops only
     its own category."""
     kinds = families.of_kind(DirectoryFamily)
     is_file = _for_some(kinds, lambda f: f.is_file)
+    found = anchors_at(source, categories, store, "category_addresses")
     return (
-        categories.drop("pos").join(anchors_at(source, categories), "page_url").where(F.col("href") != "").where(is_file)
+        categories.drop("pos").join(found, "page_url").where(F.col("href") != "").where(is_file)
         .select(
             *SELECTOR,
             F.concat(strip_slashes(F.col("page_url")), F.lit("/"), F.col("href")).alias("url"),
@@ -301,12 +305,15 @@ def family_files(selectors: DataFrame, source: AnchorSource, families: Families,
 
     Anchors are read once per hop.
     """
-    links = store(link_index(selectors, source, families), "links")
+    links = store(link_index(selectors, source, families, store), "links")
     parts = []
     if families.of_kind(PageFamily):
         parts.append(page_files(links, families))
     if families.of_kind(DirectoryFamily):
-        parts.append(category_files(category_pages(links, families), source, families))
+        categories = category_pages(links, families)
+        if callable(source):
+            categories = store(categories, "categories")
+        parts.append(category_files(categories, source, families, store))
     if families.of_kind(FixedFamily):
         parts.append(fixed_files(selectors, families))
     for family in families.of_kind(TableFamily):

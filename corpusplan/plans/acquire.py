@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusplan import known
 from corpusplan.functions.archive import archive_kind
-from corpusplan.operators.anchors import extract_anchors, pages_at
+from corpusplan.operators.anchors import anchors_at_addresses
 from corpusplan.operators.collisions import collisions, first_per_path
 from corpusplan.operators.families import AnchorSource, Families, standard_families
 from corpusplan.operators.landing import attribute
 from corpusplan.operators.requests import (
-    answer, lay_out_batch, lay_out_single, plan_batch, plan_single, require_known, unanswered,
+    answer, lay_out_batch, lay_out_single, require_known, unanswered,
 )
 from corpusplan.session import Store, shared_dir
 from corpusplan.sources.archives import tar_lines
@@ -51,16 +51,20 @@ class Run:
 
 
 def page_links(pages: DataFrame) -> AnchorSource:
-    """Anchors straight from page texts: at each hop only the pages asked for are
-    picked and parsed."""
-    return lambda addresses: extract_anchors(pages_at(pages, addresses))
+    """Anchors straight from page texts: at each hop the pages asked for."""
+    return lambda addresses: anchors_at_addresses(pages, addresses)
 
 
 def plan_from_pages(requests: DataFrame, pages: DataFrame, families: Families | None = None,
                     single: bool = False, parent_dir: str = known.DEFAULT_PARENT) -> DataFrame:
-    """Planned files straight from page texts, as one lazy plan."""
-    planner = plan_single if single else plan_batch
-    return planner(requests, page_links(pages), families or standard_families(), parent_dir)
+    """Planned files straight from page texts.
+
+    The addresses and links of each hop are written to the shared scratch folder, so
+    pages are read once per hop.
+    """
+    store = Store(shared_dir(requests.sparkSession, "pages"))
+    asked, files = answer(requests, page_links(pages), families or standard_families(), store)
+    return (lay_out_single if single else lay_out_batch)(asked, files, parent_dir)
 
 
 def _look_up(source, target, force):

@@ -1,6 +1,8 @@
 import time
 
-from corpusplan.operators.anchors import extract_anchors, pages_at
+import pytest
+
+from corpusplan.operators.anchors import anchors_at_addresses, extract_anchors
 
 
 def hrefs(spark, html):
@@ -45,10 +47,31 @@ def test_broken_pages_stay_linear(spark):
     assert time.time() - start < 30
 
 
-def test_only_asked_pages_are_kept(spark):
-    pages = spark.createDataFrame([("u", "<a href=x>"), ("v", "<a href=y>")], "url string, html string")
-    asked = spark.createDataFrame([("v",), ("v",), ("w",)], "page_url string")
-    assert [r.url for r in pages_at(pages, asked).collect()] == ["v"]
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_only_asked_pages(spark, tmp_path, limit):
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(
+        [("u", "<a href=x>"), ("v", "<a href=y><a href=z>")], "url string, html string").write.parquet(path)
+    asked = spark.createDataFrame([("v",), ("w",)], "page_url string")
+    found = anchors_at_addresses(spark.read.parquet(path), asked, broadcast_bytes=limit)
+    assert sorted(tuple(r) for r in found.collect()) == [("v", 0, "y"), ("v", 1, "z")]
+
+
+def test_page_texts_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    spark.createDataFrame([("u", "<a href=x>")], "url string, html string").write.parquet(path)
+    asked = spark.createDataFrame([("u",)], "page_url string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit in (0, 1 << 20):
+            found = anchors_at_addresses(spark.read.parquet(path), asked, broadcast_bytes=limit)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            # whatever is exchanged lies above the parsing or beside it
+            below = plan.split("Generate posexplode")[1]
+            pages_part = below[:below.index("FileScan")]
+            assert "Exchange hashpartitioning" not in pages_part
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_runs_on_a_stream(spark, tmp_path):

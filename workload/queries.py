@@ -3,9 +3,11 @@
 from functools import partial
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpusplan
+import workload
 from corpusplan import known
 from corpusplan.functions import archive, text
 from corpusplan.operators import anchors as anchor_ops, checksums, collisions, families as fam
@@ -14,6 +16,8 @@ from corpusplan.plans import acquire as runs
 from corpusplan.sources import archives, catalogue, inventory, ledger, pages, requests as request_source, streams
 from workload import inputs
 
+cloudpickle.register_pickle_by_value(workload)
+
 STANDARD = corpusplan.standard_families()
 
 
