@@ -115,6 +115,19 @@ def test_attribution_of_shared_paths(spark):
         (0, "landed", None), (1, "landed", None), (2, "collision", "path taken by u1")]
 
 
+@pytest.mark.parametrize("force", [False, True])
+def test_status_from_inventories(spark, mirror, tmp_path, force):
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / "de-en-train.tgz").write_bytes(b"")  # existence alone counts
+    plan = spark.createDataFrame(
+        [(EUROPARL + f"{p}-train.tgz", f"file:{data}/{p}-train.tgz") for p in PAIRS], "url string, output_path string")
+    status = landing.fetch_status(
+        plan, inventory.existing_paths(spark, str(data)), inventory.mirror_objects(spark, mirror), force)
+    assert values(status, "url", "status") == sorted(zip(
+        [EUROPARL + f"{p}-train.tgz" for p in PAIRS], ["landed" if force else "skipped", "landed", "failed"]))
+
+
 def test_list_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("a.gz", "b.txt", ".hidden", "sub/c.gz"):
