@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from corpusplan.llm import bpe, decontaminate, lines, simhash, toxicity
+from corpusplan.llm import bpe, decontaminate, html, lines, quality, simhash, topk, toxicity, warc
+from corpusplan.llm.common import held_out
 
 
 def _documents(spark, sf_dir, *columns):
@@ -23,7 +24,13 @@ def op1_toxicity(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "text")
     model = toxicity.train(docs, _labels(spark, sf_dir))
     return toxicity.score(docs, model).select(
-        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "n_offending", "offending")
+        "doc_id", held_out().alias("held_out"), "score", "predicted", "n_offending", "offending")
+
+
+def op2_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    _, index = warc.archive(pages)
+    return warc.read_records(warc.look_up(pages, index))
 
 
 def op4_benchmark_decontamination(spark, sf_dir):
@@ -31,11 +38,28 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return decontaminate.leaks(_documents(spark, sf_dir, "doc_id", "text"), items)
 
 
+def op5_html_extraction(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op6_bpe(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "text")
     return bpe.encode_decode(docs, vocabulary(), keep=False).drop("text")
 
 
+def op7_quality(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    rules = quality.train(docs, _labels(spark, sf_dir))
+    return quality.score(docs, rules).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_topk(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op9_line_dedup(spark, sf_dir):
     kept = lines.dedup_lines(_documents(spark, sf_dir, "doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -48,7 +72,8 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        op1_toxicity, op4_benchmark_decontamination, op6_bpe, op9_line_dedup, op10_simhash_near_dedup)}
+        op1_toxicity, op2_warc, op4_benchmark_decontamination, op5_html_extraction, op6_bpe, op7_quality, op8_topk,
+        op9_line_dedup, op10_simhash_near_dedup)}
 
 
 OP9_SQL = r"""
@@ -69,4 +94,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
-ORACLE = {"op9_line_dedup": OP9_SQL}
+OP2_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+hashed AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS h,
+         min(page_id) OVER (PARTITION BY payload) AS first FROM payloads)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INTEGER, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM hashed
+"""
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS codes FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.codes, c.codes)::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
+"""
+
+ORACLE = {"op2_warc": OP2_SQL, "op8_topk": OP8_SQL, "op9_line_dedup": OP9_SQL}

@@ -9,9 +9,10 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusplan.llm.common import store_of, texts_of, with_columns
+from corpusplan.llm.common import labelled_sample, store_of, texts_of, with_columns
 
 TRAIN_DOCS = 12_000  # expected labelled documents at most: they are taken by a threshold on a hash of the id
 FEATURES = 4_096
@@ -95,33 +96,12 @@ def fit_bags(rows: list[tuple[int, list[list[int]]]], n_features: int):
     return x[:-2], float(x[-2]), math.exp(x[-1])
 
 
-def held_out(id_col: str = "doc_id"):
-    """True for the fifth of the documents whose labels are never learned from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, id_col: str, limit: int) -> DataFrame:
-    """(id, text, label) of a hash sample, `limit` rows expected at most, of the labelled rows to learn from.
-
-    An id labelled twice counts once, with its larger label.
-    """
-    usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    share = min(1.0, limit / max(1, usable.count()))
-    picked = (usable.where(F.pmod(F.xxhash64(F.lit(label), id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
-              .groupBy(id_col).agg(F.max(label).alias("label")))
-    # of bounded size by the threshold, so it may be broadcast
-    return (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-            .join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id").dropDuplicates(["id"]))
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text",
           id_col: str = "doc_id", limit: int = TRAIN_DOCS) -> Model:
     """Fit on a bounded sample of the labelled documents that are not held out.
 
     With no label of one of the two kinds, the model scores every text by the share of label 1.
     """
-    import pyarrow as pa
-
     store = store_of(docs.sparkSession, "toxicity")
     sample = store(labelled_sample(docs, labels, label, text, id_col, limit), "sample",
                    rows=F.count(F.lit(1)), ones=F.sum("label"))
