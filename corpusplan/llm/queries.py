@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusplan.llm import bpe, decontaminate, html, lines, quality, simhash, topk, toxicity, warc
+from corpusplan.llm import bpe, decontaminate, html, lines, quality, simhash, suffix, topk, toxicity, warc
 from corpusplan.llm.common import held_out
 
 
@@ -33,6 +33,11 @@ def op2_warc(spark, sf_dir):
     return warc.read_records(warc.look_up(pages, index))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    cleaned = suffix.remove_repeats(_documents(spark, sf_dir, "doc_id", "text"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.leaks(_documents(spark, sf_dir, "doc_id", "text"), items)
@@ -72,7 +77,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        op1_toxicity, op2_warc, op4_benchmark_decontamination, op5_html_extraction, op6_bpe, op7_quality, op8_topk,
+        op1_toxicity, op2_warc, op3_suffix_dedup, op4_benchmark_decontamination, op5_html_extraction, op6_bpe, op7_quality, op8_topk,
         op9_line_dedup, op10_simhash_near_dedup)}
 
 
