@@ -7,6 +7,7 @@ leaves, each in logarithmic time, and the work ends when the root holds no merge
 
 import hashlib
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -19,6 +20,33 @@ CACHE_WORDS = 1 << 19
 _NONE = 1 << 62
 
 
+# Letters, numbers and lower cases that Unicode 16 and 17 gave to code points that Python's
+# own tables still call unassigned (first, last) and (first upper case, last, first lower case).
+NEW_LETTERS = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+               (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+               (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+               (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+               (0x1E5F0, 0x1E5F0)]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+               (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEW_LOWER = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+             (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B),
+             (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+
+
+def _ranges(kind: str, more=()) -> str:
+    """The code points whose category begins with `kind`, and more, as the inside of a pattern's set."""
+    found, start = list(more), None
+    for c in range(0x110001):
+        inside = c < 0x110000 and unicodedata.category(chr(c)).startswith(kind)
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            found.append((start, c - 1))
+            start = None
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -34,30 +62,19 @@ def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]
     n = len(symbols)
     if n < 2:
         return symbols
-    size = 1 << (n - 1).bit_length()
+    size = 1 << (n - 2).bit_length()
     shift = size.bit_length()
+    place = (1 << shift) - 1
     get = merges.get
     made = [get(p) for p in zip(symbols, symbols[1:])]
-    leaves = [m[0] << shift | i if m else _NONE for i, m in enumerate(made)]
-    tree = [_NONE] * size + leaves + [_NONE] * (size - n + 1)
+    made.append(None)  # the last symbol has no right neighbour
+    tree = [_NONE] * size
+    tree += [m[0] << shift | i if m else _NONE for i, m in enumerate(made)]
+    tree += [_NONE] * (2 * size - len(tree))
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    place = (1 << shift) - 1
-
-    def update(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                return
-            tree[i] = low
-            i >>= 1
-
     while (root := tree[1]) != _NONE:
         i = root & place
         j = after[i]
@@ -67,13 +84,24 @@ def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]
         if k < n:
             before[k] = i
             made[i] = m = get((symbols[i], symbols[k]))
-            update(i, m[0] << shift | i if m else _NONE)
-        else:
-            update(i, _NONE)
-        update(j, _NONE)
-        if (h := before[i]) >= 0:
+            changes = [(i + size, m[0] << shift | i if m else _NONE), (j + size, _NONE)]
+        else:  # the merged symbol is the last one; had j a leaf, it held no merge
+            changes = [(i + size, _NONE)]
+        h = before[i]
+        if h >= 0:
             made[h] = m = get((symbols[h], symbols[i]))
-            update(h, m[0] << shift | h if m else _NONE)
+            changes.append((h + size, m[0] << shift | h if m else _NONE))
+        for leaf, value in changes:
+            if tree[leaf] == value:
+                continue
+            tree[leaf] = value
+            while leaf > 1:  # up to the root, or as far as a minimum changes
+                other = tree[leaf ^ 1]
+                low = value if value < other else other
+                leaf >>= 1
+                if tree[leaf] == low:
+                    break
+                tree[leaf] = value = low
     return [s for s in symbols if s >= 0]
 
 
@@ -115,6 +143,12 @@ class Tokenizer:
         self.runs = regex.compile(f"[{self._SPACE}]+")
         self.words = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{self._SPACE}\p{{L}}\p{{N}}]+")
+        # the fast pattern knows another Unicode version: texts with code points in doubt take a slower one
+        letters_, numbers = _ranges("L", NEW_LETTERS), _ranges("N", NEW_NUMBERS)
+        self.doubtful = re.compile(f"[{_ranges('Cn')}]")
+        self.careful = re.compile(
+            f"'s|'t|'re|'ve|'m|'ll|'d|[{letters_}]+|[{numbers}]|[^{self._SPACE}{letters_}{numbers}]+")
+        self.lower = {a + i: low + i for a, b, low in NEW_LOWER for i in range(b - a + 1)}
         self.cache = _Words(self._encode_word, cache_words)
 
     def _encode_word(self, word: str) -> bytes:
@@ -126,7 +160,10 @@ class Tokenizer:
         text = self.runs.sub(" ", unicodedata.normalize("NFC", text))
         # letter by letter: a sigma at a word's end is no other letter
         text = text.replace("Σ", "σ").lower()
-        return b"".join(map(self.cache.__getitem__, self.words.findall(text)))
+        words = self.words
+        if not text.isascii() and self.doubtful.search(text):
+            text, words = text.translate(self.lower), self.careful
+        return b"".join(map(self.cache.__getitem__, words.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, one after another."""

@@ -96,7 +96,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that are the smallest id of their component; rows without id stay."""
+    """The documents that are the smallest id of their component; rows without id stay.
+
+    Rows that repeat an id are one document: they stay or go together.
+    """
     gone = (near_duplicates(docs, text, id_col).where(F.col(id_col) != F.col("component_id"))
             .select(F.col(id_col).alias("_gone")).distinct())
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
