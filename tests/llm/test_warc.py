@@ -1,0 +1,65 @@
+import base64
+import hashlib
+
+from corpusplan.llm import warc
+
+HTML = ["<p>é</p>", "", None, "<p>é</p>", "x" * 5000, "x" * 5000, "y", "<p>é</p>", "\r\n\r\n", "日本"]
+
+
+def pages(spark):
+    rows = [(20 - i, f"http://Www.Example.com:80/{i % 3}?q={i}", h, 1) for i, h in enumerate(HTML)]
+    rows += [(50, None, "y", 1), (51, "not a url\nat all é", "z", 1), (52, "http://[bad", "z", 1), (None, "http://e.org/", "z", 1)]
+    rows += [(100 + i, "http://hot.org/same", "hot", 1) for i in range(60)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string, key int")
+
+
+def wanted(rows, min_bytes=0):
+    first = {}
+    for p, _, h, _ in rows:
+        if p is not None:
+            first[h or ""] = min(first.get(h or "", p), p)
+    out = []
+    for p, _, h, _ in rows:
+        data = (h or "").encode()
+        to = first.get(h or "")
+        revisit = p is not None and len(data) >= min_bytes and to != p
+        out.append((p, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(),
+                    "revisit" if revisit else "response", to if revisit else None))
+    return sorted(out, key=str)
+
+
+def test_round_trip_through_small_files_and_blocks(spark):
+    for min_bytes in (0, 3):
+        table = pages(spark)
+        _, index = warc.archive(table.repartition(4), min_bytes, file_bytes=3000, block_lines=3)
+        got = warc.read_records(warc.look_up(table, index), payload=True).collect()
+        rows = [tuple(r) for r in table.collect()]
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) \
+            == wanted(rows, min_bytes)
+        for r in got:
+            full = next((h or "").encode() for p, _, h, _ in rows if p == r.page_id)
+            assert bytes(r.payload) == (full if r.record_type == "response" else b"")
+
+
+def test_lookup_of_strangers_and_empty_table(spark):
+    table = pages(spark)
+    _, index = warc.archive(table, block_lines=2)
+    other = spark.createDataFrame([(999, "http://hot.org/same"), (1, "http://nowhere/")], "page_id long, url string")
+    assert warc.look_up(other, index).count() == 0
+    _, index = warc.archive(table.limit(0))
+    assert index == [] and warc.look_up(other, index).count() == 0
+
+
+def test_url_keys():
+    assert warc.url_key("http://www.A.b.com:80/x?y") == "com,b,a)/x?y"
+    assert warc.url_key("https://b.com:8443") == "com,b:8443)/"
+    assert warc.url_key(None) == ")" and warc.url_key("mailto:x") == ")mailto:x"
+
+
+def test_damage_is_seen():
+    data = warc.record(1, "http://a/", b"payload", None).replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n")
+    try:
+        warc.parse(data)
+    except ValueError:
+        return
+    raise AssertionError("a changed payload was accepted")
