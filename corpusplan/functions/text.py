@@ -13,11 +13,6 @@ def nonempty(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def contains(text: Column, part: Column) -> Column:
-    """Literal substring test, safe for user text holding `%`, `_` or regex signs."""
-    return F.instr(text, part) > 0
-
-
 def any_of(tests) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -31,6 +26,12 @@ def strip_slashes(text: Column) -> Column:
     return F.regexp_replace(text, r"/+\z", "")
 
 
+def decoded(path: Column) -> Column:
+    """A path as it is, from the percent-encoded form file metadata has; a plus stays one."""
+    plain = F.regexp_replace(path, r"\Afile:/+", "file:/")
+    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

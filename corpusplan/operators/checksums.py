@@ -4,10 +4,13 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusplan.sources.archives import tasks_for
 from corpusplan.sources.inventory import list_files, require_path
 from corpusplan.sources.streams import open_read
 
 _PIECE = 4 << 20
+# a task reads about this many bytes
+_TASK_BYTES = 1 << 30
 
 
 def text_checksums(df: DataFrame, text: str, checksum: str = "md5") -> DataFrame:
@@ -35,5 +38,4 @@ def file_checksums(spark: SparkSession, path: str, tasks: int | None = None) ->
     """
     require_path(spark, path)
     files = list_files(spark, path, recursive=True).select("path", "length")
-    tasks = tasks or spark.sparkContext.defaultParallelism
-    return files.repartition(tasks).mapInPandas(_md5_of_files, "path string, length bigint, md5 string")
+    return files.repartition(tasks or tasks_for(files, _TASK_BYTES)).mapInPandas(_md5_of_files, "path string, length bigint, md5 string")

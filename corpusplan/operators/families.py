@@ -207,8 +207,8 @@ def link_index(selectors: DataFrame, source: AnchorSource, families: Families,
                store: Keep = lazy) -> DataFrame:
     """First hop: selectors with the links of their index page that a rule keeps.
 
-    All rules are tested in the one join. The step is settled, so the filters of the
-    steps that follow stay above the join and the join is planned once for all.
+    All rules are tested in the one join. The steps that follow each read the result: give a
+    `store` that writes it, or it is worked out once per step.
     """
     steps = {"page": families.of_kind(PageFamily), "category": families.of_kind(DirectoryFamily)}
     tables = families.of_kind(TableFamily)
@@ -303,7 +303,7 @@ def family_files(selectors: DataFrame, source: AnchorSource, families: Families,
                  store: Keep = lazy) -> DataFrame:
     """Every selector's files: SELECTOR + FILE columns, all families together.
 
-    Anchors are read once per hop.
+    With a `store` that writes tables, anchors are read once per hop.
     """
     links = store(link_index(selectors, source, families, store), "links")
     parts = []

@@ -3,12 +3,30 @@
 from pyspark.sql import DataFrame, functions as F
 
 
+def settled(found: DataFrame, force: bool = False) -> DataFrame:
+    """Add status and error from `present` (something is at the output path, NULL counts as no),
+    `src_path` (NULL where the mirror lacks the object) and, if there is one, `problem`.
+
+    The one rule of both ways to know the facts: tables of what exists, and tasks that look.
+    Existence alone decides; with `force` it is not looked at.
+    """
+    problem = F.col("problem") if "problem" in found.columns else F.lit(None).cast("string")
+    there = F.lit(False) if force else F.coalesce("present", F.lit(False))
+    status = F.when(problem.isNotNull(), "failed").when(there, "skipped").when(
+        F.col("src_path").isNotNull(), "landed").otherwise("failed")
+    missing = F.concat(F.lit("no object for "), "url")
+    return (
+        found.withColumn("status", status)
+        .withColumn("error", F.when(F.col("status") == "failed", F.coalesce(problem, missing)))
+        .drop("present", "problem")
+    )
+
+
 def fetch_status(plan: DataFrame, existing: DataFrame, objects: DataFrame, force: bool = False) -> DataFrame:
     """Add status, error and the object's src_path and length.
 
     plan: one row per output_path. existing: output_path of files already there.
     objects(url, src_path, length): what the mirror holds, one row per url.
-    Existence alone decides; with `force` it is not looked at.
     """
     found = plan.join(objects.select("url", "src_path", "length"), "url", "left")
     if force:
@@ -16,16 +34,7 @@ def fetch_status(plan: DataFrame, existing: DataFrame, objects: DataFrame, force
     else:
         there = existing.select("output_path").distinct().withColumn("present", F.lit(True))
         found = found.join(there, "output_path", "left")
-    status = (
-        F.when(F.col("present"), "skipped")
-        .when(F.col("src_path").isNotNull(), "landed")
-        .otherwise("failed")
-    )
-    return (
-        found.withColumn("status", status)
-        .withColumn("error", F.when(F.col("status") == "failed", F.concat(F.lit("no object for "), "url")))
-        .drop("present")
-    )
+    return settled(found, force)
 
 
 def to_fetch(plan: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:

@@ -6,12 +6,16 @@ from corpusplan import known
 from corpusplan.functions.text import basename
 
 
-def batch_summary(files: DataFrame) -> DataFrame:
-    """Files per dataset and a grand total (dataset_id NULL, is_total 1).
+def batch_summary(attributed: DataFrame) -> DataFrame:
+    """Files held per dataset and a grand total (dataset_id NULL, is_total 1).
 
-    Counted per dataset first, so the rollup sees one row per dataset.
+    attributed: the outcome of every planned row. A dataset's file counts once over all its
+    requests, and a dataset none of whose files is held has 0. Counted per dataset first,
+    so the rollup sees one row per dataset.
     """
-    per_dataset = files.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    held = F.max(F.when(F.col("status").isin("skipped", "landed"), 1).otherwise(0))
+    per_file = attributed.groupBy("dataset_id", "url").agg(held.alias("held"))
+    per_dataset = per_file.groupBy("dataset_id").agg(F.sum("held").alias("n"))
     return (
         per_dataset.rollup("dataset_id")
         .agg(

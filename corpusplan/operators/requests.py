@@ -133,14 +133,9 @@ def unanswered(asked: DataFrame, files: DataFrame) -> DataFrame:
 
 def require_known(requests: DataFrame, families: Families) -> DataFrame:
     """Raise when an id belongs to no family; else return the requests."""
-    unknown = resolve(requests, families).where(F.col("family").isNull()).select("dataset_id").take(5)
-    if unknown:
-        raise ValueError("unsupported dataset id: " + ", ".join(str(r.dataset_id) for r in unknown))
+    unknown = resolve(requests, families).where(F.col("family").isNull()).select("dataset_id")
+    first = unknown.take(5)
+    if first:
+        names = ", ".join(str(r.dataset_id) for r in first)
+        raise ValueError(f"unsupported dataset id in {unknown.count()} requests, the first: {names}")
     return requests
-
-
-def require_files(plan: DataFrame) -> DataFrame:
-    """Raise when nothing at all was found; else return the plan."""
-    if plan.isEmpty():
-        raise ValueError("no files found for any request")
-    return plan

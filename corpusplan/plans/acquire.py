@@ -6,29 +6,30 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 
 from corpusplan import known
-from corpusplan.functions.archive import archive_kind
 from corpusplan.operators.anchors import anchors_at_addresses
 from corpusplan.operators.collisions import collisions, first_per_path
 from corpusplan.operators.families import AnchorSource, Families, standard_families
-from corpusplan.operators.landing import attribute
+from corpusplan.operators.landing import attribute, settled
 from corpusplan.operators.requests import (
     answer, lay_out_batch, lay_out_single, require_known, unanswered,
 )
 from corpusplan.session import Store, shared_dir
-from corpusplan.sources.archives import tar_lines
-from corpusplan.sources.inventory import qualified
-from corpusplan.sources.ledger import append_batch, ledger_entries
-from corpusplan.sources.streams import copy, size_of
+from corpusplan.sources.archives import archive_lines, unpack_errors
+from corpusplan.sources.inventory import file_system_root, qualified
+from corpusplan.sources.ledger import append_batch, ledger_entries, read_log
+from corpusplan.sources.streams import copy, info_of, locate
 
 # a task copies about this many bytes, and looks up about this many files
 _TASK_BYTES = 1 << 30
 _TASK_LOOKUPS = 1024
 
 _FILE = ["req_id", "dataset_id", "url", "filename", "target_dir", "output_path"]
-_STATUS = (
+_KEPT = (
     "req_id bigint, dataset_id string, url string, filename string, target_dir string, output_path string, "
-    "src_path string, status string, error string, length bigint"
+    "src_path string"
 )
+_LOOKED_UP = f"{_KEPT}, present boolean, problem string, length bigint, ts bigint"
+_COPIED = f"{_KEPT}, status string, error string, length bigint, ts bigint"
 
 
 @dataclass
@@ -42,12 +43,20 @@ class Run:
     outcomes: DataFrame
     attributed: DataFrame
 
-    def unpacked_lines(self, tasks: int | None = None) -> DataFrame:
-        """Lines inside the tar archives this run holds, whether landed or skipped,
-        and however few files a request had."""
+    def _held(self) -> DataFrame:
         held = self.outcomes.where(F.col("status").isin("landed", "skipped"))
-        tars = held.where(archive_kind(F.col("output_path")) == "tar")
-        return tar_lines(tars.select(F.col("output_path").alias("path")), tasks)
+        return held.select(F.col("output_path").alias("path"), "length")
+
+    def unpacked_lines(self, tasks: int | None = None) -> DataFrame:
+        """Lines inside the tar and gzip archives this run holds, whether landed or skipped,
+        and however few files a request had; what cannot be read is in `unpack_errors`."""
+        return archive_lines(self._held(), tasks).where("error IS NULL").drop("error")
+
+    def unpack_errors(self, tasks: int | None = None) -> DataFrame:
+        """(path, error) of the archives held that do not unpack: broken ones, and forms that
+        are attempted but never work."""
+        broken = archive_lines(self._held(), tasks).where("error IS NOT NULL")
+        return broken.select(F.col("archive").alias("path"), "error").unionByName(unpack_errors(self._held()))
 
 
 def page_links(pages: DataFrame) -> AnchorSource:
@@ -68,41 +77,75 @@ def plan_from_pages(requests: DataFrame, pages: DataFrame, families: Families |
 
 
 def _look_up(source, target, force):
-    """(status, error, length) a planned file is about to get."""
+    """(src_path, present, problem, length, ts): what is at both ends; ts only of what is there."""
     try:
-        if not force and size_of(target) is not None:
-            return "skipped", None, None
-        length = size_of(source)
-        if length is None or length < 0:
-            return "failed", f"no object at {source}", None
-        return "landed", None, length
+        there = None if force else info_of(target)
+        if there:
+            return source, True, None, max(there[0], 0), there[1]
+        found = info_of(source)
+        if found is None or found[0] < 0:
+            return None, False, None, None, None
+        return source, False, None, found[0], None
     except Exception as problem:  # one bad file does not stop the batch
-        return "failed", f"{type(problem).__name__}: {problem}", None
+        return source, False, f"{type(problem).__name__}: {problem}", None, None
 
 
 def _copy(source, target, length):
+    """(status, error, length, ts) of one file; ts is the time the copy was complete."""
     try:
-        return "landed", None, copy(source, target)
+        copied = copy(source, target, length)
+        return "landed", None, copied, info_of(target)[1]
     except Exception as problem:
-        return "failed", f"{type(problem).__name__}: {problem}", None
+        return "failed", f"{type(problem).__name__}: {problem}", None, None
 
 
-def _settle_rows(batches, settle_row, inputs):
+def _settle_rows(batches, settle_row, inputs, outputs):
     for batch in batches:
         if batch.empty:
             continue
         done = [settle_row(*row) for row in batch[inputs].itertuples(index=False)]
-        batch["status"], batch["error"], batch["length"] = zip(*done)
-        batch["length"] = batch["length"].astype("Int64")
+        for name, values in zip(outputs, zip(*done)):
+            batch[name] = values
+        batch[["length", "ts"]] = batch[["length", "ts"]].astype("Int64")
         yield batch
 
 
 def _look_up_rows(batches, force):
-    return _settle_rows(batches, partial(_look_up, force=force), ["src_path", "output_path"])
+    return _settle_rows(batches, partial(_look_up, force=force), ["src_path", "output_path"],
+                        ["src_path", "present", "problem", "length", "ts"])
 
 
 def _copy_rows(batches):
-    return _settle_rows(batches, _copy, ["src_path", "output_path", "length"])
+    return _settle_rows(batches, _copy, ["src_path", "output_path", "length"], ["status", "error", "length", "ts"])
+
+
+def with_scheme(plan: DataFrame, parent_dir: str) -> DataFrame:
+    """Output paths that name no file system, on that of the (qualified) parent directory; a relative
+    one is below the session's working directory there. A task would else take them for its own disk.
+    """
+    spark = plan.sparkSession
+    root, here = file_system_root(spark, parent_dir), qualified(spark, ".")
+
+    def whole(path):
+        path = F.col(path)
+        return (
+            F.when(path.rlike(r"\Afile:/"), F.regexp_replace(path, r"\Afile:/+", "file:/"))
+            .when(path.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), path)
+            .when(F.startswith(path, F.lit("/")), F.concat(F.lit(root), path))
+            .otherwise(F.concat(F.lit(f"{here}/"), path))
+        )
+
+    return plan.withColumn("target_dir", whole("target_dir")).withColumn("output_path", whole("output_path"))
+
+
+def require_file_systems(plan: DataFrame) -> None:
+    """Raise when output paths lie on a file system that tasks cannot write to."""
+    base = F.regexp_extract("output_path", r"\A([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)", 1)
+    for row in plan.select(base.alias("base")).distinct().toLocalIterator():
+        try:
+            locate(f"{row.base}/")
+        except Exception as problem:
+            raise ValueError(f"cannot write to {row.base}: {problem}") from problem
 
 
 def land(kept: DataFrame, mirror_dir: str, store: Store, force: bool = False,
@@ -122,14 +165,13 @@ def land(kept: DataFrame, mirror_dir: str, store: Store, force: bool = False,
     source = F.concat(F.lit(qualified(spark, mirror_dir) + "/"), address)
     rows = store(kept.select(*_FILE, source.alias("src_path")), "kept", files=F.count(F.lit(1)))
     lookups = max(least, -(-store.measured["kept"]["files"] // _TASK_LOOKUPS))
-    looked_up = rows.repartition(tasks or lookups).mapInPandas(partial(_look_up_rows, force=force), _STATUS)
+    looked_up = settled(rows.repartition(tasks or lookups).mapInPandas(
+        partial(_look_up_rows, force=force), _LOOKED_UP), force)
     planned = F.coalesce(F.sum(F.when(F.col("status") == "landed", F.col("length"))), F.lit(0))
     status = store(looked_up, "status", bytes=planned)
     copies = max(least, -(-store.measured["status"]["bytes"] // _TASK_BYTES))
-    copied = status.where("status = 'landed'").repartition(tasks or copies).mapInPandas(_copy_rows, _STATUS)
-    now = F.unix_timestamp()
-    outcomes = copied.unionByName(status.where("status <> 'landed'")).select(
-        *_FILE, "status", "error", "length", F.when(F.col("status") == "landed", now).alias("ts"))
+    copied = status.where("status = 'landed'").repartition(tasks or copies).mapInPandas(_copy_rows, _COPIED)
+    outcomes = copied.unionByName(status.where("status <> 'landed'")).select(*_FILE, "status", "error", "length", "ts")
     return store(outcomes, "outcomes")
 
 
@@ -149,10 +191,11 @@ def acquire(requests: DataFrame, source: AnchorSource, mirror_dir: str, parent_d
     require_known(requests, families)
     asked, files = answer(requests, source, families, store)
     lay_out = lay_out_single if single else lay_out_batch
-    plan = store(lay_out(asked, files, parent_dir), "plan", files=F.count(F.lit(1)))
+    plan = store(with_scheme(lay_out(asked, files, parent_dir), parent_dir), "plan", files=F.count(F.lit(1)))
     if not store.measured["plan"]["files"]:
         raise ValueError("no files found for any request")
+    require_file_systems(plan)
     outcomes = land(first_per_path(plan), mirror_dir, store, force, tasks)
     if ledger_dir:
-        append_batch(ledger_entries(outcomes), ledger_dir, store.folder.rsplit("/", 1)[-1])
+        append_batch(ledger_entries(outcomes, read_log(spark, ledger_dir)), ledger_dir, store.folder.rsplit("/", 1)[-1])
     return Run(store.folder, plan, collisions(plan), unanswered(asked, files), outcomes, attribute(plan, outcomes))

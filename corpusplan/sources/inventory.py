@@ -4,7 +4,7 @@ Spark's own file sources leave out empty files and names that start with `.` or
 and list on the driver; here tasks do the listing and nothing is left out.
 """
 
-import fnmatch
+import re
 from functools import partial
 
 import pandas as pd
@@ -32,6 +32,12 @@ def qualified(spark: SparkSession, path: str) -> str:
     return system.makeQualified(target).toString()
 
 
+def file_system_root(spark: SparkSession, path: str) -> str:
+    """Scheme and authority of the path's file system, as `file:` or `hdfs://name:port`."""
+    return qualified(spark, _hadoop_path(spark, path)[0].getFileSystem(
+        spark._jsc.hadoopConfiguration()).getUri().toString() + "/").rstrip("/")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target, system = _hadoop_path(spark, path)
     return system.exists(target)
@@ -91,23 +97,47 @@ def _walk(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
     return found.drop("unlisted")
 
 
+def _glob(pattern: str) -> str:
+    """A pattern as an expression in which `*` and `?` stay within a folder; `**/` is any folders."""
+    out, i = "", 0
+    while i < len(pattern):
+        end = pattern.find("]", i + 2) if pattern[i] == "[" else -1
+        if pattern.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif end > 0:
+            inside = pattern[i + 1:end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out, i = out + "[" + ("^" + inside[1:] if inside[0] == "!" else "\\" + inside if inside[0] == "^" else inside) + "]", end + 1
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(pattern[i], re.escape(pattern[i])), i + 1
+    return out
+
+
 def list_files(spark: SparkSession, directory: str, pattern: str | None = None,
                recursive: bool = False) -> DataFrame:
     """path, modificationTime, length and is_dir; contents are not read.
 
     A folder that is not there gives no rows. Without a pattern only regular files
-    are listed. A pattern tests names, folders' too; it may start with folders or
-    with `**/` to look at every level.
+    are listed. A pattern tests names, folders' too; it may start with folders, themselves
+    patterns if need be, or with `**/` to look at every level.
     """
     if pattern is None:
         return _walk(spark, directory, recursive).where(~F.col("is_dir"))
     if pattern.startswith("**/"):
         recursive, pattern = True, pattern[3:]
-    if "/" in pattern:
-        folder, pattern = pattern.rsplit("/", 1)
+    folder, _, name = pattern.rpartition("/")
+    if any(c in folder for c in "*?["):
+        # whole paths below the directory are tested, a folder's pattern against each level
+        root = qualified(spark, directory).rstrip("/") + "/"
+        lead = "(?:.*/)?" if recursive else ""
+        below = F.substring("path", len(root) + 1, 1 << 30)
+        return _walk(spark, directory, True).where(below.rlike(rf"(?s)\A{lead}{_glob(pattern)}\z"))
+    if folder and recursive:
+        tail = F.concat(F.lit("/"), F.substring("path", len(qualified(spark, directory).rstrip("/")) + 2, 1 << 30))
+        return _walk(spark, directory, True).where(tail.rlike(rf"(?s)/{_glob(pattern)}\z"))
+    if folder:
         directory = f"{directory.rstrip('/')}/{folder}"
-    name = F.substring_index("path", "/", -1)
-    return _walk(spark, directory, recursive).where(name.rlike(rf"\A{fnmatch.translate(pattern)}"))
+    own = F.substring_index("path", "/", -1)
+    return _walk(spark, directory, recursive).where(own.rlike(rf"(?s)\A{_glob(name)}\z"))
 
 
 def existing_paths(spark: SparkSession, directory: str) -> DataFrame:

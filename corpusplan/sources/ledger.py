@@ -1,8 +1,9 @@
 """The ledger: where each address was landed, and when.
 
 Kept as a log of Parquet batches. A batch is written once under its own id, so a
-repeated write replaces itself; reading takes the newest row per address. A snapshot
-folds the log into one folder of its own and never overwrites what it reads.
+repeated write replaces itself; reading takes the newest row per address, of equals that of
+the later batch. A snapshot folds the log into the first batch of a new log and never
+overwrites what it reads.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -28,16 +29,21 @@ def read_json_ledger(spark: SparkSession, path: str) -> DataFrame:
     return parse_ledgers(spark.read.option("wholetext", "true").text(path))
 
 
-def latest(entries: DataFrame, tiebreak: str = "path") -> DataFrame:
+def latest(entries: DataFrame, *tiebreaks: str) -> DataFrame:
     """Newest entry per address; one row per address and task is shuffled."""
-    newest = Window.partitionBy("url").orderBy(F.desc("ts"), F.desc(tiebreak))
+    newest = Window.partitionBy("url").orderBy(*[F.desc(c) for c in ("ts", *tiebreaks, "path")])
     return entries.withColumn("nth", F.row_number().over(newest)).where("nth = 1").drop("nth")
 
 
-def ledger_entries(outcomes: DataFrame) -> DataFrame:
-    """Ledger rows of freshly landed files."""
-    return outcomes.where("status = 'landed'").select(
-        "url", F.col("output_path").alias("path"), F.col("ts").cast("bigint").alias("ts"))
+def ledger_entries(outcomes: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Ledger rows of freshly landed files, and of files that were there but that the log
+    does not know: a run may have been lost between copying and recording."""
+    entry = ["url", F.col("output_path").alias("path"), F.col("ts").cast("bigint").alias("ts")]
+    landed = outcomes.where("status = 'landed'").select(*entry)
+    if log is None:
+        return landed
+    held = outcomes.where("status = 'skipped'").join(log.select("url"), "url", "left_anti")
+    return landed.unionByName(held.select(*entry))
 
 
 def append_batch(entries: DataFrame, log_dir: str, batch_id: str) -> None:
@@ -48,9 +54,13 @@ def read_log(spark: SparkSession, log_dir: str) -> DataFrame:
     """Newest entry per address over all batches; no log yet is an empty ledger."""
     if not path_exists(spark, log_dir):
         return spark.createDataFrame([], LEDGER)
-    return latest(spark.read.schema(LEDGER).parquet(log_dir).select("url", "path", "ts"))
+    rows = spark.read.schema(f"{LEDGER}, batch string").parquet(log_dir).select(
+        "url", "path", "ts", F.col("_metadata.file_modification_time").alias("_written"), "batch")
+    return latest(rows, "_written", "batch").select("url", "path", "ts")
 
 
 def write_snapshot(ledger: DataFrame, snapshot_dir: str) -> None:
-    """Write a folded ledger to a new folder; fails when the folder exists."""
-    ledger.select("url", "path", "ts").write.mode("errorifexists").parquet(snapshot_dir)
+    """Write a folded ledger as the first batch of a new log; fails when the folder exists."""
+    if path_exists(ledger.sparkSession, snapshot_dir):
+        raise FileExistsError(snapshot_dir)
+    ledger.select("url", "path", "ts").write.parquet(f"{snapshot_dir}/batch=snapshot")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusplan.functions.text import basename, decoded
 from corpusplan.sources.inventory import qualified
 
 
@@ -14,15 +15,16 @@ def read_saved_pages(spark: SparkSession, mirror_dir: str, name: str = "index.ht
                      scheme: str = "http://") -> DataFrame:
     """pages(url, html) of a mirror laid out as host/path/index.html.
 
-    The address of a page is its folder's, with a trailing slash.
+    The address of an index page is its folder's, with a trailing slash. Other names may be
+    asked for with a pattern, such as `*.html`; such a page's address is its own.
     """
     root = qualified(spark, mirror_dir) + "/"
     files = (
         spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", name).text(mirror_dir)
     )
-    folder = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), r"[^/]*\z", "")
-    plain = F.regexp_replace(folder, r"\Afile:/+", "file:/")
+    path = decoded(F.col("_metadata.file_path"))
+    plain = F.when(basename(path) == "index.html", F.regexp_replace(path, r"[^/]*\z", "")).otherwise(path)
     return files.select(
         F.concat(F.lit(scheme), F.substring(plain, len(root) + 1, 1 << 30)).alias("url"),
         F.col("value").alias("html"),

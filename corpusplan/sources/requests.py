@@ -8,6 +8,14 @@ _ENTRY = "map<string,string>"
 _NAMED = ("dataset_id", "language_pair", "category", "target_dir")
 
 
+def _last_of_each(entry):
+    """A map without doubled keys; the last value counts."""
+    names = F.array_distinct(F.map_keys(entry))
+    pairs = F.map_entries(entry)
+    return F.map_from_arrays(names, F.transform(
+        names, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
+
+
 def parse_batches(texts: DataFrame, text: str = "value") -> DataFrame:
     """Add `entries` (array of maps) and `problem` to rows holding one batch each.
 
@@ -15,16 +23,21 @@ def parse_batches(texts: DataFrame, text: str = "value") -> DataFrame:
     maps, so a key that is absent differs from one that is null or empty.
     """
     body = F.col(text)
-    is_list = F.json_array_length(body).isNotNull()
-    is_object = F.coalesce(F.array_contains(F.json_object_keys(body), "datasets"), F.lit(False))
+    # within brackets it is one value, or there is something behind it
+    whole = F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1, F.lit(False))
+    is_list = whole & F.json_array_length(body).isNotNull()
+    is_object = whole & F.coalesce(F.array_contains(F.json_object_keys(body), "datasets"), F.lit(False))
     entries = F.when(is_list, F.from_json(body, f"array<{_ENTRY}>")).when(
         is_object, F.from_json(body, f"struct<datasets:array<{_ENTRY}>>")["datasets"])
+    listed = F.when(is_list, body).otherwise(F.get_json_object(body, "$.datasets"))
     nameless = F.exists("entries", lambda e: F.coalesce(e["dataset_id"], F.lit("")) == "")
     problem = (
         F.when(~is_list & ~is_object, "not a JSON array and not an object with 'datasets'")
+        .when(F.col("entries").isNull() & (F.json_array_length(listed) > 0), "an entry is not an object")
         .when(F.coalesce(F.size("entries"), F.lit(0)) <= 0, "no datasets defined")
         .when(nameless, "an entry has no dataset_id")
     )
+    entries = F.transform(entries, lambda e: F.when(e.isNotNull(), _last_of_each(e)))
     return texts.withColumn("entries", entries).withColumn("problem", problem)
 
 
@@ -50,14 +63,20 @@ def batch_requests(parsed: DataFrame) -> DataFrame:
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Requests of one batch file; raises when it is unreadable, malformed or empty."""
-    parsed = parse_batches(spark.read.option("wholetext", "true").text(path))
-    problems = [r.problem for r in parsed.select("problem").take(1)]
-    if not problems:
+    """Requests of one batch file; raises when it is unreadable, malformed or empty.
+
+    A folder may hold the file, but only one: the place in its list is the request's id.
+    """
+    parsed = parse_batches(spark.read.option("wholetext", "true").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file")))
+    first = parsed.select("file", "problem").orderBy("file").take(2)
+    if not first:
         raise ValueError(f"{path}: empty batch file")
-    if problems[0]:
-        raise ValueError(f"{path}: {problems[0]}")
-    return batch_requests(parsed)
+    if len(first) > 1:
+        raise ValueError(f"{path}: {parsed.count()} batch files, name one of them")
+    if first[0].problem:
+        raise ValueError(f"{first[0].file}: {first[0].problem}")
+    return batch_requests(parsed.drop("file"))
 
 
 def single_request(spark: SparkSession, dataset_id: str, target_dir: str | None = None,

@@ -1,31 +1,49 @@
 """Byte streams on any file system Arrow knows, for use inside tasks."""
 
 import posixpath
+import re
 import uuid
 from contextlib import contextmanager
-from urllib.parse import quote
 
 from pyarrow import fs
 
 _PIECE = 4 << 20
 
 
+_SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):")
+_ALIASES = {"s3a": "s3", "s3n": "s3"}
+_systems: dict[str, tuple] = {}
+
+
 def locate(path: str):
-    """(file system, path on it) of a path or URI as Spark prints it."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-    if "://" not in path:
+    """(file system, path on it) of a path or URI as Spark prints it: nothing in it is escaped.
+
+    One client per scheme and authority is kept for the task. An address Arrow has no file
+    system for raises.
+    """
+    scheme = _SCHEME.match(path)
+    if not scheme:
         return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(quote(path, safe=":/@?=&%"))
+    if scheme[1] == "file":
+        return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    rest = path[scheme.end():]
+    if not rest.startswith("//"):
+        raise ValueError(f"no file system for {path}")
+    authority, _, name = rest[2:].partition("/")
+    base = f"{_ALIASES.get(scheme[1], scheme[1])}://{authority}"
+    if base not in _systems:
+        _systems[base] = fs.FileSystem.from_uri(f"{base}/" if not base.startswith("s3:") else base)
+    system, root = _systems[base]
+    return system, f"{root.rstrip('/')}/{name}"
 
 
-def size_of(path: str) -> int | None:
-    """Size of a file, -1 for a folder, None where there is nothing."""
+def info_of(path: str) -> tuple[int, int] | None:
+    """(size, modification time in seconds) of a file, size -1 for a folder, None for nothing."""
     system, name = locate(path)
     info = system.get_file_info(name)
     if info.type == fs.FileType.NotFound:
         return None
-    return info.size if info.type == fs.FileType.File else -1
+    return info.size if info.type == fs.FileType.File else -1, int((info.mtime_ns or 0) // 1_000_000_000)
 
 
 def open_read(path: str):
@@ -54,11 +72,13 @@ def open_write(path: str):
         raise
 
 
-def copy(source: str, target: str) -> int:
-    """Copy in pieces; returns the number of bytes."""
+def copy(source: str, target: str, length: int | None = None) -> int:
+    """Copy in pieces; returns the number of bytes. Other than `length` bytes raise, and nothing is left."""
     total = 0
     with open_read(source) as src, open_write(target) as dst:
         while data := src.read(_PIECE):
             dst.write(data)
             total += len(data)
+        if length is not None and total != length:
+            raise OSError(f"{total} of {length} bytes of {source}")
     return total

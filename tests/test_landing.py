@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusplan import acquire
 from corpusplan.operators import checksums, landing, reports
 from corpusplan.plans.acquire import page_links
-from corpusplan.sources import archives, catalogue, inventory, ledger
+from corpusplan.sources import archives, catalogue, inventory, ledger, streams
 from corpusplan.sources.pages import read_saved_pages
 from helpers import anchors, requests, values
 
@@ -54,7 +54,7 @@ def test_two_runs(spark, mirror, tmp_path):
     first = run(spark, mirror, tmp_path)
     counts = Counter(r.status for r in first.outcomes.collect())
     assert counts == {"landed": 2, "failed": 1}
-    assert first.outcomes.where("status = 'failed'").first().error.startswith("no object at ")
+    assert first.outcomes.where("status = 'failed'").first().error.startswith("no object for ")
     assert [r.dataset_id for r in first.missing.collect()] == ["europarl-v99"]
     for pair in PAIRS[:2]:
         source = f"{mirror}/statmt.org/europarl/v7/{pair}-train.tgz"
@@ -143,6 +143,8 @@ def test_list_files(spark, tmp_path):
     assert names(pattern="*.gz") == ["a.gz"]
     assert names(pattern="**/*.gz") == ["a.gz", "c.gz"]
     assert names(pattern="sub/*") == ["c.gz"]
+    assert names(pattern="*/c.gz") == names(pattern="su*/*") == names(pattern="[st]ub/?.gz") == ["c.gz"]
+    assert names(pattern="**/sub/*.gz") == names(pattern="*/*") == ["c.gz"] and names(pattern="x*/c.gz") == []
     assert names(pattern="*.none") == []
     assert inventory.list_files(spark, str(tmp_path / "none")).count() == 0
 
@@ -172,6 +174,73 @@ def test_gzip_text(spark, tmp_path):
     assert values(rows, "member", "line") == [("x.tsv", ""), ("x.tsv", "a\tb"), ("x.tsv", "c\td\r")]
 
 
+def test_hidden_and_odd_gzip_names(spark, tmp_path):
+    for name in ("_x.gz", ".y.gz", "x y%20+.tsv.gz", "sub/_z.gz"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(gzip.compress(name.encode()))
+    rows = archives.read_gzip_text(spark, str(tmp_path))
+    assert values(rows, "member", "line") == [
+        (".y", ".y.gz"), ("_x", "_x.gz"), ("_z", "sub/_z.gz"), ("x y%20+.tsv", "x y%20+.tsv.gz")]
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(b"text" * 1000)[:30])
+    with pytest.raises(Exception, match="cut.gz"):
+        archives.read_gzip_text(spark, str(tmp_path)).collect()
+
+
+def test_broken_archives_are_rows(spark, tmp_path):
+    good = tar_bytes([("a", b"x\n")])
+    (tmp_path / "good.tgz").write_bytes(good)
+    (tmp_path / "cut.tgz").write_bytes(good[:20])
+    (tmp_path / "junk.tar.gz").write_bytes(b"junk")
+    with tarfile.open(tmp_path / "links.tgz", "w:gz") as tar:
+        for name, kind in (("soft", tarfile.SYMTYPE), ("hard", tarfile.LNKTYPE)):
+            info = tarfile.TarInfo(name)
+            info.type, info.linkname = kind, "a"
+            tar.addfile(info)
+    rows = archives.tar_lines(inventory.list_files(spark, str(tmp_path))).collect()
+    assert sorted((r.archive.rsplit("/", 1)[1], r.member, r.line, r.link) for r in rows if not r.error) == [
+        ("good.tgz", "a", "x", None), ("links.tgz", "hard", None, "a"), ("links.tgz", "soft", None, "a")]
+    assert sorted(r.archive.rsplit("/", 1)[1] for r in rows if r.error) == ["cut.tgz", "junk.tar.gz"]
+
+
+def test_pages_at_odd_addresses(spark, tmp_path):
+    for name in ("host/a+b/index.html", "host/c d/dev.html"):
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_text(name)
+    assert values(read_saved_pages(spark, str(tmp_path)), "url") == [("http://host/a+b/",)]
+    assert values(read_saved_pages(spark, str(tmp_path), "*.html"), "url") == [
+        ("http://host/a+b/",), ("http://host/c d/dev.html",)]
+
+
+def test_paths_name_a_file_system(spark, mirror, tmp_path):
+    pages = anchors(spark, {EUROPARL: [f"{p}-train.tgz" for p in PAIRS]})
+    place = tmp_path / "abs"
+    asked = requests(spark, ("europarl-v7", {"target_dir": str(place)}), ("europarl-v7", {"target_dir": f"file:{place}"}),
+                     ("europarl-v7", {"target_dir": f"file://{place}"}))
+    for single in (False, True):
+        done = acquire(asked, pages, mirror, str(tmp_path / "data"), single=single)
+        assert all(r.output_path.startswith("file:/") for r in done.outcomes.collect())
+    assert done.collisions.count() == 6  # one place, however it is written
+    for scheme in ("nosuch://host/x", "dbfs:/x"):
+        with pytest.raises(ValueError, match="cannot write"):
+            acquire(requests(spark, ("europarl-v7", {"target_dir": scheme})), pages, mirror, str(tmp_path / "d"), single=True)
+
+
+def test_short_copy_fails(tmp_path):
+    (tmp_path / "a").write_bytes(b"12345")
+    assert streams.copy(str(tmp_path / "a"), str(tmp_path / "b"), 5) == 5
+    with pytest.raises(OSError, match="5 of 6"):
+        streams.copy(str(tmp_path / "a"), str(tmp_path / "c"), 6)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_ledger_learns_of_files_a_lost_run_left(spark, mirror, tmp_path):
+    first = run(spark, mirror, tmp_path)
+    dated = {r.url: r.ts for r in first.outcomes.where("status = 'landed'").collect()}
+    (tmp_path / "ledger").rename(tmp_path / "lost")
+    run(spark, mirror, tmp_path)
+    assert {r.url: r.ts for r in ledger.read_log(spark, str(tmp_path / "ledger")).collect()} == dated
+
+
 def test_tar_members(spark, tmp_path):
     big = bytes(range(256)) * 10000
     members = [("d", None), ("d/a.txt", "é\n\nlast".encode()), ("../../evil", b"out\n"), ("empty", b""), ("big", big)]
@@ -179,8 +248,9 @@ def test_tar_members(spark, tmp_path):
     (tmp_path / "y.zip").write_bytes(b"PK")
     files = inventory.list_files(spark, str(tmp_path))
     lines = archives.tar_lines(files).where("member <> 'big'")
-    assert values(lines, "member", "size", "number", "line") == [
+    assert values(lines.where("line IS NOT NULL"), "member", "size", "number", "line") == [
         ("../../evil", 4, 0, "out"), ("d/a.txt", 8, 0, "é"), ("d/a.txt", 8, 1, ""), ("d/a.txt", 8, 2, "last")]
+    assert values(lines.where("line IS NULL"), "member", "size", "number", "error") == [("empty", 0, None, None)]
     pieces = archives.tar_bytes(files).where("member = 'big'").orderBy("number").collect()
     assert b"".join(p.data for p in pieces) == big and len(pieces) == 3
     assert [r.error for r in archives.unpack_errors(files).collect()] == ["unsupported archive: y.zip"]
@@ -210,7 +280,11 @@ def test_ledger_log(spark, tmp_path):
     state = values(ledger.read_log(spark, log), "url", "path", "ts")
     assert state == [("u", "p2", 2), ("v", "q", 1)]
     ledger.write_snapshot(ledger.read_log(spark, log), str(tmp_path / "snapshot"))
-    assert values(spark.read.parquet(str(tmp_path / "snapshot")), "url", "path", "ts") == state
+    assert values(ledger.read_log(spark, str(tmp_path / "snapshot")), "url", "path", "ts") == state
+    ledger.append_batch(entries(("w", "r", 3), ("v", "a", 1)), str(tmp_path / "snapshot"), "3")
+    # nothing of the fold is lost, and of equal times the later batch counts
+    assert values(ledger.read_log(spark, str(tmp_path / "snapshot")), "url", "path", "ts") == [
+        ("u", "p2", 2), ("v", "a", 1), ("w", "r", 3)]
     with pytest.raises(Exception):
         ledger.write_snapshot(ledger.read_log(spark, log), str(tmp_path / "snapshot"))
     assert values(reports.ledger_recent(ledger.read_log(spark, log)), "name") == [("p2",), ("q",)]

@@ -64,12 +64,6 @@ def test_archive_kind(spark):
         None, None, "a.tsv", None, None, None]
 
 
-def test_literal_matching(spark):
-    rows = [("100%_x", "%_"), ("abc", "%"), ("abc", "_"), ("a.c", "abc")]
-    assert column(spark, rows, text.contains(F.col("a"), F.col("b")), "a string, b string") == [
-        True, False, False, False]
-
-
 def test_unescape(spark):
     values = ["a&amp;b", "&amp;lt;", "&#233;&#xE9;&eacute;&#x1F600;", "&nope;", "&", "&&amp;", "plain", "&lt;&gt;&quot;&#39;"]
     assert column(spark, [(v,) for v in values], unescape(F.col("a"))) == [reference_unescape(v) for v in values]

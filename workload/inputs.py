@@ -7,8 +7,6 @@ datasets grows with the table while each index page keeps its size. The row
 expressions are plain SQL that Spark and DuckDB read alike.
 """
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusplan.functions.shape import settle
@@ -65,7 +63,6 @@ CATALOGUE_ID = """CASE k % 5 WHEN 0 THEN 'europarl-v7' WHEN 1 THEN 'news-comment
 CATEGORY_FILES = [".tgz", ".tar.gz", ".gz", ".zip", ".txt"]
 
 
-@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

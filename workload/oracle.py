@@ -117,9 +117,6 @@ STEPS = {
         FROM documents""",
     "numbered_lines": """SELECT doc_id, box, size, CAST(i - 1 AS BIGINT) AS number, lines[i] AS line
         FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM text_lines)""",
-    # unfiltered requests, one per dataset, for the family tables
-    "every_dataset": """SELECT DISTINCT dataset_id, family, version, index_url FROM resolved
-        WHERE family IS NOT NULL""",
 }
 
 _NEEDS_ONLY = {
@@ -184,6 +181,9 @@ FROM pieces
 _PAIRS = " ".join(f"WHEN '{i}' THEN '{', '.join(p or [])}'" for i, _, p, _ in known.CATALOGUE)
 _COUNTS = " ".join(f"WHEN '{i}' THEN {len(p or [])}" for i, _, p, _ in known.CATALOGUE)
 
+_SAID = {name: " ".join(f"WHEN '{row[0]}' THEN '{row[i] if i == 1 else ', '.join(row[i] or [])}'" for row in known.CATALOGUE)
+         for i, name in enumerate(("id", "description", "language_pairs", "categories"))}
+
 _KIND = """CASE WHEN suffix({0}, '.tar.gz') OR suffix({0}, '.tgz') THEN 'tar' WHEN suffix({0}, '.gz') THEN 'gzip'
     WHEN suffix({0}, '.zip') THEN 'unsupported' ELSE 'none' END"""
 
@@ -230,8 +230,9 @@ ORACLE = {
     "missing_requests": _with("""SELECT req_id, dataset_id, language_pair, category, family, version
         FROM resolved r WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.req_id = r.req_id)"""),
     "batch_summary": _with("""SELECT dataset_id, CAST(grouping(dataset_id) AS INT) AS is_total,
-            count(DISTINCT dataset_id) AS datasets, count(*) AS files
-        FROM plan GROUP BY ROLLUP (dataset_id)"""),
+            count(DISTINCT dataset_id) AS datasets,
+            CAST(count(DISTINCT dataset_id || ' ' || url) FILTER (status IN ('skipped', 'landed')) AS BIGINT) AS files
+        FROM attributed GROUP BY ROLLUP (dataset_id)"""),
     "fetch_outcomes": _with(_STATUSES),
     "fetch_outcomes_forced": _with(_STATUSES, force=True),
     "skip_existing": _with("""SELECT k.output_path,
@@ -271,7 +272,24 @@ ORACLE = {
     "landed_lines": _with("SELECT box, line FROM numbered_lines", _LINES),
     "tar_lines": _with("""SELECT 'texts/' || doc_id || '.txt' AS member, size, number, line
         FROM numbered_lines""", _LINES),
-    "unpacked_lines": _with("SELECT 'texts/' || doc_id || '.txt' AS member, number, line FROM numbered_lines", _LINES),
+    "unpacked_lines": _with(f"""SELECT 'texts/' || doc_id || '.txt' AS member, number, line FROM numbered_lines
+        UNION ALL SELECT 'box-' || box || '.tsv', CAST(0 AS BIGINT), 'box ' || box
+            FROM (SELECT DISTINCT {inputs.BOX} AS box FROM documents)
+        UNION ALL SELECT unnest(['box-' || box || '.zip', 'cut-' || box || '.tar.gz']), NULL, NULL
+            FROM (SELECT DISTINCT {inputs.BOX} AS box FROM documents)""", _LINES),
+    "ledger_snapshot": _with("""SELECT url, path, ts FROM event_ledger QUALIFY row_number() OVER (
+        PARTITION BY url ORDER BY ts DESC, event_id % 2 DESC, path DESC) = 1""", _LEDGER),
+    "landing_mixed": f"""WITH boxes AS (SELECT DISTINCT {inputs.BOX} AS box FROM documents),
+        forces AS (SELECT unnest([FALSE, TRUE]) AS force)
+        SELECT force, 'boxes-' || box AS dataset_id, FALSE AS missing,
+            CASE WHEN box % 2 = 0 AND NOT force THEN 'skipped' ELSE 'landed' END AS status, TRUE AS dated,
+            CAST(NULL AS VARCHAR) AS error FROM boxes, forces
+        UNION ALL SELECT force, 'boxes-' || box, TRUE, 'failed', FALSE,
+            'no object for http://boxes.example/box=' || box || '/missing.gz' FROM boxes, forces WHERE box % 3 = 0""",
+    "catalogue_listing": f"""WITH seeds AS ({STEPS['seeds']}), asked AS (
+        SELECT doc_id AS req_id, {inputs.CATALOGUE_ID} AS id FROM seeds)
+        SELECT *, {', '.join(f"CASE id {_SAID[n]} END AS {n}" for n in ('description', 'language_pairs', 'categories'))}
+        FROM asked""",
     "tar_checksums": """SELECT 'texts/' || doc_id || '.txt' AS member, octet_length(encode(text)) AS size,
         CAST(0 AS BIGINT) AS number, md5(text) AS md5 FROM documents""",
     "landing_runs": f"""SELECT unnest([1, 2]) AS run, 'boxes-' || box AS dataset_id,

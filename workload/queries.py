@@ -71,12 +71,12 @@ def wmt_files(spark, sf_dir):
 
 
 def candidates(spark, sf_dir):
-    files = fam.family_files(_unfiltered(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD)
+    files = fam.family_files(_unfiltered(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD, _store(spark))
     return files.select("family", "version", *fam.FILE)
 
 
 def _answer(spark, sf_dir):
-    return req.answer(inputs.requests(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD)
+    return req.answer(inputs.requests(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD, _store(spark))
 
 
 def request_files(spark, sf_dir):
@@ -85,7 +85,7 @@ def request_files(spark, sf_dir):
 
 
 def plan(spark, sf_dir):
-    return req.plan_batch(inputs.requests(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD)
+    return req.lay_out_batch(*_answer(spark, sf_dir))
 
 
 def plan_from_pages(spark, sf_dir):
@@ -98,7 +98,7 @@ def plan_kept(spark, sf_dir):
 
 
 def single_layout(spark, sf_dir):
-    return req.plan_single(inputs.requests(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD)
+    return req.lay_out_single(*_answer(spark, sf_dir))
 
 
 def path_collisions(spark, sf_dir):
@@ -114,17 +114,25 @@ def missing_requests(spark, sf_dir):
 
 
 def batch_summary(spark, sf_dir):
-    return reports.batch_summary(plan(spark, sf_dir))
+    return reports.batch_summary(attributed_outcomes(spark, sf_dir))
 
 
 def _objects(spark, sf_dir):
-    """A mirror that lacks every `.tar.gz` file."""
-    files = fam.family_files(_unfiltered(spark, sf_dir), inputs.anchors(spark, sf_dir), STANDARD)
-    return files.where(~F.endswith("url", F.lit(".tar.gz"))).select("url").distinct().select(
+    """A mirror of all that is linked, and of the fixed files, that lacks every `.tar.gz` file."""
+    linked = inputs.anchors(spark, sf_dir).where("href <> ''").select(
+        F.concat(text.strip_slashes(F.col("page_url")), F.lit("/"), "href").alias("url"))
+    urls = linked.unionByName(fam.fixed_files(_fixed(spark), STANDARD).select("url"))
+    return urls.where(~F.endswith("url", F.lit(".tar.gz"))).distinct().select(
         "url", F.concat(F.lit("mirror/"), text.basename(F.col("url"))).alias("src_path"),
         F.length("url").cast("bigint").alias("length"))
 
 
+def _fixed(spark):
+    """One question to each family whose files are known beforehand."""
+    asked = [(f.prefix, f.default_version, "", "", "") for f in STANDARD.of_kind(fam.FixedFamily)]
+    return spark.createDataFrame(asked, ", ".join(f"{c} string" for c in fam.SELECTOR))
+
+
 def _store(spark):
     return corpusplan.Store(corpusplan.shared_dir(spark, "tables"))
 
@@ -181,7 +189,17 @@ def _event_ledger(spark, sf_dir):
 
 
 def ledger_latest(spark, sf_dir):
-    return ledger.latest(_event_ledger(spark, sf_dir), tiebreak="event_id")
+    return ledger.latest(_event_ledger(spark, sf_dir), "event_id")
+
+
+def ledger_snapshot(spark, sf_dir):
+    """The log of one half of the events folded, and the other half appended to the fold."""
+    log, folded = (corpusplan.shared_dir(spark, n) for n in ("ledger", "folded"))
+    events = _event_ledger(spark, sf_dir)
+    ledger.append_batch(events.where("event_id % 2 = 0"), log, "even")
+    ledger.write_snapshot(ledger.read_log(spark, log), folded)
+    ledger.append_batch(events.where("event_id % 2 = 1"), folded, "odd")
+    return ledger.read_log(spark, folded)
 
 
 def ledger_size(spark, sf_dir):
@@ -301,10 +319,10 @@ def tar_checksums(spark, sf_dir):
     return archives.tar_bytes(files).select("member", "size", "number", F.md5("data").alias("md5"))
 
 
-def _acquire_boxes(spark, sf_dir):
-    """Two runs of the same batch over a mirror of gzip files."""
+def _box_mirror(spark, sf_dir):
+    """(folder, family, links, requests) of a mirror with one gzip file per box."""
     base = corpusplan.shared_dir(spark, "mirror")
-    mirror, data = f"{base}/mirror", f"{base}/data"
+    mirror = f"{base}/mirror"
     _write_boxes(spark, sf_dir, f"{mirror}/boxes.example")
     own = corpusplan.standard_families().register(fam.PageFamily(
         "boxes", "0", "http://boxes.example/box={version}/", version_tag="",
@@ -316,10 +334,33 @@ def _acquire_boxes(spark, sf_dir):
     asked = inputs.table(spark, sf_dir, "documents").selectExpr(f"{inputs.BOX} AS box").distinct().selectExpr(
         "CAST(box AS INT) AS req_id", "'boxes-' || box AS dataset_id", "CAST(NULL AS STRING) AS language_pair",
         "CAST(NULL AS STRING) AS category", "CAST(NULL AS STRING) AS target_dir", "FALSE AS has_target_dir")
-    twice = [
-        runs.acquire(asked, listed, mirror, data, f"{base}/ledger", families=own) for _ in range(2)
+    return base, own, listed, asked
+
+
+def _acquire_boxes(spark, sf_dir):
+    """Two runs of the same batch over a mirror of gzip files."""
+    base, own, listed, asked = _box_mirror(spark, sf_dir)
+    data, log = f"{base}/data", f"{base}/ledger"
+    twice = [runs.acquire(asked, listed, f"{base}/mirror", data, log, families=own) for _ in range(2)]
+    return data, log, twice
+
+
+def landing_mixed(spark, sf_dir):
+    """Runs that skip, land and fail: the even boxes are there before, every third box links to
+    a file that the mirror lacks."""
+    base, own, listed, asked = _box_mirror(spark, sf_dir)
+    broken = listed.where("try_cast(regexp_extract(page_url, 'box=([0-9]+)', 1) AS INT) % 3 = 0").select(
+        "page_url", F.lit(1).alias("pos"), F.lit("missing.gz").alias("href")).distinct()
+    links = _store(spark)(listed.unionByName(broken), "links")
+    mirror, data, log = (f"{base}/{n}" for n in ("mirror", "data", "ledger"))
+    runs.acquire(asked.where("req_id % 2 = 0"), listed, mirror, data, log, families=own)
+    out = [
+        runs.acquire(asked, links, mirror, data, log, families=own, force=force).outcomes.select(
+            F.lit(force).alias("force"), "dataset_id", (F.col("filename") == "missing.gz").alias("missing"), "status",
+            F.col("ts").isNotNull().alias("dated"), "error")
+        for force in (False, True)
     ]
-    return data, f"{base}/ledger", twice
+    return out[0].unionByName(out[1])
 
 
 def landing_runs(spark, sf_dir):
@@ -349,23 +390,47 @@ def landed_ledger(spark, sf_dir):
         (F.col("md5") == F.col("src_md5")).alias("same"))
 
 
+def _pack_all(group: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """Beside the tar archive a gzip file, a zip file and an archive that is cut short."""
+    import gzip
+
+    paths = _pack(group, folder)
+    box = group["box"].iloc[0]
+    with streams.open_read(paths["path"][0]) as stream:
+        cut = stream.read(20)
+    for name, data in ((f"box-{box}.tsv.gz", gzip.compress(b"box %d\n" % box)), (f"box-{box}.zip", b"PK"),
+                       (f"cut-{box}.tar.gz", cut)):
+        with streams.open_write(f"{folder}/{name}") as stream:
+            stream.write(data)
+    return paths
+
+
 def unpacked_lines(spark, sf_dir):
-    """Auto-unpacking: tar archives landed by a run, read member by member."""
+    """Auto-unpacking: archives landed by a run, read member by member; those that do not
+    unpack are rows without line."""
     base = corpusplan.shared_dir(spark, "tarmirror")
     mirror = inventory.qualified(spark, f"{base}/mirror")
     documents = inputs.table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{inputs.BOX} AS box")
     folder = f"{mirror}/tars.example/all"
-    packed = documents.groupBy("box").applyInPandas(lambda group: _pack(group, folder), "path string")
+    packed = documents.groupBy("box").applyInPandas(lambda group: _pack_all(group, folder), "path string")
     packed.write.format("noop").mode("overwrite").save()
     own = corpusplan.standard_families().register(fam.PageFamily(
-        "tars", "all", "http://tars.example/{version}/", keep="endswith(href, '.tgz')"))
+        "tars", "all", "http://tars.example/{version}/", keep="contains(href, '-')"))
     objects = inventory.mirror_objects(spark, mirror)
     listed = objects.select(
         F.lit("http://tars.example/all/").alias("page_url"), F.lit(0).alias("pos"),
         text.basename(F.col("url")).alias("href"))
     asked = request_source.single_request(spark, "tars")
     run = runs.acquire(asked, listed, mirror, f"{base}/data", families=own, single=True)
-    return run.unpacked_lines().select("member", "number", "line")
+    errors = run.unpack_errors().select(text.basename(F.col("path")).alias("member"))
+    return run.unpacked_lines().select("member", "number", "line").unionByName(errors, allowMissingColumns=True)
+
+
+def catalogue_listing(spark, sf_dir):
+    """What the catalogue says about the dataset each document asks for."""
+    asked = inputs.seeds(spark, sf_dir).selectExpr("doc_id AS req_id", f"{inputs.CATALOGUE_ID} AS id")
+    return asked.join(reports.catalogue_listing(catalogue.list_datasets(spark)), "id", "left").select(
+        "req_id", "id", "description", "language_pairs", "categories")
 
 
 ALL = {
@@ -375,7 +440,7 @@ ALL = {
         missing_requests, batch_summary, fetch_outcomes, skip_existing, outcome_counts, attributed_outcomes,
         paths_by_dataset, archive_kind, ledger_latest, ledger_size, ledger_recent, ledger_json, text_checksums,
         rule_extension, batch_requests, gzip_lines, tar_lines, tar_checksums, landing_runs, landed_lines,
-        landed_ledger, unpacked_lines,
+        landed_ledger, unpacked_lines, ledger_snapshot, landing_mixed, catalogue_listing,
     )
 } | {
     "fetch_outcomes_forced": partial(fetch_outcomes, force=True),
