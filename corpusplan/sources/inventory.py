@@ -17,8 +17,8 @@ _FILE = "path string, modificationTime timestamp, length bigint, is_dir boolean"
 _STEP = f"{_FILE}, unlisted boolean"
 _COLUMNS = ["path", "modificationTime", "length", "is_dir", "unlisted"]
 _ROWS = 8192
-# folders of the first levels are listed by tasks of their own
-_LEVELS = 2
+# folders of the first levels are listed by tasks of their own: host, dataset, release and files
+_LEVELS = 4
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -56,11 +56,13 @@ def _content(folder, recursive):
     if itself.type == fs.FileType.File:
         yield folder, itself.mtime, itself.size, False, False
     elif itself.type == fs.FileType.Directory:
-        prefix, cut = folder.rstrip("/"), len(name.rstrip("/"))
-        for info in system.get_file_info(fs.FileSelector(name, recursive=recursive)):
-            is_dir = info.type == fs.FileType.Directory
-            size = None if is_dir else info.size
-            yield prefix + info.path[cut:], info.mtime, size, is_dir, is_dir and not recursive
+        prefix, cut, todo = folder.rstrip("/"), len(name.rstrip("/")), [name]
+        while todo:  # folder by folder: no more than one folder's list is held
+            for info in system.get_file_info(fs.FileSelector(todo.pop())):
+                is_dir = info.type == fs.FileType.Directory
+                if is_dir and recursive:
+                    todo.append(info.path)
+                yield prefix + info.path[cut:], info.mtime, None if is_dir else info.size, is_dir, is_dir and not recursive
 
 
 def _frame(rows):

@@ -149,6 +149,18 @@ def test_list_files(spark, tmp_path):
     assert inventory.list_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_deep_tree_is_listed_by_several_tasks(spark, tmp_path):
+    want = set()
+    for i in range(12):
+        name = f"host/set/v1/part{i}/a/b/c/file"
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_text("x")
+        want.add(name)
+    files = inventory.list_files(spark, str(tmp_path), recursive=True).withColumn("task", F.spark_partition_id()).collect()
+    assert {r.path[len(f"file:{tmp_path}/"):] for r in files} == want
+    assert len({r.task for r in files}) > 3
+
+
 def test_file_checksums(spark, tmp_path):
     bodies = {"a b.bin": b"\x00\xff" * 5000, "ü.txt": b"", "a/b/c/d/e/deep": b"xyz", "_hidden": b"1", "a/b/.x": b"2"}
     for name, body in bodies.items():
