@@ -27,7 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SIDE_NAMES = frozenset("""ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion
     nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget related recommended
     footer comment comments respond disqus reply replies discussion cookie cookies consent gdpr notice notices alert
-    popup modal overlay newsletter subscribe subscription signup login share sharing social toolbar copyright
+    complementary contentinfo popup modal overlay newsletter subscribe subscription signup login share sharing social toolbar copyright
     legal disclaimer form search""".split())
 HEADER_NAMES = frozenset("header masthead topbar".split())
 
@@ -36,6 +36,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?"
     r"|<[!?][^>]*+>?|<|[^<]++", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_UNSEEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -58,7 +59,7 @@ def blocks(page: str) -> list[Block]:
     """The text blocks in page order; character references decoded, white space as one blank.
 
     Tags need not be closed: an end tag closes all that was opened inside, an unknown one is
-    passed over, a block tag ends a paragraph.
+    passed over, a block tag ends a paragraph and a heading, a list item the one before.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # open containers and what they make of their text
@@ -103,15 +104,16 @@ def blocks(page: str) -> list[Block]:
         link = False
         if tag in VOID:
             continue
-        if tag in HEADINGS:
-            heading = not ending
+        if not ending and stack and (stack[-1][0] == "p" or stack[-1][0] == tag == "li"):
+            stack.pop()
+        heading = tag in HEADINGS and not ending
+        if tag in HEADINGS and not m.group("attrs"):
             continue
         if ending:
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == tag:
                     del stack[n:]
                     break
-            heading = False
         elif tag != "p" and tag != "li" or m.group("attrs"):
             stack.append((tag, _kind(tag, m.group("attrs"))))
     close_block()
@@ -119,7 +121,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def _kind(tag: str, attrs: str) -> str:
-    if tag in SIDE_TAGS:
+    if tag in SIDE_TAGS or attrs and _UNSEEN.search(attrs):
         return "side"
     names = set(_SPLIT.split(" ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).lower())) if attrs else set()
     if tag in BODY_TAGS and not names & SIDE_NAMES:
@@ -187,6 +189,12 @@ LABELLED = [
     # mastheads
     (3, 0.00, 0, 0.00, 1, 1.00, 0, 1, 0, 1, 0), (5, 1.00, 0, 0.00, 1, 1.00, 0, 1, 0, 0, 0),
     (10, 0.00, 3, 0.00, 2, 1.00, 0, 1, 0, 0, 0), (30, 0.00, 4, 0.00, 40, 0.00, 0, 1, 0, 0, 0),
+    (6, 0.00, 0, 0.00, 8, 1.00, 0, 1, 0, 1, 0), (12, 0.00, 3, 0.00, 20, 0.00, 0, 1, 0, 0, 0),
+    (4, 0.00, 0, 0.00, 9, 0.90, 0, 1, 0, 1, 0), (8, 0.00, 2, 0.00, 15, 0.00, 0, 1, 0, 1, 0),
+    (7, 0.00, 4, 1.00, 31, 0.00, 0, 1, 0, 0, 0), (9, 0.00, 5, 0.00, 6, 0.00, 0, 1, 0, 0, 0),
+    # heads of articles
+    (15, 0.00, 3, 1.00, 40, 0.00, 0, 1, 1, 1, 1), (22, 0.00, 15, 0.00, 38, 0.00, 0, 1, 1, 0, 1),
+    (12, 0.00, 2, 1.00, 5, 0.00, 0, 1, 1, 1, 1), (5, 0.00, 12, 0.00, 50, 0.00, 0, 1, 1, 0, 1),
     # stray short lines between links
     (2, 0.00, 1, 1.00, 2, 1.00, 0, 0, 0, 0, 0), (3, 0.00, 4, 1.00, 3, 1.00, 0, 0, 0, 0, 0),
     (4, 0.00, 2, 1.00, 0, 0.00, 0, 0, 0, 0, 0), (2, 0.00, 3, 0.90, 1, 1.00, 0, 0, 0, 1, 0),

@@ -29,6 +29,17 @@ def test_a_page_with_everything(tree):
     assert html.main_text(PAGE, tree).split("\n") == WANT
 
 
+def test_unclosed_and_unseen_parts(tree):
+    page = """<article><header class="entry-header"><h1>A title of an article that is rather longer than ten words are</h1></header>
+        <p class="ad">Sponsored words that nobody wants to read at all<p>The first paragraph of the text, which stays in.
+        <h2>A heading not closed<p>The second paragraph of the text, which stays as well.</p>
+        <p hidden>Words that nobody sees on the page at any time</p><div style="display: none">Nor these words here, ever</div>
+        <ul><li class="promo">Promoted item of a list<li>An item of the list in the article</ul></article>"""
+    assert html.main_text(page, tree).split("\n") == [
+        "A title of an article that is rather longer than ten words are", "The first paragraph of the text, which stays in.",
+        "A heading not closed", "The second paragraph of the text, which stays as well.", "An item of the list in the article"]
+
+
 def test_tree_fits_its_table(tree):
     right = sum((html.decide(tree, row[:-1]) >= 0.5) == bool(row[-1]) for row in html.LABELLED)
     assert right >= 0.95 * len(html.LABELLED)
