@@ -65,9 +65,8 @@ def test_links_of_every_split_of_the_distance(spark):
         values.add(flipped)
     df = spark.createDataFrame([(v,) for v in values], "fp long")
     want = {(min(a, b), max(a, b)) for a in values for b in values if a != b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
-    for segments in (1, 2, 4) if len(want) else ():
-        if segments == 1:
-            continue  # a ball of radius 3 in 64 bits is no use, only right
+    assert want
+    for segments in (2, 4):
         got = {(min(r.a, r.b), max(r.a, r.b)) for r in simhash.links(df, 3, segments).collect()}
         assert got == want
 
