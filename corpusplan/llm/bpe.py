@@ -105,6 +105,15 @@ def merge_all(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]
     return [s for s in symbols if s >= 0]
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all code points are below 256; of those none is in doubt."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Words(dict):
     """Word to its ids as little-endian bytes; emptied when it has grown to its bound."""
 
@@ -140,7 +149,6 @@ class Tokenizer:
         self.last = [vocab[c + self.end] for c in letters]
         self.special = {t: np.uint32(i).astype("<u4").tobytes() for t, i in special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
-        self.runs = regex.compile(f"[{self._SPACE}]+")
         self.words = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{self._SPACE}\p{{L}}\p{{N}}]+")
         # the fast pattern knows another Unicode version: texts with code points in doubt take a slower one
@@ -157,11 +165,12 @@ class Tokenizer:
         return np.array(merge_all(symbols, self.merges), "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
-        text = self.runs.sub(" ", unicodedata.normalize("NFC", text))
+        # runs of white space may stay: no word holds any
+        text = unicodedata.normalize("NFC", text)
         # letter by letter: a sigma at a word's end is no other letter
         text = text.replace("Σ", "σ").lower()
         words = self.words
-        if not text.isascii() and self.doubtful.search(text):
+        if not _is_latin(text) and self.doubtful.search(text):
             text, words = text.translate(self.lower), self.careful
         return b"".join(map(self.cache.__getitem__, words.findall(text)))
 
