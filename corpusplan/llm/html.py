@@ -18,6 +18,8 @@ from corpusplan.llm.trees import decide, nested
 
 # Names that HTML itself or common page templates give to parts of a page.
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea".split())
+RAW = frozenset("script style title textarea iframe".split())  # no tags inside, only their own end tag counts
+HEAD_TAGS = frozenset("html head base link meta title script style noscript template".split())
 SIDE_TAGS = frozenset("nav aside footer form menu dialog button fieldset".split())
 BODY_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -33,10 +35,11 @@ HEADER_NAMES = frozenset("header masthead topbar".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^\"'<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>?"
     r"|<[!?][^>]*+>?|<|[^<]++", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _UNSEEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -59,13 +62,14 @@ def blocks(page: str) -> list[Block]:
     """The text blocks in page order; character references decoded, white space as one blank.
 
     Tags need not be closed: an end tag closes all that was opened inside, an unknown one is
-    passed over, a block tag ends a paragraph and a heading, a list item the one before.
+    passed over, a block tag ends a paragraph and a heading, a list item the one before. A head
+    ends at the first tag or word that cannot stand in it.
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # open containers and what they make of their text
     parts: list[tuple[str, bool]] = []
     heading = link = False
-    hidden = None
+    hidden, in_head, at = None, False, 0
 
     def close_block():
         nonlocal parts
@@ -77,22 +81,35 @@ def blocks(page: str) -> list[Block]:
             out.append(Block(text, words, min(words, linked), "side" in kinds, "header" in kinds, "body" in kinds, heading))
         parts = []
 
-    for m in _TOKEN.finditer(page):
-        tag = m.group("tag")
+    while m := _TOKEN.match(page, at):
+        at, tag = m.end(), m.group("tag")
         if tag is None:
+            if hidden == "head" and not m.group().startswith(("<!", "<?")) and m.group().strip():
+                hidden, in_head = None, False
             if hidden is None and not m.group().startswith("<!") and not m.group().startswith("<?"):
                 parts.append((m.group(), link))
             continue
         tag, ending = tag.lower(), bool(m.group("end"))
+        if hidden == "head" and not ending and tag not in HEAD_TAGS:
+            hidden, in_head = None, False
+        if tag in RAW and not ending and not m.group("attrs").rstrip().endswith("/"):
+            if hidden is None and tag not in INLINE:
+                close_block()
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
+            continue
         if hidden is not None:
             if ending and tag == hidden:
-                hidden = None
+                hidden = "head" if in_head and tag != "head" else None
+                in_head = hidden is not None
+            elif hidden == "head" and not ending and tag in HIDDEN and not m.group("attrs").rstrip().endswith("/"):
+                hidden = tag
             continue
         if tag in HIDDEN:
             if tag == "select" or tag not in INLINE:
                 close_block()
             if not ending and not m.group("attrs").rstrip().endswith("/"):
-                hidden = tag
+                hidden, in_head = tag, tag == "head"
             continue
         if tag in INLINE:
             if tag == "a":

@@ -62,3 +62,13 @@ def test_articles_of_the_test_pages(spark, tree):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = [" ".join(escapes.unescape(re.sub(r"<[^>]*>", " ", p)).split()) for p in re.split(r"</?p>|</?h1>", body)]
         assert r.text == "\n".join(p for p in parts if p)
+
+
+def test_open_heads_raw_text_and_stray_quotes(tree):
+    article = "<article><p>It's the text of an article that says enough words to be one.</p><p>The last one's words.</p></article>"
+    want = ["It's the text of an article that says enough words to be one.", "The last one's words."]
+    for lead in ("<html><head><title>T</title><noscript><img src=x></noscript><body>", "<head><meta charset=utf-8><style>p > a {}</style>",
+                 "<script>for(i=0;i<n;i++){/* don't */}</script>", "<style>a<b{content:'}</style>", '<div title=5" wide>',
+                 '<div class=a">', "<head><script>if (a<b) '</head>'</script></head>"):
+        assert html.main_text(lead + article, tree).split("\n") == want, lead
+    assert html.main_text("<head><title>Only a head</title><script>'</script>", tree) == ""
