@@ -31,18 +31,32 @@ SIDE_NAMES = frozenset("""ad ads advert adverts advertisement advertising adsens
     footer comment comments respond disqus reply replies discussion cookie cookies consent gdpr notice notices alert
     complementary contentinfo popup modal overlay newsletter subscribe subscription signup login share sharing social toolbar copyright
     legal disclaimer form search""".split())
+COMMENT_NAMES = frozenset("comment comments respond disqus reply replies discussion".split())
+MODIFIERS = frozenset("no not non has have with without is w".split())  # they make a name say something about a page, not what it is
 HEADER_NAMES = frozenset("header masthead topbar".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^\"'<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>?"
     r"|<[!?][^>]*+>?|<|[^<]++", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_UNSEEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+@dataclass(eq=False)
+class Container:
+    """An open part of a page; `wraps` if it may turn out to be a side part by name only."""
+    tag: str
+    kind: str
+    wraps: bool = False
+    comments: bool = False
+    words: int = 0  # not linked
+    main: bool = False
+    bodies: int = 0
+
+
 @dataclass
 class Block:
     text: str
@@ -63,13 +77,16 @@ def blocks(page: str) -> list[Block]:
 
     Tags need not be closed: an end tag closes all that was opened inside, an unknown one is
     passed over, a block tag ends a paragraph and a heading, a list item the one before. A head
-    ends at the first tag or word that cannot stand in it.
+    ends at the first tag or word that cannot stand in it. A form or a container named like a side
+    part is none if it wraps the page's content: it holds a main element; all article elements and a
+    quarter of the words that are not links; or, where no article element is, half of these words.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open containers and what they make of their text
+    held: list[list[Container]] = []  # the containers of each block
+    stack: list[Container] = []
     parts: list[tuple[str, bool]] = []
     heading = link = False
-    hidden, in_head, at = None, False, 0
+    hidden, in_head, at, bodies = None, False, 0, 0
 
     def close_block():
         nonlocal parts
@@ -77,8 +94,10 @@ def blocks(page: str) -> list[Block]:
         if text:
             linked = sum(len(html.unescape(p).split()) for p, inside in parts if inside)
             words = len(text.split(" "))
-            kinds = {k for _, k in stack}
-            out.append(Block(text, words, min(words, linked), "side" in kinds, "header" in kinds, "body" in kinds, heading))
+            out.append(Block(text, words, min(words, linked), False, False, False, heading))
+            held.append(stack[:])
+            for c in stack:
+                c.words += words - min(words, linked)
         parts = []
 
     while m := _TOKEN.match(page, at):
@@ -121,33 +140,57 @@ def blocks(page: str) -> list[Block]:
         link = False
         if tag in VOID:
             continue
-        if not ending and stack and (stack[-1][0] == "p" or stack[-1][0] == tag == "li"):
+        if not ending and stack and (stack[-1].tag == "p" or stack[-1].tag == tag == "li"):
             stack.pop()
         heading = tag in HEADINGS and not ending
         if tag in HEADINGS and not m.group("attrs"):
             continue
         if ending:
             for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
+                if stack[n].tag == tag:
                     del stack[n:]
                     break
         elif tag != "p" and tag != "li" or m.group("attrs"):
-            stack.append((tag, _kind(tag, m.group("attrs"))))
+            new = _container(tag, m.group("attrs"))
+            if new.kind == "body":
+                for c in stack:
+                    c.bodies += 1
+                    c.main |= tag == "main"
+                bodies += 1
+            stack.append(new)
     close_block()
+    total = sum(b.words - b.link_words for b in out)
+
+    def kind(c: Container) -> str:
+        if c.wraps and (c.main or (4 * c.words >= total and c.bodies == bodies if bodies else 2 * c.words >= total and not c.comments)):
+            return "plain"
+        return c.kind
+
+    for b, inside in zip(out, held):
+        kinds = {kind(c) for c in inside}
+        b.side, b.header, b.body = "side" in kinds, "header" in kinds, "body" in kinds
     return out
 
 
-def _kind(tag: str, attrs: str) -> str:
-    if tag in SIDE_TAGS or attrs and _UNSEEN.search(attrs):
-        return "side"
-    names = set(_SPLIT.split(" ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).lower())) if attrs else set()
+def _container(tag: str, attrs: str) -> Container:
+    values = {n.lower(): a or b or c for n, a, b, c in reversed(_ATTRIBUTE.findall(attrs))} if attrs else {}  # the first of equal names
+    page = tag in ("body", "html")
+    if not page and ("hidden" in values or values.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(values.get("style", ""))):
+        return Container(tag, "side")
+    names = set()
+    for token in " ".join(values.get(n, "") for n in ("class", "id", "role")).lower().split():
+        pieces = set(_SPLIT.split(token))
+        if not pieces & MODIFIERS:
+            names |= pieces
+    if tag in SIDE_TAGS:
+        return Container(tag, "side", tag == "form")
     if tag in BODY_TAGS and not names & SIDE_NAMES:
-        return "body"
-    if names & SIDE_NAMES and tag not in ("body", "html"):
-        return "side"
-    if tag == "header" or names & HEADER_NAMES and tag not in ("body", "html"):
-        return "header"
-    return "plain"
+        return Container(tag, "body")
+    if names & SIDE_NAMES and not page:
+        return Container(tag, "side", tag not in BODY_TAGS, bool(names & COMMENT_NAMES))
+    if tag == "header" or names & HEADER_NAMES and not page:
+        return Container(tag, "header")
+    return Container(tag, "plain")
 
 
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after",

@@ -72,3 +72,16 @@ def test_open_heads_raw_text_and_stray_quotes(tree):
                  '<div class=a">', "<head><script>if (a<b) '</head>'</script></head>"):
         assert html.main_text(lead + article, tree).split("\n") == want, lead
     assert html.main_text("<head><title>Only a head</title><script>'</script>", tree) == ""
+
+
+def test_wrappers_are_no_side_parts(tree):
+    text = "The text of an article that says enough words to be one, and it goes on for some more words."
+    article = f"<article><p>{text}</p></article>"
+    for page in (f'<div class="no-sidebar">{article}</div>', f'<div class="layout with-sidebar">{article}</div>',
+                 f'<article class="post has-comments"><p>{text}</p></article>', f"<form id=aspnetForm><div>{article}</div></form>",
+                 f"<form><div><p>{text}</p></div></form>", f'<div class="overflow hidden-xs" title="a hidden gem"><p>{text}</p></div>',
+                 f'<div class="sidebar wrap"><main><p>{text}</p></main><aside><p>Related words beside it</p></aside></div>'):
+        assert html.main_text(page, tree) == text, page
+    for part in (f'<div class="comments"><p>{text}</p></div>', f"<div hidden><p>{text}</p></div>", f'<div class="related"><p>{text}</p></div>'):
+        assert html.main_text(article + part, tree) == text, part
+    assert html.main_text(f'<div class="comments"><p>{text}</p></div>', tree) == ""
