@@ -176,7 +176,7 @@ def _halves(data: list[bytes]) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, work, schema: str) -> DataFrame:
-    """mapInArrow of `work(ids, texts as bytes)`, which yields column lists."""
+    """mapInArrow of `work(ids, text hashes, texts as bytes)`, which yields column lists."""
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [{"long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
 
@@ -184,14 +184,14 @@ def _rows(docs: DataFrame, work, schema: str) -> DataFrame:
         for batch in batches:
             ids = np.array([_LOWEST if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
             texts = [t.encode() for t in texts_of(batch, "text")]
-            for columns in work(ids, texts):
+            for columns in work(ids, batch.column("t").to_numpy(), texts):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    def work(ids, texts):
+    def work(ids, marks, texts):
         for _, _, _, keys in anchors(texts, length, gram):
             yield [keys.view(np.int64)]
     return _rows(docs, work, "k long")
@@ -199,32 +199,32 @@ def _grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _runs(docs: DataFrame, known, length: int, gram: int) -> DataFrame:
     """The runs whose gram the filter holds, with two halves of a hash of their bytes."""
-    def work(ids, texts):
+    def work(ids, marks, texts):
         for doc, start, count, keys in anchors(texts, length, gram):
             hit = Filter(known.value).holds(keys)
             doc, start, count = doc[hit], start[hit], count[hit]
             hashes = _halves([texts[d][s:s + n + length - 1] for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist())])
-            yield [keys[hit].view(np.int64), hashes[:, 0], hashes[:, 1], ids[doc], start, count]
-    return _rows(docs, work, "k long, c1 long, c2 long, doc_id long, start long, n long")
+            yield [keys[hit].view(np.int64), hashes[:, 0], hashes[:, 1], ids[doc], marks[doc], start, count]
+    return _rows(docs, work, "k long, c1 long, c2 long, doc_id long, t long, start long, n long")
 
 
 def _contexts(docs: DataFrame, known, length: int, gram: int) -> DataFrame:
-    def work(ids, texts):
+    def work(ids, marks, texts):
         for doc, start, count, keys in anchors(texts, length, gram):
             hit = Filter(known.value).holds(keys)
             doc, start, count = doc[hit], start[hit], count[hit]
-            yield [keys[hit].view(np.int64), ids[doc], start,
+            yield [keys[hit].view(np.int64), ids[doc], marks[doc], start,
                    [texts[d][s:s + n + length - 1] for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist())]]
-    return _rows(docs, work, "k long, doc_id long, start long, data binary")
+    return _rows(docs, work, "k long, doc_id long, t long, start long, data binary")
 
 
 def _block_windows(runs: DataFrame, length: int, block_windows: int) -> DataFrame:
-    """(doc_id, start, n, c1, c2): repeated windows as runs with null hashes, and with hashes the
+    """(doc_id, t, start, n, c1, c2): repeated windows as runs with null hashes, and with hashes the
     first windows of grams that other blocks may hold too."""
-    names = ["doc_id", "start", "n", "c1", "c2"]
+    names = ["doc_id", "t", "start", "n", "c1", "c2"]
 
     def run(batches):
-        keys, ids, starts, contexts, held = [], [], [], [], 0
+        keys, ids, marks, starts, contexts, held = [], [], [], [], [], 0
         last_cut = None  # gram whose runs an earlier block of this task ended in
 
         def settle(last: bool, first_key: int):
@@ -235,7 +235,8 @@ def _block_windows(runs: DataFrame, length: int, block_windows: int) -> DataFram
                 end = keys.index(keys[-1])
             group, own = contexts[:end], np.array(keys[:end])
             run_of, offset, repeated, windows = later_windows(group, length)
-            doc, start = np.array(ids[:end])[run_of], np.array(starts[:end])[run_of] + offset
+            doc, mark = np.array(ids[:end])[run_of], np.array(marks[:end])[run_of]
+            start = np.array(starts[:end])[run_of] + offset
             key = own[run_of]
             cut = None if last or end < len(keys) else keys[-1]
             open_keys = {first_key, last_cut, cut, keys[-1] if last else None} - {None}
@@ -243,18 +244,19 @@ def _block_windows(runs: DataFrame, length: int, block_windows: int) -> DataFram
             hashes = _halves([windows[i].tobytes() for i in np.flatnonzero(wanted)])
             last_cut = cut
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([doc[repeated], doc[wanted]])), pa.array(np.concatenate([start[repeated], start[wanted]])),
+                [*(pa.array(np.concatenate([c[repeated], c[wanted]])) for c in (doc, mark, start)),
                  pa.array(np.ones(repeated.sum() + wanted.sum(), np.int64)),
                  *(pa.array(np.concatenate([np.zeros(repeated.sum(), np.int64), hashes[:, i]]),
                             mask=np.arange(repeated.sum() + wanted.sum()) < repeated.sum()) for i in (0, 1))], names)
-            del keys[:end], ids[:end], starts[:end], contexts[:end]
+            del keys[:end], ids[:end], marks[:end], starts[:end], contexts[:end]
 
         first_key = None
         for batch in batches:
-            for k, d, s, c in zip(*(batch.column(n).to_pylist() for n in ("k", "doc_id", "start", "data"))):
+            for k, d, t, s, c in zip(*(batch.column(n).to_pylist() for n in ("k", "doc_id", "t", "start", "data"))):
                 first_key = k if first_key is None else first_key
                 keys.append(k)
                 ids.append(d)
+                marks.append(t)
                 starts.append(s)
                 contexts.append(c)
                 held += len(c) - length + 1
@@ -264,41 +266,47 @@ def _block_windows(runs: DataFrame, length: int, block_windows: int) -> DataFram
         if keys:
             yield from settle(True, first_key)
 
-    ordered = runs.repartitionByRange("k", "doc_id", "start").sortWithinPartitions("k", "doc_id", "start")
-    return ordered.mapInArrow(run, "doc_id long, start long, n long, c1 long, c2 long")
+    ordered = runs.repartitionByRange("k", "doc_id", "t", "start").sortWithinPartitions("k", "doc_id", "t", "start")
+    return ordered.mapInArrow(run, "doc_id long, t long, start long, n long, c1 long, c2 long")
+
+
+def _mark(text: str):
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t")
 
 
 def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, gram: int = GRAM,
             block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """(doc_id, start, n): runs of n windows, the first at byte `start`, that also occur earlier.
+    """(doc_id, t, start, n): runs of n windows, the first at byte `start`, that also occur earlier; t is the text's hash.
 
-    Earlier is a smaller id or, in the same document, an earlier start. Null text is empty, a
+    Earlier is a smaller id, of one id a smaller text hash or, in the same text, an earlier start. Null text is empty, a
     null id is smaller than all others (the smallest long here). Runs may touch or overlap.
     """
     store = store_of(docs.sparkSession, "repeats")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"), _mark(text))
     many = store(_grams(rows, length, gram).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"),
                  "grams", n=F.count(F.lit(1)))
     known = _filled(many, store.measured["grams"]["n"])
     found = store(_runs(rows, known, length, gram), "runs")
     same = ["k", "c1", "c2"]
-    groups = store(found.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("n").alias("n"),
+    groups = store(found.groupBy(*same).agg(F.min(F.struct("doc_id", "t", "start")).alias("first"), F.max("n").alias("n"),
                                             F.count(F.lit(1)).alias("copies")), "groups")
-    copied = groups.where("copies > 1").select(*same, F.col("first.doc_id").alias("d0"), F.col("first.start").alias("s0"))
-    whole = found.join(copied, same).where("doc_id <> d0 or start <> s0").select("doc_id", "start", "n")
+    copied = groups.where("copies > 1").select(*same, F.col("first").alias("one"))
+    place = ["doc_id", "t", "start"]
+    whole = found.join(copied, same).where(F.struct(*place) != F.col("one")).select(*place, "n")
     # of runs that share a gram but differ, the first of each kind
     mixed = store(groups.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("k"),
                   "mixed", n=F.count(F.lit(1)))
-    unlike = store(groups.join(mixed, "k").select("k", "first.doc_id", "first.start"), "unlike")
+    unlike = store(groups.join(mixed, "k").select("k", "first.doc_id", "first.t", "first.start"), "unlike")
     known = _filled(mixed, store.measured["mixed"]["n"])
-    unlike = store(_contexts(rows, known, length, gram).join(unlike, ["k", "doc_id", "start"]).distinct(), "contexts")
+    unlike = store(_contexts(rows, known, length, gram).join(unlike, ["k", *place]).distinct(), "contexts")
     blocks = store(_block_windows(unlike, length, block_windows), "blocks")
     open_windows = blocks.where("c1 is not null")
-    firsts = store(open_windows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "start")).alias("first"),
+    firsts = store(open_windows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"),
                                                         F.count(F.lit(1)).alias("copies")).where("copies > 1"), "firsts")
     across = (open_windows.join(firsts, ["c1", "c2"])
-              .where("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start", "n"))
-    return whole.unionByName(blocks.where("c1 is null").select("doc_id", "start", "n")).unionByName(across)
+              .where(F.struct(*place) != F.col("first")).select(*place, "n"))
+    return whole.unionByName(blocks.where("c1 is null").select(*place, "n")).unionByName(across)
 
 
 def cut(data: bytes, runs: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, list[tuple[int, int]]]:
@@ -323,13 +331,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     starts earlier. Adds `kept` (binary, as a cut may fall inside a character), `n_bytes`, `n_removed`,
     `n_spans` and `kept_sha256`; columns of these names are replaced.
 
-    Overlaps count; strings are judged on the input, not on what is left. Documents whose id
-    repeats are taken as one place: their equal strings do not remove each other.
+    Overlaps count; strings are judged on the input, not on what is left. Rows are told
+    apart by id and text, those of one id (or of none) in order of a text hash; only rows equal in both are one
+    place, whose equal strings do not remove each other.
     """
     runs = repeats(docs, text, id_col, length, gram, block_windows)
-    gathered = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("_runs")).withColumnRenamed("doc_id", "_doc")
+    gathered = runs.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("start", "n")).alias("_runs"))
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LOWEST))
-    joined = docs.join(gathered, key == F.col("_doc"), "left")
+    joined = docs.join(gathered, (key == F.col("_doc")) & (_mark(text) == F.col("_t")), "left")
 
     def work():
         def step(batch):
@@ -342,4 +351,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         return step
 
     added = "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return with_columns(joined, added, work).drop("_doc", "_runs")
+    return with_columns(joined, added, work).drop("_doc", "_t", "_runs")

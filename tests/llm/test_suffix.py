@@ -52,6 +52,25 @@ def test_rows_repeating_an_id_keep_their_text(spark):
     assert suffix.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    rng = random.Random(9)
+
+    def words(n):
+        return "".join(rng.choices("abcdefgh", k=n))
+
+    for doc_id in (None, 7):
+        shared, own, same_start = words(120), words(200), words(130)
+        a, b = shared + own, words(50) + shared  # the run at byte 50 of b is none of a's
+        c, d = same_start + words(9) + "1", same_start + words(9) + "2"
+        rows = [(doc_id, t) for t in (a, b, c, d)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in suffix.remove_repeats(docs).collect())
+        kept = {k for _, _, _, k in got}
+        assert (a in kept and b[:50] in kept) or (b in kept and own in kept)
+        assert (c in kept and d[130:] in kept) or (d in kept and c[130:] in kept)
+        assert sum(n for _, n, _, _ in got) == 250 and sum(n for _, _, n, _ in got) == 2
+
+
 @given(st.binary(max_size=60).map(lambda b: bytes(x % 3 for x in b)))
 @settings(max_examples=100, deadline=None)
 def test_previous_factors(data):
