@@ -1,5 +1,7 @@
 """Helpers shared by the operators: Arrow maps that keep columns, stores, components."""
 
+import sys
+import types
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -52,6 +54,18 @@ _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "doubl
           "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
+def kept_by_worker(key: tuple, make: Callable):
+    """What `make()` returned in this worker process first, so that its later tasks start with it.
+
+    Task functions bring their own copies of this package's modules, so it is held beside them. A
+    worker keeps only the last key's object.
+    """
+    memory = sys.modules.setdefault("_corpusplan_worker", types.ModuleType("_corpusplan_worker"))
+    if getattr(memory, "key", None) != key:
+        memory.value, memory.key = make(), key
+    return memory.value
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """A text column as strings, null as the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -1,8 +1,12 @@
 """Registered queries of the operators: each over its whole table, with production parameters."""
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from corpusplan.llm import bpe, decontaminate, html, lines, quality, simhash, suffix, topk, toxicity, warc
+from corpusplan.llm import (
+    bpe, centroids, decontaminate, html, lines, periods, quality, simhash, suffix, tokencounts, topk, toxicity, warc,
+)
 from corpusplan.llm.common import held_out
 
 
@@ -75,10 +79,39 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counted = tokencounts.count_tokens(_documents(spark, sf_dir, "doc_id", "text"), path, keep=False)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op12_centroids(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return centroids.cluster(vectors).withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
+
+
+def made_periodic(doc_id, words):
+    """The words of op13's contract: in a tenth of the documents all from some place on repeat a first part."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    return periods.collapse_runs(docs, prepare=made_periodic, keep=False).drop("text")
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_toxicity, op2_warc, op3_suffix_dedup, op4_benchmark_decontamination, op5_html_extraction, op6_bpe, op7_quality, op8_topk,
-        op9_line_dedup, op10_simhash_near_dedup)}
+        op9_line_dedup, op10_simhash_near_dedup, op11_token_counts, op12_centroids, op13_periodic_runs)}
 
 
 OP9_SQL = r"""
@@ -125,4 +158,36 @@ placed AS (
 SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
 """
 
-ORACLE = {"op2_warc": OP2_SQL, "op8_topk": OP8_SQL, "op9_line_dedup": OP9_SQL}
+
+def _op12_sql(rounds: int = 5) -> str:
+    """Plain rounds of assignment and means; scores as inner products of doubles, exact for such small codes."""
+    steps = ["""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+  FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+k0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, c) - 1 AS k, c FROM (
+    SELECT c, sha256('2:' || vec_id::VARCHAR) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, c LIMIT 40))"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := list_inner_product(v.c, v.c) - 2 * list_inner_product(v.c, k.c) + list_inner_product(k.c, k.c),
+                            k := k.k)) AS best
+  FROM v, k{n} k GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+s{n} AS (
+  SELECT best.k AS k, i, sum(x)::HUGEINT AS s, count(*) AS m
+  FROM (SELECT r, unnest(c)::BIGINT AS x, unnest(range(1, 65)) AS i FROM v) JOIN a{n} USING (r) GROUP BY 1, 2),
+m{n} AS (SELECT k, list(((s - ((s % m) + m) % m) // m)::DOUBLE ORDER BY i) AS c FROM s{n} GROUP BY k),
+k{n + 1} AS MATERIALIZED (SELECT k, coalesce(m.c, o.c) AS c FROM k{n} o LEFT JOIN m{n} m USING (k))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, best.k::INTEGER AS cluster, best.d::BIGINT AS distance,
+       (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(f.c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN k{rounds} f ON f.k = best.k
+"""
+
+
+ORACLE = {"op2_warc": OP2_SQL, "op8_topk": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_centroids": _op12_sql()}

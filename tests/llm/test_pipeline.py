@@ -19,13 +19,13 @@ def same(spark_df, sql, tables):
     assert got == sorted(want.fetchall())
 
 
-@pytest.mark.parametrize("name, tables", [("op8_topk", ["embeddings"]), ("op9_line_dedup", ["documents"])])
+@pytest.mark.parametrize("name, tables", [("op8_topk", ["embeddings"]), ("op9_line_dedup", ["documents"]), ("op12_centroids", ["embeddings"])])
 def test_queries_with_sql(spark, name, tables):
     same(queries.queries()[name](spark, SF), queries.ORACLE[name], tables)
 
 
 def test_every_operator_has_a_query():
-    assert [re.match(r"op(\d+)_", n)[1] for n in queries.queries()] == [str(n) for n in range(1, 11)]
+    assert [re.match(r"op(\d+)_", n)[1] for n in queries.queries()] == [str(n) for n in range(1, 14)]
 
 
 def test_stages_keep_columns_and_only_drop(spark):
