@@ -66,6 +66,18 @@ def kept_by_worker(key: tuple, make: Callable):
     return memory.value
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many lines behind it as it takes to be no column of the table."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """A text column as strings, null as the empty text."""
     return [t or "" for t in batch.column(column).to_pylist()]
@@ -113,7 +125,7 @@ def held_out(id_col: str = "doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, id_col: str, limit: int) -> DataFrame:
     """(id, text, label) of a hash sample, `limit` rows expected at most, of the labelled rows to learn from.
 
-    An id labelled twice counts once, with its larger label.
+    An id labelled twice counts once, with its larger label; of several texts of an id the one with the smallest hash counts.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     share = min(1.0, limit / max(1, usable.count()))
@@ -121,4 +133,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, text: str, i
               .groupBy(id_col).agg(F.max(label).alias("label")))
     # of bounded size by the threshold, so it may be broadcast
     return (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-            .join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id").dropDuplicates(["id"]))
+            .join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id")
+            .groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("label").alias("label")))

@@ -10,9 +10,12 @@ import re
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from corpusplan.llm.common import store_of, texts_of, with_columns
+from corpusplan.sources.inventory import list_files
+from corpusplan.sources.streams import locate
 
 ERROR_RATE = 0.08
 BLOCK_CHARS = 4 << 20  # items are taken in blocks of so many characters
@@ -135,22 +138,26 @@ class _Places:
         return min(b, a + at - self.at[n])
 
 
-def item_blocks(items: DataFrame, text: str, item_id: str, block_chars: int):
-    """The distinct items as lists of bounded size, in the order they are read.
+def item_files(items: DataFrame, text: str, item_id: str, block_chars: int) -> list[str]:
+    """The distinct items as stored files of about `block_chars` characters each.
 
-    A stated set of queries is matched block by block: what a task holds does not grow
-    with the benchmark.
+    A stated set of queries is matched block by block. A task reads the block it matches, so what it
+    holds does not grow with the benchmark; the driver knows names of files only.
     """
-    rows, size = [], 0
-    distinct = items.where(F.col(text).isNotNull()).groupBy(text).agg(F.min(item_id).alias("_id"))
-    for r in distinct.select("_id", F.col(text).alias("_text")).toLocalIterator():
-        rows.append((r["_id"], r["_text"]))
-        size += len(r["_text"])
-        if size >= block_chars:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
+    store = store_of(items.sparkSession, "items")
+    named = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    distinct = store(named.groupBy("text").agg(F.min("id").alias("id")), "distinct",
+                     chars=F.sum(F.length("text")))
+    blocks = max(1, -(-(store.measured["distinct"]["chars"] or 0) // block_chars))
+    store(distinct.repartition(blocks), "blocks")
+    return sorted(r.path for r in list_files(items.sparkSession, f"{store.folder}/blocks", "*.parquet").collect())
+
+
+def read_items(path: str) -> list[tuple[int | None, str]]:
+    system, name = locate(path)
+    with system.open_input_file(name) as f:
+        table = pq.ParquetFile(f).read(columns=["id", "text"])
+    return list(zip(*(table.column(c).to_pylist() for c in ("id", "text"))))
 
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id",
@@ -164,9 +171,9 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "
     texts hold nothing. start and end are code points of the text as given, exact unless
     lower-casing changes a word's length. Repeated rows are each answered.
     """
-    def search(block):
+    def search(path):
         def run(batches):
-            matcher = Matcher(block, rate)
+            matcher = Matcher(read_items(path), rate)
             for batch in batches:
                 out = [(d, *hit) for d, t in zip(batch.column("id").to_pylist(), texts_of(batch, "text"))
                        for hit in matcher.find(t)]
@@ -178,7 +185,7 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "
     store_of(docs.sparkSession, "leaks")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
     schema = "id long, item_id long, distance long, start long, end long"
-    parts = [rows.mapInArrow(search(b), schema) for b in item_blocks(items, item_text, item_id, block_chars)]
+    parts = [rows.mapInArrow(search(f), schema) for f in item_files(items, item_text, item_id, block_chars)]
     out = parts[0] if parts else docs.sparkSession.createDataFrame([], schema)
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -189,9 +196,9 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
                item_id: str = "item_id", rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents in which no item is found."""
     store_of(docs.sparkSession, "leaks")
-    for block in item_blocks(items, item_text, item_id, block_chars):
-        def work(block=block):
-            matcher = Matcher(block, rate)
+    for path in item_files(items, item_text, item_id, block_chars):
+        def work(path=path):
+            matcher = Matcher(read_items(path), rate)
             return lambda batch: ([], [not matcher.find(t) for t in texts_of(batch, text)])
         docs = with_columns(docs, "", work)
     return docs

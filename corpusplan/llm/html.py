@@ -34,12 +34,18 @@ SIDE_NAMES = frozenset("""ad ads advert adverts advertisement advertising adsens
 COMMENT_NAMES = frozenset("comment comments respond disqus reply replies discussion".split())
 MODIFIERS = frozenset("no not non has have with without is w".split())  # they make a name say something about a page, not what it is
 HEADER_NAMES = frozenset("header masthead topbar".split())
+# what stands beside such a name in a class without changing what the part is
+LAYOUT_NAMES = frozenset("""area bar block body bottom box button buttons card cell center cell col column container content entry
+    fixed full group header holder inline inner item items label large left link links list main message mobile module outer page panel
+    post posts article articles primary right row secondary section site slot small sticky tab tag text title top unit wrap wrapper
+    zone desktop native in feed story stories""".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^\"'<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>?"
     r"|<[!?][^>]*+>?|<|[^<]++", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -86,6 +92,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[Container] = []
     parts: list[tuple[str, bool]] = []
     heading = link = False
+    opened = 0  # containers that were open where the link began
     hidden, in_head, at, bodies = None, False, 0, 0
 
     def close_block():
@@ -132,12 +139,11 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in INLINE:
             if tag == "a":
-                link = not ending
+                link, opened = not ending and _HREF.search(m.group("attrs")) is not None, len(stack)
             elif tag == "br":
                 parts.append((" ", link))
             continue
         close_block()
-        link = False
         if tag in VOID:
             continue
         if not ending and stack and (stack[-1].tag == "p" or stack[-1].tag == tag == "li"):
@@ -149,9 +155,10 @@ def blocks(page: str) -> list[Block]:
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n].tag == tag:
                     del stack[n:]
+                    link &= n >= opened  # a link goes on over blocks inside it, not beyond the part it stands in
                     break
         elif tag != "p" and tag != "li" or m.group("attrs"):
-            new = _container(tag, m.group("attrs"))
+            new = _container(tag, m.group("attrs"), any(c.kind == "body" for c in stack))
             if new.kind == "body":
                 for c in stack:
                     c.bodies += 1
@@ -172,15 +179,18 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _container(tag: str, attrs: str) -> Container:
+def _container(tag: str, attrs: str, inside: bool) -> Container:
+    """Inside an article a class names a side part only as a whole: `ad-box` does, `ad-free` and `share-price` don't."""
     values = {n.lower(): a or b or c for n, a, b, c in reversed(_ATTRIBUTE.findall(attrs))} if attrs else {}  # the first of equal names
     page = tag in ("body", "html")
     if not page and ("hidden" in values or values.get("aria-hidden", "").lower() == "true" or _NO_DISPLAY.search(values.get("style", ""))):
         return Container(tag, "side")
     names = set()
     for token in " ".join(values.get(n, "") for n in ("class", "id", "role")).lower().split():
-        pieces = set(_SPLIT.split(token))
-        if not pieces & MODIFIERS:
+        pieces = {p for p in _SPLIT.split(token) if p}
+        if pieces & MODIFIERS:
+            continue
+        if not inside or all(p in SIDE_NAMES or p in LAYOUT_NAMES or not p.isalpha() for p in pieces):
             names |= pieces
     if tag in SIDE_TAGS:
         return Container(tag, "side", tag == "form")
@@ -217,6 +227,11 @@ LABELLED = [
     (32, 0.00, 2, 0.00, 17, 0.00, 0, 0, 1, 0, 1), (17, 0.00, 3, 0.00, 12, 0.00, 0, 0, 1, 0, 1),
     (40, 0.00, 4, 0.00, 6, 1.00, 0, 0, 1, 0, 1), (4, 0.00, 3, 0.00, 2, 1.00, 0, 0, 1, 0, 1),
     (21, 0.10, 2, 1.00, 3, 1.00, 0, 0, 1, 0, 1), (2, 0.00, 2, 0.00, 3, 0.00, 0, 0, 1, 0, 1),
+    (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 1, 0, 1), (1, 1.00, 30, 0.00, 1, 1.00, 0, 0, 1, 0, 1),
+    (2, 1.00, 2, 1.00, 28, 0.00, 0, 0, 1, 0, 1), (4, 0.80, 3, 1.00, 5, 1.00, 0, 0, 1, 0, 1),
+    (3, 1.00, 0, 0.00, 2, 1.00, 0, 0, 1, 1, 1), (26, 1.00, 8, 1.00, 31, 1.00, 0, 0, 1, 0, 1),
+    (2, 1.00, 1, 1.00, 0, 0.00, 0, 0, 1, 0, 1), (6, 0.70, 44, 0.00, 3, 1.00, 0, 0, 1, 0, 1),
+    (5, 1.00, 5, 1.00, 6, 1.00, 0, 1, 1, 0, 1), (3, 1.00, 1, 1.00, 22, 0.00, 0, 1, 1, 0, 1),
     (6, 0.00, 11, 0.00, 2, 0.00, 0, 0, 1, 1, 1), (16, 0.20, 3, 0.00, 28, 0.90, 0, 1, 1, 0, 1),
     # text of a page without such an element
     (48, 0.00, 40, 0.00, 44, 0.00, 0, 0, 0, 0, 1), (70, 0.10, 12, 0.00, 33, 0.00, 0, 0, 0, 0, 1),

@@ -12,7 +12,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusplan.llm.common import labelled_sample, store_of
+from corpusplan.llm.common import free_names, labelled_sample, store_of
 from corpusplan.llm.trees import nested, paths
 
 TRAIN_DOCS = 12_000  # expected labelled documents at most
@@ -119,6 +119,10 @@ def score(docs: DataFrame, rules: Rules, text: str = "text", threshold: float =
     All in column expressions over the whole text. Null text counts as empty. Columns of
     these names are replaced.
     """
-    table, names = _with_statistics(docs, text)
-    return (table.withColumn("score", rules.score())
-            .withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_text", *names))
+    # columns named like what is worked out here step aside meanwhile
+    aside = {c: new for c, new in zip(docs.columns, free_names(docs, *(f"aside_{c}" for c in docs.columns)))
+             if c.lower() == "_text" or c.lower().startswith("_stat_")}
+    table, names = _with_statistics(docs.withColumnsRenamed(aside), aside.get(text, text))
+    scored = (table.withColumn("score", rules.score())
+              .withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_text", *names))
+    return scored.withColumnsRenamed({new: c for c, new in aside.items()})

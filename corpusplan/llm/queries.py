@@ -159,6 +159,79 @@ SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5
 """
 
 
+OP3_SQL = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (
+  SELECT doc_id, base, substr(h, 2 * base + 1, 2 * 355) AS part
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 256)) AS base FROM texts)),
+grams AS (
+  SELECT doc_id, base + i AS i, md5(substr(part, 2 * i + 1, 200)) AS gram
+  FROM (SELECT doc_id, base, part, unnest(range(0, length(part) // 2 - 99)) AS i FROM pieces)),
+firsts AS (
+  SELECT gram, min(struct_pack(doc_id := doc_id, i := i)) AS first FROM grams GROUP BY gram HAVING count(*) > 1),
+later AS (
+  SELECT g.doc_id, g.i FROM grams g JOIN firsts f USING (gram) WHERE g.doc_id <> f.first.doc_id OR g.i <> f.first.i),
+marked AS (
+  SELECT *, coalesce(i - lag(i) OVER w > 100, TRUE)::INTEGER AS new FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+spans AS (
+  SELECT doc_id, min(i) AS s, max(i) + 100 AS e
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked) GROUP BY doc_id, span),
+cuts AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans),
+ends AS (
+  SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last,
+         string_agg(substr(t.h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS head
+  FROM cuts JOIN texts t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, length(t.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(t.h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts t LEFT JOIN ends e USING (doc_id)
+"""
+
+OP5_SQL = r"""
+WITH articles AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+cut AS (SELECT page_id, url, regexp_split_to_array(body, '</?(?:p|h1)>') AS parts FROM articles),
+cleaned AS (
+  SELECT page_id, url, list_filter(list_transform(parts, lambda p: trim(regexp_replace(replace(replace(
+    regexp_replace(p, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda p: p <> '') AS parts FROM cut)
+SELECT page_id, url, array_to_string(parts, chr(10)) AS text, length(array_to_string(parts, chr(10))) AS n_chars FROM cleaned
+"""
+
+OP13_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(
+           list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+           lambda crc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, b)),
+           4294967295), 4294967295) END AS h FROM documents),
+placed AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+words AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i
+           ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w FROM placed),
+flat AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM words),
+same AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM flat x JOIN flat y ON x.doc_id = y.doc_id AND x.word = y.word
+    AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same),
+stretches AS (
+  SELECT doc_id, min(i) AS s, count(*) + q AS size, q FROM islands GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, s, size, min(q) AS q FROM stretches GROUP BY doc_id, s, size),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + size)) AS i FROM runs),
+kept AS (
+  SELECT f.doc_id, string_agg(word, ' ' ORDER BY f.i) AS text FROM flat f
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = f.doc_id AND g.i = f.i) GROUP BY f.doc_id),
+best AS (
+  SELECT * FROM runs r WHERE NOT EXISTS (
+    SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.size * r.q > r.size * o.q
+      OR o.size * r.q = r.size * o.q AND (o.s < r.s OR o.s = r.s AND o.q < r.q)))),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.size AS length, b.q AS period, 1000 * b.size // b.q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best b USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def _op12_sql(rounds: int = 5) -> str:
     """Plain rounds of assignment and means; scores as inner products of doubles, exact for such small codes."""
     steps = ["""
@@ -190,4 +263,5 @@ FROM v JOIN a{rounds} USING (r) JOIN k{rounds} f ON f.k = best.k
 """
 
 
-ORACLE = {"op2_warc": OP2_SQL, "op8_topk": OP8_SQL, "op9_line_dedup": OP9_SQL, "op12_centroids": _op12_sql()}
+ORACLE = {"op2_warc": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op5_html_extraction": OP5_SQL, "op8_topk": OP8_SQL, "op9_line_dedup": OP9_SQL,
+          "op12_centroids": _op12_sql(), "op13_periodic_runs": OP13_SQL}

@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from corpusplan.llm.common import components, store_of, with_columns
+from corpusplan.llm.common import components, free_names, store_of, with_columns
 
 WORDS = 3
 SEED = 42
@@ -66,7 +66,8 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGM
         .where("key >= own").select("a", "seg", "key", (F.col("mask") == 0).alias("same"))
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
-    return probes.join(table, ["seg", "key"]).where(near & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
+    # probes look small on disk and are 33 rows a value in memory: neither side is to be broadcast
+    return probes.join(table.hint("merge"), ["seg", "key"]).where(near & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
@@ -100,6 +101,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
 
     Rows that repeat an id are one document: they stay or go together.
     """
+    own, = free_names(docs, "gone")
     gone = (near_duplicates(docs, text, id_col).where(F.col(id_col) != F.col("component_id"))
-            .select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+            .select(F.col(id_col).alias(own)).distinct())
+    return docs.join(gone, docs[id_col] == gone[own], "left_anti")

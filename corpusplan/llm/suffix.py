@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from corpusplan.llm.common import store_of, texts_of, with_columns
+from corpusplan.llm.common import free_names, store_of, texts_of, with_columns
 
 LENGTH = 100
 GRAM = 32  # a power of two, below LENGTH
@@ -336,14 +336,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     place, whose equal strings do not remove each other.
     """
     runs = repeats(docs, text, id_col, length, gram, block_windows)
-    gathered = runs.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("start", "n")).alias("_runs"))
+    own, mark, found = free_names(docs, "doc", "t", "runs")
+    gathered = runs.groupBy(F.col("doc_id").alias(own), F.col("t").alias(mark)).agg(F.collect_set(F.struct("start", "n")).alias(found))
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LOWEST))
-    joined = docs.join(gathered, (key == F.col("_doc")) & (_mark(text) == F.col("_t")), "left")
+    joined = docs.join(gathered, (key == F.col(own)) & (_mark(text) == F.col(mark)), "left")
 
     def work():
         def step(batch):
             out = []
-            for t, runs in zip(texts_of(batch, text), batch.column("_runs").to_pylist()):
+            for t, runs in zip(texts_of(batch, text), batch.column(found).to_pylist()):
                 data = t.encode()
                 kept, spans = cut(data, [(r["start"], r["n"]) for r in runs or []], length)
                 out.append((kept, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
@@ -351,4 +352,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         return step
 
     added = "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return with_columns(joined, added, work).drop("_doc", "_t", "_runs")
+    return with_columns(joined, added, work).drop(own, mark, found)

@@ -13,6 +13,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from contextlib import ExitStack
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ BLOCK_LINES = 2_000
 GZIP_LEVEL = 5
 READ_GAP = 64 << 10
 READ_MOST = 8 << 20
+TASK_BYTES = 64 << 20  # a task reads about this many bytes of records
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"  # the pages carry no time of capture
 
@@ -119,29 +121,21 @@ def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
     committed are named.
     """
     def run(batches):
-        files, held, out = _Files(folder, "warc.gz"), bytearray(), []
-        path = files.next()
-
-        def flush():
-            nonlocal held, path
-            if held:
-                with open_write(path) as f:
-                    f.write(bytes(held))
-                held, path = bytearray(), files.next()
-
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                packer = zlib.compressobj(GZIP_LEVEL, wbits=31)
-                data = packer.compress(record(r["page_id"], r["url"], r["payload"].encode(), r["refers_to"])) + packer.flush()
-                if held and len(held) + len(data) > file_bytes:
-                    flush()
-                out.append((url_key(r["url"]), r["page_id"], path, len(held), len(data)))
-                held += data
-            if len(held) > file_bytes // 2:
-                flush()
-            yield _batch(out, PLACES)
-        flush()
+        files, stream, path, size = _Files(folder, "warc.gz"), None, None, 0
+        with ExitStack() as opened:  # a file has its name once it is closed, and none if the task fails
+            for batch in batches:
+                out = []
+                for r in batch.to_pylist():
+                    packer = zlib.compressobj(GZIP_LEVEL, wbits=31)
+                    data = packer.compress(record(r["page_id"], r["url"], r["payload"].encode(), r["refers_to"])) + packer.flush()
+                    if stream is None or size and size + len(data) > file_bytes:
+                        opened.close()
+                        path, size = files.next(), 0
+                        stream = opened.enter_context(open_write(path))
+                    out.append((url_key(r["url"]), r["page_id"], path, size, len(data)))
+                    stream.write(data)
+                    size += len(data)
+                yield _batch(out, PLACES)
 
     return rows.mapInArrow(run, "key string, page_id long, file string, offset long, length long")
 
@@ -273,7 +267,13 @@ def look_up(wanted: DataFrame, index_files: list[tuple]) -> DataFrame:
 
 def read_records(places: DataFrame, payload: bool = False) -> DataFrame:
     """The records at these places: page_id, payload_bytes, payload_digest, record_type,
-    refers_to and, if asked for, payload. Neighbouring ranges of a file are read together."""
+    refers_to and, if asked for, payload. Neighbouring ranges of a file are read together.
+
+    The places are written first: they are far smaller than what they name, so the number of tasks follows from the bytes they add up to.
+    """
+    store = store_of(places.sparkSession, "records")
+    places = store(places.select("file", "offset", "length"), "places", bytes=F.sum("length"))
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-(store.measured["places"]["bytes"] or 0) // TASK_BYTES))
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payload
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())][:len(names)])
@@ -294,9 +294,9 @@ def read_records(places: DataFrame, payload: bool = False) -> DataFrame:
                 yield _batch([tuple(r[n] for n in names) for r in found], schema)
                 at = upto
 
-    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    ordered = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     ddl = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return ordered.select("file", "offset", "length").mapInArrow(run, ddl + ", payload binary" * payload)
+    return ordered.mapInArrow(run, ddl + ", payload binary" * payload)
 
 
 def archive(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES,

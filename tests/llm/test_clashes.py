@@ -1,0 +1,65 @@
+"""Columns of the input that are named like what operators work out inside come through unchanged."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusplan.llm import (
+    bpe, centroids, decontaminate, lines, nearcopies, periods, quality, queries, simhash, suffix, tokencounts, topk, toxicity, warc,
+)
+
+NAMES = ["_t", "t", "t_", "_doc", "doc", "_runs", "runs", "_node", "Node", "_gone", "gone", "_text", "_stat_chars", "_STAT_words", "id", "n", "k",
+         "root", "key", "words", "found", "same", "a", "b", "label", "_id", "_part", "fp", "low"]
+TEXTS = ["one two three four five six seven " * 9, "one two three four five six seven " * 9, None, "", "another text of some words here. " * 7]
+
+
+@pytest.fixture
+def docs(spark):
+    rows = [(i, t, *(f"{n}{i}" for n in NAMES)) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in NAMES))
+
+
+def kept(df):
+    for r in df.collect():
+        assert all(r[n] == f"{n}{r.doc_id}" for n in NAMES)
+    return df.count()
+
+
+def labels(spark, docs):
+    return docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), (F.col("doc_id") % 2).cast("int").alias("quality"))
+
+
+def test_documents(spark, docs):
+    assert kept(suffix.remove_repeats(docs)) == 5
+    assert kept(nearcopies.keep_one(docs)) == 3
+    assert kept(simhash.keep_one(docs)) == 3
+    assert kept(lines.dedup_lines(docs)) == 5
+    marks = labels(spark, docs)
+    scored = quality.score(docs, quality.train(docs, marks))
+    assert kept(scored) == 5 and scored.columns == [*docs.columns, "score", "predicted"]
+    assert kept(toxicity.score(docs, toxicity.train(docs, marks))) == 5
+    items = spark.createDataFrame([(7, "one two three four five six seven")], "item_id long, text string")
+    assert kept(decontaminate.drop_leaks(docs, items)) == 3
+    assert kept(bpe.encode_decode(docs, queries.vocabulary())) == 5
+    import public_tokenizers
+    assert kept(tokencounts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))) == 5
+    assert kept(periods.collapse_runs(docs.drop("runs").withColumn("runs", F.concat(F.lit("runs"), "doc_id")), keep=False)) == 5
+
+
+def test_tables_that_answer_with_columns_of_their_own(spark, docs):
+    vectors = docs.withColumn("v", F.array(F.col("doc_id").cast("float"), F.lit(1.0).cast("float")))
+    assert topk.top_k(vectors, F.col("doc_id") == 0, "v", "doc_id", k=2).count() == 2
+    assert centroids.cluster(vectors, "v", "doc_id", clusters=2, dims=2).count() == 5
+    pages = docs.withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("http://a/"))
+    _, index = warc.archive(pages)
+    assert warc.read_records(warc.look_up(pages, index)).count() == 5
+
+
+def test_repeated_labelled_ids_give_one_model(spark):
+    rows = [(i, f"word{i % 7} good text number {i}. bad{i % 2}") for i in range(60)] + [(i, f"another text {i}") for i in range(0, 60, 3)]
+    marks = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)] + [(4, 1, 1)], "doc_id long, toxic int, quality int")
+    found = set()
+    for seed in range(3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").orderBy(F.rand(seed)).repartition(3)
+        model, rules = toxicity.train(docs, marks), quality.train(docs, marks)
+        found.add((tuple(sorted(model.weights)), round(model.bias, 6), round(model.leak, 6), rules.names, len(rules.rules)))
+    assert len(found) == 1

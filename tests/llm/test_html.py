@@ -85,3 +85,32 @@ def test_wrappers_are_no_side_parts(tree):
     for part in (f'<div class="comments"><p>{text}</p></div>', f"<div hidden><p>{text}</p></div>", f'<div class="related"><p>{text}</p></div>'):
         assert html.main_text(article + part, tree) == text, part
     assert html.main_text(f'<div class="comments"><p>{text}</p></div>', tree) == ""
+
+
+def test_text_of_articles_is_kept(tree):
+    first = "The first paragraph of the text, which has enough words to stay in."
+    last = "The last paragraph of the text, which has enough words to stay in as well."
+
+    def article(middle):
+        return html.main_text(f"<nav><a href=/>Home</a></nav><article><p>{first}</p>{middle}<p>{last}</p></article>", tree).split("\n")
+
+    for empty in ("<!-->", "<!--->", "<!-- a > b --!>", "<!---->", "<!-- x -->"):
+        assert article(empty) == [first, last], empty
+    for part in ('<p class="share-price">{}</p>', '<div class="ad-free">{}</div>', '<p class="comment-worthy sign">{}</p>',
+                 '<div id="form-and-function">{}</div>', '<section class="legal-history">{}</section>'):
+        assert article(part.format("Ten words that are part of the article, whatever it says.")) == [
+            first, "Ten words that are part of the article, whatever it says.", last], part
+    for part in ('<div class="ad-box">{}</div>', '<div class="share-buttons">{}</div>', '<div class="post-footer">{}</div>',
+                 '<div class="ad-300x250">{}</div>', '<div class="related-articles">{}</div>', '<div class="cookie-notice">{}</div>'):
+        assert article(part.format("Ten words that are no part of it, whatever they say.")) == [first, last], part
+    items = "".join(f'<li><a href="/{n}">{n}</a></li>' for n in ("One", "Two", "Three", "Four"))
+    assert article(f"<ul>{items}</ul>") == [first, "One", "Two", "Three", "Four", last]
+
+
+def test_links_go_on_over_blocks(tree):
+    text = "The text of an article that says enough words to be one, and it goes on for some more words."
+    menu = "".join(f'<a href="/{n}"><div>{n} news of today</div></a>' for n in ("Sports", "World", "Local", "Money"))
+    assert html.main_text(f"<div>{menu}</div><div><p>{text}</p></div>", tree) == text
+    found = html.blocks(f'<div>{menu}</div><a name="top"><p>{text}</p><div><a href=x>open<p>linked words</div><p>free words</p>')
+    assert [(b.text, b.density) for b in found] == [(f"{n} news of today", 1.0) for n in ("Sports", "World", "Local", "Money")] + [
+        (text, 0.0), ("open", 1.0), ("linked words", 1.0), ("free words", 0.0)]

@@ -1,6 +1,8 @@
 """Operators that learn: held-out accuracy, and odd rows."""
 
+import math
 import random
+import re
 import zlib
 
 from corpusplan.llm import quality, toxicity
@@ -85,3 +87,55 @@ def test_labels_of_one_kind_or_none(spark):
         scores = {r.score for r in toxicity.score(docs, toxicity.train(docs, one)).collect()}
         assert len(scores) == 1 and abs(scores.pop() - share) <= 0.02
         assert len({r.score for r in quality.score(docs, quality.train(docs, one)).collect()}) == 1
+
+
+def test_toxicity_scores_by_the_plain_formula(spark):
+    docs, labels = tables(spark)
+    model = toxicity.train(docs, labels)
+    for r in toxicity.score(docs, model).limit(60).collect():
+        clean = 1 - model.leak
+        for a, b in toxicity.sentences(r.text or ""):
+            own = [model.weights[f] for f in toxicity.features(r.text[a:b]) if f in model.weights]
+            if own:
+                clean *= 1 - 1 / (1 + math.exp(-model.bias - sum(own)))
+        assert abs(r.score - (1 - clean)) < 1e-9
+
+
+def test_no_small_change_of_the_fit_is_likelier():
+    rng = random.Random(1)
+    rows = [(rng.randrange(2), [rng.sample(range(6), 2) for _ in range(rng.randrange(4))]) for _ in range(80)]
+    weights, bias, leak = toxicity.fit_bags(rows, 6)
+
+    def likelihood(w, b, log_leak):
+        total = -toxicity.L2 / 2 * sum(x * x for x in w)
+        for y, bags in rows:
+            clean = 1 - math.exp(log_leak)
+            for bag in bags:
+                clean *= 1 - 1 / (1 + math.exp(-b - sum(w[f] for f in bag)))
+            total += math.log(max(1e-9, 1 - clean)) if y else math.log(clean)
+        return total
+
+    best = likelihood(weights, bias, math.log(leak))
+    for _ in range(200):
+        near = [x + rng.gauss(0, .05) for x in weights]
+        other = likelihood(near, bias + rng.gauss(0, .05), min(math.log(leak) + rng.gauss(0, .05), math.log(.2)))
+        assert other < best + .02
+
+
+def test_quality_scores_by_the_plain_rules(spark):
+    docs, labels = tables(spark)
+    rules = quality.train(docs, labels)
+    stats, names = quality._with_statistics(docs.limit(80), "text")
+    scored = {r.doc_id: r.score for r in quality.score(docs, rules).select("doc_id", "score").collect()}
+    for r in stats.select("doc_id", "text", *names).collect():
+        z = rules.base + sum(w for path, w in rules.rules if all(
+            (r[names[f]] > t) == above for f, above, t in path))
+        assert abs(scored[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-9
+        # the statistics themselves, counted another way
+        text = r.text or ""
+        words = [w for w in re.split("[ \t\n\r]+", text) if w]
+        assert r._stat_chars == len(text) and r._stat_words == len(words)
+        if words:
+            assert abs(r._stat_distinct_words - len(set(words)) / len(words)) < 1e-12
+            assert abs(r._stat_commas - text.count(",") / len(words)) < 1e-12
+            assert abs(r._stat_digits - sum(c in "0123456789" for c in text) / len(text)) < 1e-12

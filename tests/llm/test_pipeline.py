@@ -15,11 +15,13 @@ def same(spark_df, sql, tables):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.execute(sql)
     names = [d[0] for d in want.description]
-    got = sorted(tuple(r[n] for n in names) for r in spark_df.collect())
-    assert got == sorted(want.fetchall())
+    got = sorted((tuple(r[n] for n in names) for r in spark_df.collect()), key=repr)
+    assert got == sorted(want.fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name, tables", [("op8_topk", ["embeddings"]), ("op9_line_dedup", ["documents"]), ("op12_centroids", ["embeddings"])])
+@pytest.mark.parametrize("name, tables", [
+    ("op3_suffix_dedup", ["documents"]), ("op5_html_extraction", ["pages"]), ("op8_topk", ["embeddings"]),
+    ("op9_line_dedup", ["documents"]), ("op12_centroids", ["embeddings"]), ("op13_periodic_runs", ["documents"])])
 def test_queries_with_sql(spark, name, tables):
     same(queries.queries()[name](spark, SF), queries.ORACLE[name], tables)
 

@@ -1,7 +1,10 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusplan.llm import topk
@@ -11,7 +14,7 @@ def brute(rows, k, every):
     def code(v):
         if v is None or any(c is None or not math.isfinite(c) for c in v):
             return None
-        return [math.floor(256 * float(np.float32(c))) for c in v]
+        return [math.floor(256 * Fraction(float(np.float32(c)))) for c in v]
 
     codes = [(i, c) for i, v in rows if i is not None and (c := code(v)) is not None]
     queries = {}
@@ -51,15 +54,36 @@ def test_few_candidates_and_empty_tables(spark):
     check(spark, [])
 
 
-def test_blocks_are_passed_over():
-    rng = np.random.default_rng(0)
-    import pyarrow as pa
+def test_large_numbers_are_exact(spark):
+    check(spark, [(0, [1.0, 2.0]), (1, [70000.0, 1.0]), (2, [.5, .5]), (5, [2.0 ** 40, -3.0]), (6, [-1e7, 2.5])], every=10)
+    check(spark, [(0, [1.0, 0.0]), (1, [0.0, 1e30]), (5, [0.0, 0.25]), (6, [1.5, -1e25]), (7, [0.5, 0.0])], every=10)
+    rows = [(0, [1.0, 1e20]), (1, [0.0, 1e20])]
+    with pytest.raises(Exception, match="leaves a long"):
+        check(spark, rows)
+
 
+def test_pruned_by_scores_of_blocks_before():
+    rng = np.random.default_rng(0)
     blocks = []
     for b in range(50):
         codes = (rng.integers(0, 20, (8, 6)) + (200 if b == 7 else 0)).astype(np.int32)
         blocks.append((np.arange(8) + 8 * b, codes))
-    batch = pa.RecordBatch.from_arrays([pa.array([f(b).tobytes() for b in blocks], pa.binary()) for f in (
-        lambda b: b[0].astype(np.int64), lambda b: b[1], lambda b: b[1].max(0), lambda b: b[1].min(0))], ["ids", "codes", "highs", "lows"])
-    scores, ids, scored = topk.Shard(batch, 6).search(np.array([-1]), np.ones((1, 6), np.int32), 3)
-    assert scored <= 2 and set(ids[0]) <= set(range(56, 64))
+    scores, ids = np.full((1, 3), topk._WORST), np.full((1, 3), topk._NOBODY)
+    query = np.array([-1]), np.ones((1, 6), np.int32)
+    assert topk.Shard(blocks, 6).search(*query, scores, ids) <= 2 and set(ids[0]) <= set(range(56, 64))
+    before = ids.copy()
+    assert topk.Shard(blocks[8:], 6).search(*query, scores, ids) == 0 and (ids == before).all()
+
+
+def test_a_task_returns_k_rows_a_query(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(600)]
+    packed = topk._packed(table(spark, rows).selectExpr("vec_id AS id", "embedding AS v").coalesce(1), 8, 4)
+    packed.write.parquet(f"{tmp_path}/b")
+    topk._packed(table(spark, rows[:50]).selectExpr("vec_id AS id", "embedding AS v").coalesce(1), 8, 20).write.parquet(f"{tmp_path}/q")
+    files = [[f"file:{f}" for f in sorted((tmp_path / n).glob("*.parquet"))] for n in "qb"]
+    monkeypatch.setattr(topk, "_TOGETHER", 100)
+    pairs = pa.RecordBatch.from_arrays([pa.array([0])], ["pair"])
+    out = [r for batch in topk._searched([pairs], *files, 8, 5) for r in batch.to_pylist()]
+    want = brute(rows, 5, 1)
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in out) == sorted((q, v, s) for q, _, v, s in want if q < 50)

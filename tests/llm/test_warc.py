@@ -1,5 +1,9 @@
 import base64
 import hashlib
+from contextlib import contextmanager
+
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpusplan.llm import warc
 
@@ -63,3 +67,46 @@ def test_damage_is_seen():
     except ValueError:
         return
     raise AssertionError("a changed payload was accepted")
+
+
+def test_records_are_written_as_they_come(monkeypatch):
+    """No more than a record is held: a file grows record by record and is closed at its bound."""
+    sizes, files = [], []
+
+    @contextmanager
+    def watched(path):
+        files.append(path)
+
+        class Stream:
+            def write(self, data):
+                sizes.append((path, len(data)))
+        yield Stream()
+
+    monkeypatch.setattr(warc, "open_write", watched)
+    monkeypatch.setattr(warc._Files, "__init__", lambda self, folder, ending: self.__dict__.update(stem=folder, ending=ending, n=0))
+    rows = [(i, f"http://a/{i}", "x" * (50 * i), None) for i in range(40)]
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = warc.write_archives(Rows(), "f", file_bytes=800)
+    batch = pa.RecordBatch.from_pylist([dict(zip(("page_id", "url", "payload", "refers_to"), r)) for r in rows])
+    places = [p for b in run(iter([batch.slice(0, 25), batch.slice(25)])) for p in b.to_pylist()]
+    assert len(sizes) == len(rows) == len(places) and len(files) > 5
+    for path in files:
+        own = [n for p, n in sizes if p == path]
+        assert sum(own) <= 800 or len(own) == 1
+        at = 0
+        for p in (p for p in places if p["file"] == path):
+            assert p["offset"] == at
+            at += p["length"]
+
+
+def test_reading_is_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 200)
+    table = pages(spark)
+    _, index = warc.archive(table)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    records = warc.read_records(warc.look_up(table, index)).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in records}) > 8 and len(records) == table.count()
