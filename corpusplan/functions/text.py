@@ -26,12 +26,6 @@ def strip_slashes(text: Column) -> Column:
     return F.regexp_replace(text, r"/+\z", "")
 
 
-def decoded(path: Column) -> Column:
-    """A path as it is, from the percent-encoded form file metadata has; a plus stays one."""
-    plain = F.regexp_replace(path, r"\Afile:/+", "file:/")
-    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
-
-
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -21,12 +21,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusplan import known
 from corpusplan.functions.shape import settle
 from corpusplan.functions.text import strip_slashes
+from corpusplan.operators.substrings import containing
 
 SELECTOR = ["family", "version", "want_pair", "want_category", "want_extra"]
 FILE = ["url", "filename", "language_pair", "category", "description", "pos"]
 
 _NONE = "CAST(NULL AS STRING)"
 
+# with more filters than this on one page, links are looked up by their substrings
+FEW_FILTERS = 64
+
 # anchors(page_url, pos, href), or what finds them at given addresses(page_url)
 AnchorSource = DataFrame | Callable[[DataFrame], DataFrame]
 
@@ -77,24 +81,52 @@ class Family:
 
 
 @dataclass(frozen=True)
-class PageFamily(Family):
-    """Files are listed on the index page itself. Rules see the link columns."""
+class LinkFamily(Family):
+    """A family that picks links of its index page: `keep` sees the link columns, those that say what a request wants too.
+
+    How a request's language pair (or else its category) picks among the kept links is best declared: `within`, it must be part of the
+    link; or `equal`, it must equal this expression of the link. `keep` must then look at the link alone, and
+    `unasked` is what holds for requests that leave the field empty. Links are then looked up, however many
+    requests there are.
+    """
 
     keep: str = field(kw_only=True)
+    within: bool = field(kw_only=True, default=False)
+    equal: str | None = field(kw_only=True, default=None)
+    unasked: str = field(kw_only=True, default="true")
+
+    def want(self) -> str:
+        return "want_pair" if "language_pair" in self.options else "want_category"
+
+    def filters(self) -> str:
+        """Whether a selector names what it wants, and links can be looked up by it."""
+        return f"{self.want()} <> ''" if self.within or self.equal else "false"
+
+    def picks(self) -> str:
+        """The whole rule, over selectors joined with links."""
+        if not (self.within or self.equal):
+            return f"({self.keep})"
+        fits = f"contains(href, {self.want()})" if self.within else f"{self.want()} = {self.equal}"
+        return f"(({self.keep}) AND CASE WHEN {self.want()} = '' THEN {self.unasked} ELSE {fits} END)"
+
+
+@dataclass(frozen=True)
+class PageFamily(LinkFamily):
+    """Files are listed on the index page itself. Rules see the link columns."""
+
     language_pair: str = field(kw_only=True, default=_NONE)
     category: str = field(kw_only=True, default=_NONE)
     description: str = field(kw_only=True, default="href")
 
 
 @dataclass(frozen=True)
-class DirectoryFamily(Family):
+class DirectoryFamily(LinkFamily):
     """The index page leads to category pages, which list the files.
 
     `keep` and `category` see the link columns; `is_file` and `description` see
     `href` of the category page and the settled `category`.
     """
 
-    keep: str = field(kw_only=True)
     category: str = field(kw_only=True)
     is_file: str = field(kw_only=True)
     description: str = field(kw_only=True, default="href")
@@ -138,6 +170,10 @@ class Families:
     def __iter__(self):
         return iter(self._by_prefix.values())
 
+    def only(self, *prefixes: str) -> "Families":
+        """These families alone, for selectors that ask no other."""
+        return Families([f for f in self if f.prefix in prefixes])
+
     def of_kind(self, kind: type) -> list[Family]:
         return [f for f in self if isinstance(f, kind)]
 
@@ -158,8 +194,8 @@ def standard_families() -> Families:
     europarl = PageFamily(
         known.EUROPARL, known.EUROPARL_VERSION, known.EUROPARL_INDEX, options=("language_pair",),
         # the pair is searched in the whole name: `en` asks for every English pair
-        keep=f"endswith(href, {literal(known.TRAIN_SUFFIX)}) AND contains(href, {literal(known.TRAIN_MARK)}) "
-             "AND (want_pair = '' OR contains(href, want_pair))",
+        keep=f"endswith(href, {literal(known.TRAIN_SUFFIX)}) AND contains(href, {literal(known.TRAIN_MARK)})",
+        within=True,
         language_pair=_TRAIN_PAIR,
         description=f"concat('Europarl ', version, ' ', {_TRAIN_PAIR}, ' corpus')",
     )
@@ -167,14 +203,14 @@ def standard_families() -> Families:
         known.NEWS_COMMENTARY, known.NEWS_COMMENTARY_VERSION, known.NEWS_COMMENTARY_INDEX,
         options=("language_pair",),
         # a prefix test: version v1 takes the files of v15 as well
-        keep=f"startswith(href, concat({literal(known.NEWS_STEM)}, version)) AND {_NEWS_PAIR} <> '' "
-             f"AND want_pair IN ('', {_NEWS_PAIR})",
+        keep=f"startswith(href, concat({literal(known.NEWS_STEM)}, version)) AND {_NEWS_PAIR} <> ''",
+        equal=_NEWS_PAIR,
         language_pair=_NEWS_PAIR,
         description=f"concat('News Commentary ', version, ' ', {_NEWS_PAIR}, ' corpus')",
     )
     wmt = DirectoryFamily(
         known.WMT, known.WMT_VERSION, known.WMT_INDEX, version_tag="", options=("category",),
-        keep=f"CASE WHEN want_category = '' THEN {_CATEGORY_WORD} ELSE contains(href, want_category) END",
+        keep="true", within=True, unasked=_CATEGORY_WORD,
         category=r"coalesce(nullif(want_category, ''), regexp_replace(href, '/+\\z', ''))",
         is_file=_any([f"endswith(href, {literal(s)})" for s in known.ARCHIVE_SUFFIXES]),
         description="concat('WMT', version, ' ', category, ' dataset - ', href)",
@@ -204,23 +240,59 @@ def anchors_at(source: AnchorSource, addresses: DataFrame, store: Keep, name: st
 
 
 def link_index(selectors: DataFrame, source: AnchorSource, families: Families,
-               store: Keep = lazy) -> DataFrame:
+               store: Keep = lazy, few_filters: int = FEW_FILTERS) -> DataFrame:
     """First hop: selectors with the links of their index page that a rule keeps.
 
-    All rules are tested in the one join. The steps that follow each read the result: give a
-    `store` that writes it, or it is worked out once per step.
+    All rules are tested in the one join. If some page is asked with more than `few_filters` different
+    wishes, selectors that name one are left out of that join, and their links are looked up; this is
+    measured if there is a `store` that writes tables. The steps that follow each read the result: give a
+    `store`, or it is worked out once per step.
     """
     steps = {"page": families.of_kind(PageFamily), "category": families.of_kind(DirectoryFamily)}
-    tables = families.of_kind(TableFamily)
-    kept = [_for_some(kinds, lambda f: f.keep) for kinds in steps.values() if kinds]
-    kept += [f"family = {literal(f.prefix)}" for f in tables]
+    picking, tables = families.of_kind(LinkFamily), families.of_kind(TableFamily)
     asked = selectors.withColumnRenamed("index_url", "page_url")
-    found = anchors_at(source, asked.where("page_url IS NOT NULL"), store, "index_addresses")
-    links = asked.join(found, "page_url").where("href <> ''")
-    links = links.where(_any(kept)) if kept else links.where("false")
+    found = anchors_at(source, asked.where("page_url IS NOT NULL"), store, "index_addresses").where("href <> ''")
+    picks = [_for_some(picking, LinkFamily.picks)] if picking else []
+    picks += [f"family = {literal(f.prefix)}" for f in tables]
+    rule = _any(picks) if picks else "false"
+    named = _for_some(picking, LinkFamily.filters) if picking else "false"
+    if store is not lazy and _most_filters(asked.where(named)) > few_filters:
+        links = asked.where(f"NOT {named}").join(found, "page_url").where(rule)
+        links = links.unionByName(_looked_up(asked.where(named), found, picking, store).select(*links.columns))
+    else:
+        links = asked.join(found, "page_url").where(rule)
     cases = [f"WHEN {literal(f.prefix)} THEN '{step}'" for step, kinds in steps.items() for f in kinds]
+    links = links.withColumnRenamed("page_url", "index_url")
+    if len(list(families)) == 1 and cases:
+        return links.withColumn("step", F.lit("page" if steps["page"] else "category"))
     step = f"CASE family {' '.join(cases)} ELSE 'table' END" if cases else "'table'"
-    return settle(links.withColumnRenamed("page_url", "index_url"), {"step": step})
+    return settle(links, {"step": step})
+
+
+def _most_filters(named: DataFrame) -> int:
+    return named.groupBy("page_url").count().agg(F.max("count")).first()[0] or 0
+
+
+def _looked_up(named: DataFrame, found: DataFrame, families: Sequence[LinkFamily], store: Keep) -> DataFrame:
+    """Links for selectors that name what they want: joins on equal columns only."""
+    page = ["family", "version", "page_url"]
+    families = [f for f in families if f.within or f.equal]
+    links = named.select(*page).distinct().join(found, "page_url").where(_for_some(families, lambda f: f.keep))
+    links = store(links, "page_links")
+    wanted = named.withColumn("_want", _one_of(families, LinkFamily.want))
+    parts = []
+    for f in families:
+        if f.equal:
+            own = F.col("family") == f.prefix
+            parts.append(links.where(own).withColumn("_want", F.expr(f.equal)).join(wanted.where(own), [*page, "_want"]))
+    within = [f.prefix for f in families if f.within]
+    if within:
+        own = F.col("family").isin(within)
+        parts.append(containing(links.where(own), wanted.where(own), page, "href", "_want", store))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def page_files(links: DataFrame, families: Families) -> DataFrame:

@@ -68,10 +68,11 @@ def answer(requests: DataFrame, source: AnchorSource, families: Families,
     """(requests with their selector, files per selector).
 
     The pair and category tests run once per distinct selector, whatever the number
-    of requests.
+    of requests. Of the steps only the links are stored: the requests and the files are cheap to work out from
+    what is stored, and most callers read them once; who reads them more often stores them.
     """
-    asked = store(with_selector(requests, families), "asked")
-    return asked, store(family_files(selectors_of(asked), source, families, store), "files")
+    asked = with_selector(requests, families)
+    return asked, family_files(selectors_of(asked), source, families, store)
 
 
 def match_files(asked: DataFrame, files: DataFrame) -> DataFrame:

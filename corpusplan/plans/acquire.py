@@ -17,7 +17,8 @@ from corpusplan.session import Store, shared_dir
 from corpusplan.sources.archives import archive_lines, unpack_errors
 from corpusplan.sources.inventory import file_system_root, qualified
 from corpusplan.sources.ledger import append_batch, ledger_entries, read_log
-from corpusplan.sources.streams import copy, info_of, locate
+from corpusplan.sources.objects import write_objects
+from corpusplan.sources.streams import info_of, locate
 
 # a task copies about this many bytes, and looks up about this many files
 _TASK_BYTES = 1 << 30
@@ -29,7 +30,6 @@ _KEPT = (
     "src_path string"
 )
 _LOOKED_UP = f"{_KEPT}, present boolean, problem string, length bigint, ts bigint"
-_COPIED = f"{_KEPT}, status string, error string, length bigint, ts bigint"
 
 
 @dataclass
@@ -42,6 +42,7 @@ class Run:
     missing: DataFrame
     outcomes: DataFrame
     attributed: DataFrame
+    counts: dict[str, int]  # files skipped, landed and failed, counted while they were
 
     def _held(self) -> DataFrame:
         held = self.outcomes.where(F.col("status").isin("landed", "skipped"))
@@ -90,35 +91,17 @@ def _look_up(source, target, force):
         return source, False, f"{type(problem).__name__}: {problem}", None, None
 
 
-def _copy(source, target, length):
-    """(status, error, length, ts) of one file; ts is the time the copy was complete."""
-    try:
-        copied = copy(source, target, length)
-        return "landed", None, copied, info_of(target)[1]
-    except Exception as problem:
-        return "failed", f"{type(problem).__name__}: {problem}", None, None
-
-
-def _settle_rows(batches, settle_row, inputs, outputs):
+def _look_up_rows(batches, force):
     for batch in batches:
         if batch.empty:
             continue
-        done = [settle_row(*row) for row in batch[inputs].itertuples(index=False)]
-        for name, values in zip(outputs, zip(*done)):
+        found = [_look_up(*row, force) for row in batch[["src_path", "output_path"]].itertuples(index=False)]
+        for name, values in zip(["src_path", "present", "problem", "length", "ts"], zip(*found)):
             batch[name] = values
         batch[["length", "ts"]] = batch[["length", "ts"]].astype("Int64")
         yield batch
 
 
-def _look_up_rows(batches, force):
-    return _settle_rows(batches, partial(_look_up, force=force), ["src_path", "output_path"],
-                        ["src_path", "present", "problem", "length", "ts"])
-
-
-def _copy_rows(batches):
-    return _settle_rows(batches, _copy, ["src_path", "output_path", "length"], ["status", "error", "length", "ts"])
-
-
 def with_scheme(plan: DataFrame, parent_dir: str) -> DataFrame:
     """Output paths that name no file system, on that of the (qualified) parent directory; a relative
     one is below the session's working directory there. A task would else take them for its own disk.
@@ -149,15 +132,13 @@ def require_file_systems(plan: DataFrame) -> None:
 
 
 def land(kept: DataFrame, mirror_dir: str, store: Store, force: bool = False,
-         tasks: int | None = None) -> DataFrame:
-    """Copy the planned objects of a mirror to their output paths.
+         tasks: int | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """Copy the planned objects of a mirror to their output paths; (outcomes, counts by status).
 
     The mirror is laid out as host/path. Tasks look up their own files on both sides,
-    so nothing is listed and nothing joined; the bytes go from file to file in
-    pieces, under a temporary name until they are whole. What is to be copied is
-    written down before the copying starts: a task repeated after a lost executor
-    copies again and does not take its own earlier work for files that were there
-    before. The outcomes are written once, so reading them never copies again.
+    so nothing is listed and nothing joined. What is to be copied is written down before the
+    copying starts: a task repeated after a lost executor copies again and does not take its
+    own earlier work for files that were there before. Copying is a write to `corpus_objects`.
     """
     spark = kept.sparkSession
     least = spark.sparkContext.defaultParallelism
@@ -167,12 +148,17 @@ def land(kept: DataFrame, mirror_dir: str, store: Store, force: bool = False,
     lookups = max(least, -(-store.measured["kept"]["files"] // _TASK_LOOKUPS))
     looked_up = settled(rows.repartition(tasks or lookups).mapInPandas(
         partial(_look_up_rows, force=force), _LOOKED_UP), force)
-    planned = F.coalesce(F.sum(F.when(F.col("status") == "landed", F.col("length"))), F.lit(0))
-    status = store(looked_up, "status", bytes=planned)
-    copies = max(least, -(-store.measured["status"]["bytes"] // _TASK_BYTES))
-    copied = status.where("status = 'landed'").repartition(tasks or copies).mapInPandas(_copy_rows, _COPIED)
-    outcomes = copied.unionByName(status.where("status <> 'landed'")).select(*_FILE, "status", "error", "length", "ts")
-    return store(outcomes, "outcomes")
+    wanted = F.col("status") == "landed"
+    status = store(looked_up, "status", bytes=F.coalesce(F.sum(F.when(wanted, F.col("length"))), F.lit(0)),
+                   skipped=F.count_if(F.col("status") == "skipped"), failed=F.count_if(F.col("status") == "failed"))
+    measured = store.measured["status"]
+    copies = tasks or max(least, -(-measured["bytes"] // _TASK_BYTES))
+    todo = status.where(wanted).select(*_FILE, "src_path", "length").repartition(copies)
+    copied, counted = write_objects(todo, qualified(spark, f"{store.folder}/copied"))
+    own = [*_FILE, "status", "error", "length", "ts"]
+    outcomes = copied.select(*own).unionByName(status.where(~wanted).select(*own))
+    return outcomes, {"skipped": measured["skipped"], "landed": counted["landed"],
+                      "failed": measured["failed"] + counted["failed"]}
 
 
 def acquire(requests: DataFrame, source: AnchorSource, mirror_dir: str, parent_dir: str,
@@ -190,12 +176,14 @@ def acquire(requests: DataFrame, source: AnchorSource, mirror_dir: str, parent_d
     parent_dir = qualified(spark, parent_dir)
     require_known(requests, families)
     asked, files = answer(requests, source, families, store)
+    asked, files = store(asked, "asked"), store(files, "files")
     lay_out = lay_out_single if single else lay_out_batch
     plan = store(with_scheme(lay_out(asked, files, parent_dir), parent_dir), "plan", files=F.count(F.lit(1)))
     if not store.measured["plan"]["files"]:
         raise ValueError("no files found for any request")
     require_file_systems(plan)
-    outcomes = land(first_per_path(plan), mirror_dir, store, force, tasks)
+    outcomes, counts = land(first_per_path(plan), mirror_dir, store, force, tasks)
     if ledger_dir:
         append_batch(ledger_entries(outcomes, read_log(spark, ledger_dir)), ledger_dir, store.folder.rsplit("/", 1)[-1])
-    return Run(store.folder, plan, collisions(plan), unanswered(asked, files), outcomes, attribute(plan, outcomes))
+    return Run(store.folder, plan, collisions(plan), unanswered(asked, files), outcomes, attribute(plan, outcomes),
+               counts)

@@ -16,6 +16,7 @@ _RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 
 
@@ -32,6 +33,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_source(spark: SparkSession, source: type) -> None:
+    """Make a data source of this package known to the session, once."""
+    known = getattr(spark, "_corpusplan_sources", set())
+    if source.name() not in known:
+        configure(spark)
+        spark.dataSource.register(source)
+        spark._corpusplan_sources = known | {source.name()}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder the cluster names.
 

@@ -1,24 +1,27 @@
 """Files in storage as tables.
 
-Spark's own file sources leave out empty files and names that start with `.` or `_`,
-and list on the driver; here tasks do the listing and nothing is left out.
+Spark's own file sources leave out empty files and names that start with `.` or `_`. The `corpus_files`
+source leaves nothing out: folders are its input partitions, and a pattern, or a filter on the path, keeps it
+from looking into folders that can hold no match.
 """
 
-import re
-from functools import partial
+from collections import deque
+from fnmatch import fnmatchcase
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
 
+from corpusplan.session import use_source
 from corpusplan.sources.streams import locate
 
 _FILE = "path string, modificationTime timestamp, length bigint, is_dir boolean"
-_STEP = f"{_FILE}, unlisted boolean"
-_COLUMNS = ["path", "modificationTime", "length", "is_dir", "unlisted"]
+_ARROW = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")),
+                    ("length", pa.int64()), ("is_dir", pa.bool_())])
 _ROWS = 8192
-# folders of the first levels are listed by tasks of their own: host, dataset, release and files
-_LEVELS = 4
+# the planner looks into so many folders at most to find others to deal out
+MOST_FOLDERS = 1024
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -48,70 +51,125 @@ def require_path(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(path)
 
 
-def _content(folder, recursive):
-    """Rows below a folder; a file in its place is a row of its own."""
-    system, name = locate(folder)
-    name = name.rstrip("/") or "/"
-    itself = system.get_file_info(name)
-    if itself.type == fs.FileType.File:
-        yield folder, itself.mtime, itself.size, False, False
-    elif itself.type == fs.FileType.Directory:
-        prefix, cut, todo = folder.rstrip("/"), len(name.rstrip("/")), [name]
-        while todo:  # folder by folder: no more than one folder's list is held
-            for info in system.get_file_info(fs.FileSelector(todo.pop())):
-                is_dir = info.type == fs.FileType.Directory
-                if is_dir and recursive:
-                    todo.append(info.path)
-                yield prefix + info.path[cut:], info.mtime, None if is_dir else info.size, is_dir, is_dir and not recursive
+class Folders(InputPartition):
+    """Folders for one task: (path, whether to go into the folders below)."""
 
+    def __init__(self, folders: list[tuple[str, bool]]):
+        super().__init__(folders)
 
-def _frame(rows):
-    frame = pd.DataFrame(rows, columns=_COLUMNS)
-    frame["modificationTime"] = pd.to_datetime(frame["modificationTime"], utc=True)
-    frame["length"] = frame["length"].astype("Int64")
-    return frame
 
+class Inventory(DataSource):
+    """`spark.read.format("corpus_files")`: path, modificationTime, length and is_dir of what a folder holds.
+
+    Options: `path` (with its scheme), `pattern` (folders and a name, each with `*`, `?` and `[...]`), `recursive`, and
+    `tasks`, the number of partitions to aim at.
+    """
 
-def _list_folders(batches, recursive, first):
-    """Add what is in the folders not listed yet; everything else passes."""
-    for batch in batches:
+    @classmethod
+    def name(cls):
+        return "corpus_files"
+
+    def schema(self):
+        return _FILE
+
+    def reader(self, schema):
+        return InventoryReader(self.options)
+
+
+class InventoryReader(DataSourceReader):
+    def __init__(self, options):
+        self.root = options["path"].rstrip("/")
+        self.recursive = options.get("recursive", "false").lower() == "true"
+        self.parts = options["pattern"].split("/") if "pattern" in options else None
+        self.tasks = max(1, int(options.get("tasks", "1")))
+        self.start, self.only = "", None
+
+    def pushFilters(self, filters):
+        """What is asked of the path is tested here, and spares the folders it rules out; the rest is Spark's."""
+        for f in filters:
+            if isinstance(f, StringStartsWith) and f.attribute == ("path",) and not self.start:
+                self.start = f.value
+            elif isinstance(f, EqualTo) and f.attribute == ("path",) and self.only is None:
+                self.only = f.value
+            else:
+                yield f
+
+    def _matches(self, names: list[str]) -> bool:
+        return all(fnmatchcase(name, part) for name, part in zip(names, self.parts))
+
+    def enters(self, path: str, names: list[str]) -> bool:
+        """Whether a folder, `names` below the root, may hold what is asked for."""
+        inside = path + "/"
+        if self.only is not None and not self.only.startswith(inside):
+            return False
+        if not (inside.startswith(self.start) or self.start.startswith(inside)):
+            return False
+        return self.recursive or self.parts is not None and len(names) < len(self.parts) and self._matches(names)
+
+    def wants(self, path: str, names: list[str], is_dir: bool) -> bool:
+        if not path.startswith(self.start) or self.only not in (None, path):
+            return False
+        if self.parts is None:
+            return not is_dir
+        if self.recursive:
+            return len(names) >= len(self.parts) and self._matches(names[-len(self.parts):])
+        return len(names) == len(self.parts) and self._matches(names)
+
+    def content(self, folder: str):
+        """(path, names below the root, entry) of what is in a folder that may be gone by now."""
+        system, name = locate(folder)
+        cut = len(name.rstrip("/")) + 1
+        for info in system.get_file_info(fs.FileSelector(name, allow_not_found=True)):
+            path = f"{folder}/{info.path[cut:]}"
+            yield path, path[len(self.root) + 1:].split("/"), info
+
+    def partitions(self):
+        """Folders dealt over tasks, from the root down until there are enough or nothing is left to look into.
+
+        The planner keeps names of folders only; what is in them is listed by the tasks.
+        """
+        system, name = locate(self.root)
+        if system.get_file_info(name.rstrip("/") or "/").type != fs.FileType.Directory:
+            return [Folders([(self.root, False)])]
+        looked, todo, enough = [], deque([self.root]), min(4 * self.tasks, MOST_FOLDERS)
+        while todo and len(todo) < enough and len(looked) < MOST_FOLDERS:
+            looked.append(todo.popleft())
+            todo.extend(path for path, names, info in self.content(looked[-1])
+                        if info.type == fs.FileType.Directory and self.enters(path, names))
+        dealt = [(f, False) for f in looked] + [(f, True) for f in todo]
+        tasks = min(self.tasks, len(dealt))
+        return [Folders(dealt[i::tasks]) for i in range(tasks)]
+
+    def read(self, partition):
         rows = []
-        for path, modified, length, is_dir, unlisted in batch[_COLUMNS].itertuples(index=False):
-            if not (unlisted and first):
-                rows.append((path, modified, length, is_dir, False))
-            for row in _content(path, recursive) if unlisted else ():
+        for folder, deeper in partition.value:
+            for row in self._rows(folder, deeper):
                 rows.append(row)
                 if len(rows) >= _ROWS:
-                    yield _frame(rows)
+                    yield _batch(rows)
                     rows = []
-        yield _frame(rows)
-
-
-def _walk(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
-    found = spark.createDataFrame([(qualified(spark, directory), None, None, True, True)], _STEP)
-    levels = _LEVELS if recursive else 1
-    for level in range(levels):
-        found = found.mapInPandas(partial(_list_folders, recursive=False, first=level == 0), _STEP)
-        if recursive:
-            found = found.repartition(spark.sparkContext.defaultParallelism)
-    if recursive:
-        found = found.mapInPandas(partial(_list_folders, recursive=True, first=False), _STEP)
-    return found.drop("unlisted")
-
-
-def _glob(pattern: str) -> str:
-    """A pattern as an expression in which `*` and `?` stay within a folder; `**/` is any folders."""
-    out, i = "", 0
-    while i < len(pattern):
-        end = pattern.find("]", i + 2) if pattern[i] == "[" else -1
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif end > 0:
-            inside = pattern[i + 1:end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
-            out, i = out + "[" + ("^" + inside[1:] if inside[0] == "!" else "\\" + inside if inside[0] == "^" else inside) + "]", end + 1
-        else:
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(pattern[i], re.escape(pattern[i])), i + 1
-    return out
+        yield _batch(rows)
+
+    def _rows(self, folder, deeper):
+        system, name = locate(folder)
+        itself = system.get_file_info(name.rstrip("/") or "/")
+        if itself.type == fs.FileType.File:  # a file in the root's place
+            if self.wants(folder, [folder.rsplit("/", 1)[-1]], False):
+                yield folder, itself.mtime, itself.size, False
+            return
+        todo = [folder] if itself.type == fs.FileType.Directory else []
+        while todo:  # folder by folder: no more than one folder's list is held
+            for path, names, info in self.content(todo.pop()):
+                is_dir = info.type == fs.FileType.Directory
+                if deeper and is_dir and self.enters(path, names):
+                    todo.append(path)
+                if self.wants(path, names, is_dir):
+                    yield path, info.mtime, None if is_dir else info.size, is_dir
+
+
+def _batch(rows):
+    columns = zip(*rows) if rows else [[]] * len(_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str | None = None,
@@ -120,26 +178,16 @@ def list_files(spark: SparkSession, directory: str, pattern: str | None = None,
 
     A folder that is not there gives no rows. Without a pattern only regular files
     are listed. A pattern tests names, folders' too; it may start with folders, themselves
-    patterns if need be, or with `**/` to look at every level.
+    patterns if need be. With `**/` before it, or `recursive`, it is looked for at every level. Filters on
+    `path` (equality, a common beginning) spare the folders they rule out.
     """
-    if pattern is None:
-        return _walk(spark, directory, recursive).where(~F.col("is_dir"))
-    if pattern.startswith("**/"):
+    use_source(spark, Inventory)
+    if pattern and pattern.startswith("**/"):
         recursive, pattern = True, pattern[3:]
-    folder, _, name = pattern.rpartition("/")
-    if any(c in folder for c in "*?["):
-        # whole paths below the directory are tested, a folder's pattern against each level
-        root = qualified(spark, directory).rstrip("/") + "/"
-        lead = "(?:.*/)?" if recursive else ""
-        below = F.substring("path", len(root) + 1, 1 << 30)
-        return _walk(spark, directory, True).where(below.rlike(rf"(?s)\A{lead}{_glob(pattern)}\z"))
-    if folder and recursive:
-        tail = F.concat(F.lit("/"), F.substring("path", len(qualified(spark, directory).rstrip("/")) + 2, 1 << 30))
-        return _walk(spark, directory, True).where(tail.rlike(rf"(?s)/{_glob(pattern)}\z"))
-    if folder:
-        directory = f"{directory.rstrip('/')}/{folder}"
-    own = F.substring_index("path", "/", -1)
-    return _walk(spark, directory, recursive).where(own.rlike(rf"(?s)\A{_glob(name)}\z"))
+    options = {"path": qualified(spark, directory), "recursive": str(recursive), "tasks": str(4 * spark.sparkContext.defaultParallelism)}
+    if pattern is not None:
+        options["pattern"] = pattern
+    return spark.read.format("corpus_files").options(**options).load()
 
 
 def existing_paths(spark: SparkSession, directory: str) -> DataFrame:

@@ -9,14 +9,15 @@ overwrites what it reads.
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from corpusplan.sources.inventory import path_exists
+from corpusplan.sources.requests import one_value
 
 LEDGER = "url string, path string, ts bigint"
 _JSON = "struct<downloads:map<string,struct<path:string,timestamp:bigint>>>"
 
 
 def parse_ledgers(texts: DataFrame, text: str = "value") -> DataFrame:
-    """Entries of ledgers written as JSON; a broken one counts as empty."""
-    parsed = F.from_json(F.col(text), _JSON)
+    """Entries of ledgers written as JSON; a broken one, or one with something behind it, counts as empty."""
+    parsed = F.when(one_value(F.col(text)), F.from_json(F.col(text), _JSON))
     kept = [c for c in texts.columns if c != text]
     return texts.select(*kept, F.explode(parsed["downloads"]).alias("url", "entry")).select(
         *kept, "url", F.col("entry.path").alias("path"), F.col("entry.timestamp").alias("ts"))

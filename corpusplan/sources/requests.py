@@ -1,6 +1,6 @@
 """Dataset requests from batch files."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusplan.functions.text import nonempty
 
@@ -16,6 +16,16 @@ def _last_of_each(entry):
         names, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
 
 
+def one_value(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing more, which Spark's own functions don't mind.
+
+    As the first of two members of an object it lets the second be found, whose name it cannot know.
+    """
+    mark = F.md5(text)
+    inside = F.concat(F.lit('{"v":'), text, F.lit(',"'), mark, F.lit('":0}'))
+    return F.coalesce(F.json_object_keys(inside) == F.array(F.lit("v"), mark), F.lit(False))
+
+
 def parse_batches(texts: DataFrame, text: str = "value") -> DataFrame:
     """Add `entries` (array of maps) and `problem` to rows holding one batch each.
 
@@ -23,8 +33,7 @@ def parse_batches(texts: DataFrame, text: str = "value") -> DataFrame:
     maps, so a key that is absent differs from one that is null or empty.
     """
     body = F.col(text)
-    # within brackets it is one value, or there is something behind it
-    whole = F.coalesce(F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1, F.lit(False))
+    whole = one_value(body)
     is_list = whole & F.json_array_length(body).isNotNull()
     is_object = whole & F.coalesce(F.array_contains(F.json_object_keys(body), "datasets"), F.lit(False))
     entries = F.when(is_list, F.from_json(body, f"array<{_ENTRY}>")).when(

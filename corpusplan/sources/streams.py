@@ -52,33 +52,65 @@ def open_read(path: str):
 
 
 @contextmanager
-def open_write(path: str):
-    """Write under a name of this attempt's own and take the real name at the end.
-
-    A lost executor, a failed copy or a second attempt leaves no half-written file
-    under the real name.
-    """
+def _attempt(path: str):
+    """(stream, attempt) to write under a name of this attempt's own beside the real one; nothing is left if that fails."""
     system, name = locate(path)
     folder, last = posixpath.split(name)
     system.create_dir(folder, recursive=True)
     attempt = f"{folder}/.{last}.{uuid.uuid4().hex}"
     try:
         with system.open_output_stream(attempt, compression=None) as stream:
-            yield stream
-        system.move(attempt, name)
+            yield stream, attempt
     except BaseException:
-        if system.get_file_info(attempt).type != fs.FileType.NotFound:
-            system.delete_file(attempt)
+        _remove(system, attempt)
         raise
 
 
-def copy(source: str, target: str, length: int | None = None) -> int:
-    """Copy in pieces; returns the number of bytes. Other than `length` bytes raise, and nothing is left."""
+def _remove(system, name: str) -> None:
+    if system.get_file_info(name).type != fs.FileType.NotFound:
+        system.delete_file(name)
+
+
+@contextmanager
+def open_write(path: str):
+    """Write a file that takes its real name when it is whole.
+
+    A lost executor, a failed write or a second attempt leaves no half-written file
+    under the real name.
+    """
+    with _attempt(path) as (stream, attempt):
+        yield stream
+    publish(attempt, path)
+
+
+def stage(source: str, target: str, length: int | None = None) -> tuple[str, int]:
+    """Copy in pieces to a name beside the target; returns that name (on the target's file system) and the
+    number of bytes. Other than `length` bytes raise, and nothing is left."""
     total = 0
-    with open_read(source) as src, open_write(target) as dst:
+    with _attempt(target) as (dst, attempt), open_read(source) as src:
         while data := src.read(_PIECE):
             dst.write(data)
             total += len(data)
         if length is not None and total != length:
             raise OSError(f"{total} of {length} bytes of {source}")
-    return total
+    return attempt, total
+
+
+def publish(attempt: str, target: str) -> None:
+    """Give a staged file its real name."""
+    system, name = locate(target)
+    try:
+        system.move(attempt, name)
+    except BaseException:
+        _remove(system, attempt)
+        raise
+
+
+def discard(attempt: str, target: str) -> None:
+    """Remove a staged file."""
+    _remove(locate(target)[0], attempt)
+
+
+def remove(path: str) -> None:
+    """Remove a file, if it is there."""
+    _remove(*locate(path))

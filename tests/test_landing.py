@@ -214,6 +214,14 @@ def test_broken_archives_are_rows(spark, tmp_path):
     assert sorted(r.archive.rsplit("/", 1)[1] for r in rows if r.error) == ["cut.tgz", "junk.tar.gz"]
 
 
+def test_pages_below_hidden_folders(spark, tmp_path):
+    for name in ("h/_a/index.html", "h/.b/index.html", "h/c/index.html", "h/_index.html"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "c" in name else b"\xff" + name.encode())
+    assert values(read_saved_pages(spark, str(tmp_path)), "url", "html") == sorted([
+        ("http://h/_a/", "\ufffdh/_a/index.html"), ("http://h/.b/", "\ufffdh/.b/index.html"), ("http://h/c/", "")], key=repr)
+
+
 def test_pages_at_odd_addresses(spark, tmp_path):
     for name in ("host/a+b/index.html", "host/c d/dev.html"):
         (tmp_path / name).parent.mkdir(parents=True)
@@ -239,9 +247,11 @@ def test_paths_name_a_file_system(spark, mirror, tmp_path):
 
 def test_short_copy_fails(tmp_path):
     (tmp_path / "a").write_bytes(b"12345")
-    assert streams.copy(str(tmp_path / "a"), str(tmp_path / "b"), 5) == 5
+    attempt, size = streams.stage(str(tmp_path / "a"), str(tmp_path / "b"), 5)
+    streams.publish(attempt, str(tmp_path / "b"))
+    assert size == 5 and (tmp_path / "b").read_bytes() == b"12345"
     with pytest.raises(OSError, match="5 of 6"):
-        streams.copy(str(tmp_path / "a"), str(tmp_path / "c"), 6)
+        streams.stage(str(tmp_path / "a"), str(tmp_path / "c"), 6)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
 
 
@@ -274,7 +284,8 @@ def test_json_ledger(spark, tmp_path):
     assert ledger.read_json_ledger(spark, str(path)).count() == 0
     path.write_text(json.dumps({"downloads": {"u": {"path": "p", "timestamp": 5}}, "datasets": {}}))
     assert [tuple(r) for r in ledger.read_json_ledger(spark, str(path)).collect()] == [("u", "p", 5)]
-    for broken in ('{"downloads": {"u"', "", "[]", "{}"):
+    whole = path.read_text()
+    for broken in ('{"downloads": {"u"', "", "[]", "{}", whole + " junk", whole + "} {", whole + ', "v": 1'):
         path.write_text(broken)
         assert ledger.read_json_ledger(spark, str(path)).count() == 0
 

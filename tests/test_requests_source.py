@@ -37,6 +37,9 @@ def test_missing_target_dir(spark, tmp_path):
     ('{"datasets": [', "not a JSON array"), ("[]", "no datasets"), ('{"datasets": []}', "no datasets"),
     ('{"datasets": null}', "no datasets"), ("[3]", "not an object"), ('{"datasets": ["x"]}', "not an object"),
     ('[{"dataset_id": "wmt"}] junk', "not a JSON array"), ('{"datasets": [{"dataset_id": "wmt"}]} {}', "not a JSON array"), ('[{"category": "x"}]', "no dataset_id"), ("", "batch|JSON"),
+    ('[{"dataset_id": "wmt"}]] junk', "not a JSON array"), ('{"datasets": [{"dataset_id": "wmt"}]}] junk', "not a JSON array"),
+    ('[{"dataset_id": "wmt"}]} junk', "not a JSON array"), ('[{"dataset_id": "wmt"}],"v":1', "not a JSON array"),
+    ('[{"dataset_id": "wmt"}],', "not a JSON array"), ('[{"dataset_id": "wmt"}]}, {"v": 1', "not a JSON array"),
 ])
 def test_malformed(spark, tmp_path, body, problem):
     with pytest.raises(ValueError, match=problem):

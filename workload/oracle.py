@@ -294,5 +294,20 @@ ORACLE = {
         CAST(0 AS BIGINT) AS number, md5(text) AS md5 FROM documents""",
     "landing_runs": f"""SELECT unnest([1, 2]) AS run, 'boxes-' || box AS dataset_id,
         unnest(['landed', 'skipped']) AS status FROM (SELECT DISTINCT {inputs.BOX} AS box FROM documents)""",
+    "file_inventory": f"""WITH boxes AS (SELECT {inputs.BOX} AS box, count(*) AS n FROM documents GROUP BY 1),
+        files AS (SELECT 'box=' || box || '/' || name AS name, CAST(n * times AS BIGINT) AS length
+            FROM boxes, (VALUES ('plain.txt', 1), ('_log/.hidden', 2), ('.tmp/empty', 0), ('a/b/c/_deep.gz', 3)) k(name, times))
+        SELECT 'all' AS asked, *, FALSE AS is_dir FROM files
+        UNION ALL SELECT 'level', 'box=' || box, NULL, TRUE FROM boxes
+        UNION ALL SELECT 'hidden', *, FALSE FROM files WHERE suffix(name, '/_log/.hidden')
+        UNION ALL SELECT 'anywhere', *, FALSE FROM files WHERE suffix(name, '.gz')
+        UNION ALL SELECT 'below', *, FALSE FROM files WHERE prefix(name, 'box=1')""",
+    "saved_pages": """SELECT 'http://pages.example/p' || page_id || '/' ||
+            CASE page_id % 4 WHEN 0 THEN '_a/' WHEN 1 THEN '.b/' WHEN 2 THEN 'c d+e%20/' ELSE '' END AS url,
+        coalesce(html, '') AS html FROM pages""",
+    "landed_counts": f"""WITH n AS (SELECT count(DISTINCT {inputs.BOX}) AS n FROM documents)
+        SELECT run, status, counted, counted AS files FROM (
+            SELECT r AS run, s AS status, CASE WHEN (r, s) IN ((1, 'landed'), (2, 'skipped')) THEN n ELSE 0 END AS counted
+            FROM n, (SELECT unnest([1, 2])) a(r), (SELECT unnest(['skipped', 'landed', 'failed'])) b(s))""",
     "landed_ledger": f"SELECT DISTINCT {inputs.BOX} AS box, TRUE AS same FROM documents",
 }

@@ -38,15 +38,19 @@ def registry_pairs(spark, sf_dir):
         F.size("language_pairs").alias("pairs"))
 
 
-def _unfiltered(spark, sf_dir):
+def _unfiltered(spark, sf_dir, families=STANDARD):
+    """One question without filters to each dataset of the families."""
     asked = req.with_selector(inputs.datasets(spark, sf_dir), STANDARD)
-    return req.selectors_of(asked)
+    return req.selectors_of(asked.where(F.col("family").isin([f.prefix for f in families])))
+
+
+def _links(spark, sf_dir, families):
+    return fam.link_index(_unfiltered(spark, sf_dir, families), inputs.index_anchors(spark, sf_dir), families)
 
 
 def _page_files(spark, sf_dir, family):
-    selectors = _unfiltered(spark, sf_dir).where(F.col("family") == family)
-    links = fam.link_index(selectors, inputs.index_anchors(spark, sf_dir), STANDARD)
-    return fam.page_files(links, STANDARD).select("family", "version", *fam.FILE)
+    families = STANDARD.only(family)
+    return fam.page_files(_links(spark, sf_dir, families), families).select("family", "version", *fam.FILE)
 
 
 def europarl_files(spark, sf_dir):
@@ -57,16 +61,18 @@ def news_files(spark, sf_dir):
     return _page_files(spark, sf_dir, known.NEWS_COMMENTARY)
 
 
+def _wmt_categories(spark, sf_dir, families):
+    return fam.category_pages(_links(spark, sf_dir, families), families)
+
+
 def wmt_categories(spark, sf_dir):
-    selectors = _unfiltered(spark, sf_dir)
-    links = fam.link_index(selectors, inputs.index_anchors(spark, sf_dir), STANDARD)
-    return fam.category_pages(links, STANDARD).select("version", "category", "page_url", "pos")
+    return _wmt_categories(spark, sf_dir, STANDARD.only(known.WMT)).select("version", "category", "page_url", "pos")
 
 
 def wmt_files(spark, sf_dir):
-    found = fam.link_index(_unfiltered(spark, sf_dir), inputs.index_anchors(spark, sf_dir), STANDARD)
-    categories = fam.category_pages(found, STANDARD)
-    return fam.category_files(categories, inputs.category_anchors(spark, sf_dir), STANDARD).select(
+    families = STANDARD.only(known.WMT)
+    categories = _wmt_categories(spark, sf_dir, families)
+    return fam.category_files(categories, inputs.category_anchors(spark, sf_dir), families).select(
         "family", "version", "url", "filename", "category", "description", "pos")
 
 
@@ -433,6 +439,72 @@ def catalogue_listing(spark, sf_dir):
         "req_id", "id", "description", "language_pairs", "categories")
 
 
+def _written(batches):
+    """Write files (path, data) as tasks of their own would."""
+    for batch in batches:
+        for path, data in batch[["path", "data"]].itertuples(index=False):
+            with streams.open_write(path) as stream:
+                stream.write(data)
+        yield batch[["path"]]
+
+
+def _write_files(files):
+    """files(path, data) with qualified paths, by tasks."""
+    files.mapInPandas(_written, "path string").write.format("noop").mode("overwrite").save()
+
+
+# the files of each box: name and bytes for each of its documents
+INVENTORY = {"plain.txt": 1, "_log/.hidden": 2, ".tmp/empty": 0, "a/b/c/_deep.gz": 3}
+
+
+def file_inventory(spark, sf_dir):
+    """What is found of hidden, empty and nested files, by level, by pattern and below a filtered path."""
+    folder = inventory.qualified(spark, corpusplan.shared_dir(spark, "inventory"))
+    boxes = inputs.table(spark, sf_dir, "documents").selectExpr(f"{inputs.BOX} AS box").groupBy("box").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.explode(F.create_map(*[F.lit(x) for pair in INVENTORY.items() for x in pair])).alias("name", "times")
+    rows = boxes.select("box", "n", kinds).repartition(spark.sparkContext.defaultParallelism, "box", "name")
+    _write_files(rows.select(
+        F.concat(F.lit(f"{folder}/box="), "box", F.lit("/"), "name").alias("path"),
+        F.repeat(F.lit("x"), (F.col("n") * F.col("times")).cast("int")).cast("binary").alias("data")))
+    everything = partial(inventory.list_files, spark, folder)
+    asked = {
+        "all": everything(recursive=True),
+        "level": everything(pattern="*"),
+        "hidden": everything(pattern="box=*/_*/.hid*"),
+        "anywhere": everything(pattern="**/c/*.gz"),
+        "below": everything(recursive=True).where(F.startswith("path", F.lit(f"{folder}/box=1"))),
+    }
+    out = None
+    for name, files in asked.items():
+        part = files.select(F.lit(name).alias("asked"), F.substring("path", len(folder) + 2, 1 << 30).alias("name"), "length", "is_dir")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SAVED = "'/p' || page_id || '/' || CASE page_id % 4 WHEN 0 THEN '_a/' WHEN 1 THEN '.b/' WHEN 2 THEN 'c d+e%20/' ELSE '' END"
+
+
+def saved_pages(spark, sf_dir):
+    """The test pages saved as files, below folders of all kinds of names, and read again."""
+    folder = inventory.qualified(spark, corpusplan.shared_dir(spark, "saved"))
+    saved = inputs.table(spark, sf_dir, "pages").selectExpr(f"'{folder}/pages.example' || {SAVED} || 'index.html' AS path",
+                                                            "CAST(coalesce(html, '') AS BINARY) AS data")
+    _write_files(saved)
+    return pages.read_saved_pages(spark, folder)
+
+
+def landed_counts(spark, sf_dir):
+    """Counts by status of two runs, as taken while files were copied and as counted from the outcomes."""
+    _, _, twice = _acquire_boxes(spark, sf_dir)
+    counted = spark.createDataFrame(
+        [(n, s, c) for n, run in enumerate(twice, 1) for s, c in run.counts.items()], "run int, status string, counted long")
+    read = None
+    for n, run in enumerate(twice, 1):
+        part = run.outcomes.groupBy("status").agg(F.count(F.lit(1)).alias("files")).select(F.lit(n).alias("run"), "status", "files")
+        read = part if read is None else read.unionByName(part)
+    return counted.join(read, ["run", "status"], "left").select("run", "status", "counted", F.coalesce("files", F.lit(0)).alias("files"))
+
+
 ALL = {
     f.__name__: f for f in (
         page_anchors, resolve_ids, registry_pairs, europarl_files, news_files, wmt_categories, wmt_files,
@@ -441,6 +513,7 @@ ALL = {
         paths_by_dataset, archive_kind, ledger_latest, ledger_size, ledger_recent, ledger_json, text_checksums,
         rule_extension, batch_requests, gzip_lines, tar_lines, tar_checksums, landing_runs, landed_lines,
         landed_ledger, unpacked_lines, ledger_snapshot, landing_mixed, catalogue_listing,
+        file_inventory, saved_pages, landed_counts,
     )
 } | {
     "fetch_outcomes_forced": partial(fetch_outcomes, force=True),
