@@ -3,6 +3,7 @@
 import sys
 import types
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -15,11 +16,30 @@ from corpusplan.session import Store, shared_dir
 BATCH_ROWS = "1000"
 
 
+_watched: list[list[Store]] = []
+
+
 def store_of(spark: SparkSession, name: str) -> Store:
     """A fresh folder under the shared folder, for the tables between steps."""
     corpusplan.configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return Store(shared_dir(spark, name))
+    store = Store(shared_dir(spark, name))
+    for made in _watched:
+        made.append(store)
+    return store
+
+
+@contextmanager
+def steps_removed(spark: SparkSession):
+    """Remove at the end the folders of operators used inside: what they returned must be written by then."""
+    made: list[Store] = []
+    _watched.append(made)
+    try:
+        yield
+    finally:
+        _watched.pop()
+        for store in made:
+            store.close(spark)
 
 
 def with_columns(df: DataFrame, added: str, work: Callable[[], Callable]) -> DataFrame:

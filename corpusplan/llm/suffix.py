@@ -28,7 +28,7 @@ from corpusplan.llm.common import free_names, store_of, texts_of, with_columns
 LENGTH = 100
 GRAM = 32  # a power of two, below LENGTH
 FILTER_BITS = 16  # per repeated gram
-FILTER_WORDS = 1 << 23  # 64 MB at most: past that the filter lets more through, and results stay the same
+FILTER_WORDS = 1 << 23  # 64 MB at most: more grams are taken in classes, each with a filter and a pass of its own
 BLOCK_WINDOWS = 100_000
 _CHUNK = 1 << 16
 _LOWEST = np.iinfo(np.int64).min
@@ -106,6 +106,38 @@ class Filter:
         return self.words[word] & bits == bits
 
 
+class Pass:
+    """What one pass over the texts looks for: the keys of one class, as a broadcast filter."""
+
+    def __init__(self, filled, number: int, of: int):
+        self.filled, self.number, self.of = filled, number, of
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key (unsigned) is of this class and in its filter."""
+        words = self.filled.value
+        found = Filter(words).holds(keys)
+        if self.of > 1:
+            found &= (keys >> np.uint64(24)) // np.uint64(len(words)) % np.uint64(self.of) == self.number
+        return found
+
+
+def passes(keys: DataFrame, count: int) -> list[Pass]:
+    """The keys in column k, `count` of them, in as many classes as it takes to give each key FILTER_BITS."""
+    of = max(1, -(-count * FILTER_BITS // (64 * FILTER_WORDS)))
+    if of == 1:
+        return [Pass(_filled(keys, count), 0, 1)]
+    number = F.pmod(F.expr(f"shiftrightunsigned(k, 24) div {FILTER_WORDS}"), F.lit(of))
+    return [Pass(_filled(keys.where(number == n), 64 * FILTER_WORDS), n, of) for n in range(of)]
+
+
+def in_passes(keys: DataFrame, count: int, one) -> DataFrame:
+    """The rows `one(pass)` finds, over all passes."""
+    out = None
+    for p in passes(keys, count):
+        out = one(p) if out is None else out.unionByName(one(p))
+    return out
+
+
 def _filled(keys: DataFrame, count: int):
     """The filter words of the keys in column k, broadcast; the words are filled by tasks, each its own stretch of them."""
     size = min(FILTER_WORDS, max(64, -(-count * FILTER_BITS // 64)))
@@ -197,21 +229,21 @@ def _grams(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return _rows(docs, work, "k long")
 
 
-def _runs(docs: DataFrame, known, length: int, gram: int) -> DataFrame:
-    """The runs whose gram the filter holds, with two halves of a hash of their bytes."""
+def _runs(docs: DataFrame, known: Pass, length: int, gram: int) -> DataFrame:
+    """The runs whose gram the pass holds, with two halves of a hash of their bytes."""
     def work(ids, marks, texts):
         for doc, start, count, keys in anchors(texts, length, gram):
-            hit = Filter(known.value).holds(keys)
+            hit = known.holds(keys)
             doc, start, count = doc[hit], start[hit], count[hit]
             hashes = _halves([texts[d][s:s + n + length - 1] for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist())])
             yield [keys[hit].view(np.int64), hashes[:, 0], hashes[:, 1], ids[doc], marks[doc], start, count]
     return _rows(docs, work, "k long, c1 long, c2 long, doc_id long, t long, start long, n long")
 
 
-def _contexts(docs: DataFrame, known, length: int, gram: int) -> DataFrame:
+def _contexts(docs: DataFrame, known: Pass, length: int, gram: int) -> DataFrame:
     def work(ids, marks, texts):
         for doc, start, count, keys in anchors(texts, length, gram):
-            hit = Filter(known.value).holds(keys)
+            hit = known.holds(keys)
             doc, start, count = doc[hit], start[hit], count[hit]
             yield [keys[hit].view(np.int64), ids[doc], marks[doc], start,
                    [texts[d][s:s + n + length - 1] for d, s, n in zip(doc.tolist(), start.tolist(), count.tolist())]]
@@ -286,8 +318,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"), _mark(text))
     many = store(_grams(rows, length, gram).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"),
                  "grams", n=F.count(F.lit(1)))
-    known = _filled(many, store.measured["grams"]["n"])
-    found = store(_runs(rows, known, length, gram), "runs")
+    found = store(in_passes(many, store.measured["grams"]["n"], lambda p: _runs(rows, p, length, gram)), "runs")
     same = ["k", "c1", "c2"]
     groups = store(found.groupBy(*same).agg(F.min(F.struct("doc_id", "t", "start")).alias("first"), F.max("n").alias("n"),
                                             F.count(F.lit(1)).alias("copies")), "groups")
@@ -298,8 +329,8 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length:
     mixed = store(groups.groupBy("k").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("k"),
                   "mixed", n=F.count(F.lit(1)))
     unlike = store(groups.join(mixed, "k").select("k", "first.doc_id", "first.t", "first.start"), "unlike")
-    known = _filled(mixed, store.measured["mixed"]["n"])
-    unlike = store(_contexts(rows, known, length, gram).join(unlike, ["k", *place]).distinct(), "contexts")
+    contexts = in_passes(mixed, store.measured["mixed"]["n"], lambda p: _contexts(rows, p, length, gram))
+    unlike = store(contexts.join(unlike, ["k", *place]).distinct(), "contexts")
     blocks = store(_block_windows(unlike, length, block_windows), "blocks")
     open_windows = blocks.where("c1 is not null")
     firsts = store(open_windows.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "t", "start")).alias("first"),

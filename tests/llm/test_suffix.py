@@ -111,3 +111,18 @@ def test_filter_has_no_false_negatives():
     assert suffix.Filter(words).holds(keys).all()
     others = np.random.default_rng(1).integers(0, 1 << 63, 2000, dtype=np.uint64)
     assert suffix.Filter(words).holds(others).mean() < 0.2
+
+
+def test_classes_of_grams_change_nothing(spark, monkeypatch):
+    rows = texts(random.Random(7))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = docs.selectExpr("xxhash64(doc_id) AS k")
+    assert len(suffix.passes(keys, len(rows))) == 1
+    monkeypatch.setattr(suffix, "FILTER_WORDS", 64)
+    held = np.array([r.k for r in keys.collect()], np.int64).view(np.uint64)
+    found = [p.holds(held) for p in suffix.passes(keys, 700)]
+    assert len(found) == 3 and (np.sum(found, axis=0) == 1).all() and all(f.any() for f in found)
+    want = brute(rows, 20)
+    got = {r.doc_id: tuple(r[c] for c in ("kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+           for r in suffix.remove_repeats(docs, length=20, gram=8, block_windows=50).collect()}
+    assert {d: (bytes(k), *rest) for d, (k, *rest) in got.items()} == want
