@@ -10,7 +10,7 @@ from corpusplan.operators.families import (
     SELECTOR, AnchorSource, Families, Keep, family_files, lazy, literal,
 )
 
-def _per_family(families, rule) -> str:
+def per_family(families, rule) -> str:
     """CASE over the first prefix the id starts with."""
     cases = " ".join(f"WHEN startswith(dataset_id, {literal(f.prefix)}) THEN {rule(f)}" for f in families)
     return f"CASE {cases} END"
@@ -20,7 +20,7 @@ _VERSION = r"""CASE WHEN _facts.fixed_version THEN _facts.default_version ELSE c
     _facts.version_tag || nullif(regexp_extract(dataset_id, '([0-9]+)\\z', 1), ''), _facts.default_version) END"""
 
 # over the columns dataset_id and _facts
-_RESOLUTION = {
+RESOLUTION = {
     "family": "_facts.family",
     "version": _VERSION,
     "index_url": f"_facts.head || {_VERSION} || _facts.tail",
@@ -28,34 +28,39 @@ _RESOLUTION = {
 
 
 def _with_facts(requests: DataFrame, families: Families) -> DataFrame:
-    return requests.withColumn("_facts", F.expr(_per_family(families, lambda f: f.facts())))
+    return requests.withColumn("_facts", F.expr(per_family(families, lambda f: f.facts())))
 
 
 def resolve(requests: DataFrame, families: Families) -> DataFrame:
     """Add family, version and index_url; all NULL where no family matches."""
-    return settle(_with_facts(requests, families), _RESOLUTION).drop("_facts")
+    return settle(_with_facts(requests, families), RESOLUTION).drop("_facts")
 
 
-def with_selector(requests: DataFrame, families: Families) -> DataFrame:
-    """Add family, version, index_url and the question each request asks of its
-    family, as plain join keys.
-
-    Fields a family does not look at are blanked, so that however many requests
-    ask the same thing, its files are worked out once.
-    """
+def asked_options(families: Families, has_extra: bool = True) -> dict[str, str]:
+    """What a request asks of its family, over its columns and _facts."""
     optional = [f for f in families if f.extra_options()]
     extra = "''"
-    if optional and "extra" in requests.columns:
-        asked = _per_family(optional, lambda f: "to_json(named_struct({}))".format(
+    if optional and has_extra:
+        asked = per_family(optional, lambda f: "to_json(named_struct({}))".format(
             ", ".join(f"{literal(o)}, extra[{literal(o)}]" for o in f.extra_options())))
         names = ", ".join(literal(f.prefix) for f in optional)
         extra = f"CASE WHEN _facts.family IN ({names}) THEN {asked} ELSE '' END"
-    wanted = {
+    return {
         "want_pair": "CASE WHEN _facts.uses_pair THEN coalesce(language_pair, '') ELSE '' END",
         "want_category": "CASE WHEN _facts.uses_category THEN coalesce(category, '') ELSE '' END",
         "want_extra": extra,
     }
-    return settle(_with_facts(requests, families), _RESOLUTION | wanted).drop("_facts")
+
+
+def with_selector(requests: DataFrame, families: Families) -> DataFrame:
+    """Add family, version, index_url and the question each request asks of its
+    family, as plain join keys.
+
+    Fields a family does not look at are blanked, so that however many requests
+    ask the same thing, its files are worked out once.
+    """
+    wanted = asked_options(families, "extra" in requests.columns)
+    return settle(_with_facts(requests, families), RESOLUTION | wanted).drop("_facts")
 
 
 def selectors_of(requests: DataFrame) -> DataFrame:

@@ -78,3 +78,8 @@ class Store:
         if measures:
             self.measured[name] = observation.get
         return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def close(self, spark: SparkSession) -> None:
+        """Remove what was written; tables read from here are gone with it."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -259,6 +259,10 @@ ORACLE = {
             suffix AS category, pos
         FROM listed_requests JOIN index_anchors ON page_url = index_url
         WHERE href <> '' AND ends_with(href, suffix)"""),
+    "rule_extension_sql": _with("""SELECT req_id, 'listing' AS family, version, index_url || href AS url,
+            suffix AS category, pos
+        FROM listed_requests JOIN index_anchors ON page_url = index_url
+        WHERE href <> '' AND ends_with(href, suffix)"""),
     "batch_requests": f"""WITH seeds AS ({STEPS['seeds']}), good AS (SELECT * FROM seeds WHERE m NOT IN (1, 2, 3, 4))
         SELECT doc_id, 0 AS req_id, 'wmt' || v AS dataset_id, lang AS language_pair, CAST(NULL AS VARCHAR) AS category,
             CAST(NULL AS VARCHAR) AS target_dir, FALSE AS has_target_dir, '{{"quality":"' || k || '"}}' AS extra,

@@ -12,6 +12,7 @@ from corpusplan import known
 from corpusplan.functions import archive, text
 from corpusplan.operators import anchors as anchor_ops, checksums, collisions, families as fam
 from corpusplan.operators import landing, reports, requests as req
+from corpusplan.operators.sql import register_functions
 from corpusplan.plans import acquire as runs
 from corpusplan.sources import archives, catalogue, inventory, ledger, pages, requests as request_source, streams
 from workload import inputs
@@ -231,14 +232,17 @@ def text_checksums(spark, sf_dir):
     return checksums.text_checksums(documents, "text").drop("text")
 
 
-def rule_extension(spark, sf_dir):
-    """A family of one's own that takes a request option of its own."""
-    listed = fam.PageFamily(
+def _listing():
+    return corpusplan.standard_families().register(fam.PageFamily(
         "listing", "0", "http://statmt.org/wmt{version}/", version_tag="", options=("suffix",),
         keep="endswith(href, get_json_object(want_extra, '$.suffix'))",
         category="get_json_object(want_extra, '$.suffix')",
-    )
-    own = corpusplan.standard_families().register(listed)
+    ))
+
+
+def rule_extension(spark, sf_dir):
+    """A family of one's own that takes a request option of its own."""
+    own = _listing()
     asked = inputs.seeds(spark, sf_dir).select(
         F.col("doc_id").alias("req_id"), F.concat(F.lit("listing-"), "v").alias("dataset_id"),
         *[F.lit(None).cast("string").alias(c) for c in ("language_pair", "category", "target_dir")],
@@ -249,6 +253,22 @@ def rule_extension(spark, sf_dir):
     return matched.select("req_id", "family", "version", "url", "category", "pos")
 
 
+def rule_extension_sql(spark, sf_dir):
+    """The same family, asked in SQL text through the session's functions."""
+    register_functions(spark, _listing())
+    inputs.seeds(spark, sf_dir).selectExpr("doc_id", "v", "m").createOrReplaceTempView("corpus_seeds")
+    inputs.index_anchors(spark, sf_dir).createOrReplaceTempView("corpus_anchors")
+    return spark.sql("""
+        WITH asked AS (
+            SELECT doc_id AS req_id, 'listing-' || v AS dataset_id, map('suffix', CASE WHEN m < 4 THEN '.html' ELSE '/' END) AS extra
+            FROM corpus_seeds),
+        resolved AS (SELECT req_id, corpus_resolve(dataset_id) AS to, corpus_asks(dataset_id, NULL, NULL, extra) AS wants FROM asked)
+        SELECT req_id, to.family, to.version, corpus_file_url(a.page_url, a.href) AS url,
+               corpus_category(to.family, to.version, a.href, wants.want_pair, wants.want_category, wants.want_extra) AS category, a.pos
+        FROM resolved JOIN corpus_anchors a ON a.page_url = to.index_url
+        WHERE a.href <> '' AND corpus_picks(to.family, to.version, a.href, wants.want_pair, wants.want_category, wants.want_extra)""")
+
+
 def batch_requests(spark, sf_dir):
     """One batch text per document: a list, an object, or one of the malformed kinds."""
     entry = F.struct(
@@ -513,7 +533,7 @@ ALL = {
         paths_by_dataset, archive_kind, ledger_latest, ledger_size, ledger_recent, ledger_json, text_checksums,
         rule_extension, batch_requests, gzip_lines, tar_lines, tar_checksums, landing_runs, landed_lines,
         landed_ledger, unpacked_lines, ledger_snapshot, landing_mixed, catalogue_listing,
-        file_inventory, saved_pages, landed_counts,
+        file_inventory, saved_pages, landed_counts, rule_extension_sql,
     )
 } | {
     "fetch_outcomes_forced": partial(fetch_outcomes, force=True),
