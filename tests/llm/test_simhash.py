@@ -3,7 +3,10 @@ from collections import defaultdict
 
 import xxhash
 
+from pyspark.sql import functions as F
+
 from corpusplan.llm import simhash
+from corpusplan.session import Store, shared_dir
 
 
 def brute(rows):
@@ -74,3 +77,32 @@ def test_links_of_every_split_of_the_distance(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0
+
+
+def test_values_that_many_share_are_divided(spark):
+    rng = random.Random(8)
+    values = set()
+    for half in (0, 1):  # one half is the same in all, the other is random, and some are neighbours
+        for _ in range(400):
+            v = rng.getrandbits(32) << 32 * half
+            values.add(v)
+            if rng.random() < .2:
+                for b in rng.sample(range(64), rng.randrange(1, 4)):
+                    v ^= 1 << b
+                values.add(v)
+    signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
+    for segments in (2, 4):
+        store = Store(shared_dir(spark, "hot"))
+        found = simhash.links(df, 3, segments, store, hot=20)
+        assert store.measured["hot"]["n"] >= 2
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()} == want != set()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") >= 1
+    # what a join of whole values would compare, and what is compared
+    pairs = df.crossJoin(df.withColumnRenamed("fp", "b")).where("fp < b AND shiftrightunsigned(fp, 32) = shiftrightunsigned(b, 32)").count()
+    probes = simhash.segments_of(df, 2, 3).where("seg = 1")
+    at = probes.select("fp", "key", F.explode("pieces").alias("at")).select("fp", "key", "at.*")
+    divided = at.groupBy("key", "piece", "value").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    assert divided < pairs / 10
