@@ -71,17 +71,20 @@ def fit_bags(rows: list[tuple[int, list[list[int]]]], n_features: int):
 
     rows: (label, feature numbers of each sentence that has any). Adam on all rows.
     """
-    y = np.array([r[0] for r in rows], float)
     bags = [(d, s) for d, (_, sents) in enumerate(rows) for s in sents]
-    doc = np.array([b[0] for b in bags], np.int64)
-    sizes = np.array([len(b[1]) for b in bags], np.int64)
-    flat = np.array([f for b in bags for f in b[1]], np.int64)
-    of = np.repeat(np.arange(len(bags)), sizes)
+    return _fit(np.array([r[0] for r in rows], float), np.array([b[0] for b in bags], np.int64),
+                np.array([len(b[1]) for b in bags], np.int64), np.array([f for b in bags for f in b[1]], np.int64), n_features)
+
+
+def _fit(y: np.ndarray, doc: np.ndarray, sizes: np.ndarray, flat: np.ndarray, n_features: int):
+    """y: labels; of each sentence its document and number of features; all their features, one after another."""
+    bags = len(doc)
+    of = np.repeat(np.arange(bags), sizes)
     x = np.zeros(n_features + 2)
     x[-2], x[-1] = -2.0, math.log(0.02)  # bias; log of the leak
     m, v = np.zeros_like(x), np.zeros_like(x)
     for t in range(1, ROUNDS + 1):
-        z = x[-2] + np.bincount(of, x[flat], len(bags))
+        z = x[-2] + np.bincount(of, x[flat], bags)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         leak = min(0.2, math.exp(x[-1]))
         log_clean = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + math.log1p(-leak)
@@ -131,16 +134,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
 
     def bags(batches):
         for batch in batches:
-            packed = []
+            sizes, flat = [], []
             for t in batch.column("text").to_pylist():
-                found = ([number[f] for f in features(t[a:b]) if f in number] for a, b in sentences(t))
-                packed.append([sorted(x) for x in found if x])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label").cast(pa.int64()), pa.array(packed, pa.list_(pa.list_(pa.int32())))], ["y", "bags"])
-
-    rows = [(r.y, r.bags) for r in sample.select("id", "text", "label").mapInArrow(
-        bags, "y long, bags array<array<int>>").collect()]
-    weights, bias, leak = fit_bags(rows, len(names))
+                found = [sorted(number[f] for f in features(t[a:b]) if f in number) for a, b in sentences(t)]
+                sizes.append(np.array([len(x) for x in found if x], np.int32).tobytes())
+                flat.append(np.array([f for x in found for f in x], np.int16 if FEATURES < 1 << 15 else np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), batch.column("label").cast(pa.int64()),
+                                              pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())], ["id", "y", "sizes", "flat"])
+
+    # packed: two bytes a feature of the sample's documents reach the driver
+    rows = sample.select("id", "text", "label").mapInArrow(bags, "id long, y long, sizes binary, flat binary").collect()
+    rows.sort(key=lambda r: r.id)
+    sizes = [np.frombuffer(r.sizes, np.int32) for r in rows]
+    flat = np.frombuffer(b"".join([r.flat for r in rows]), np.int16 if FEATURES < 1 << 15 else np.int32).astype(np.int64)
+    weights, bias, leak = _fit(np.array([r.y for r in rows], float), np.repeat(np.arange(len(rows)), [len(s) for s in sizes]),
+                               np.concatenate(sizes).astype(np.int64), flat, len(names))
+    del rows, sizes, flat
     return Model({f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-3}, bias, leak)
 
 
