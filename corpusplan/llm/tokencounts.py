@@ -14,6 +14,7 @@ budget, or whether a text fits are then looked up in the stored counts without e
 import re
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +25,36 @@ from corpusplan.llm.common import kept_by_worker, store_of, texts_of, with_colum
 SPACE = "▁"  # what the vocabulary writes for a blank, and puts before every text
 CACHE_WORDS = 1 << 19
 CACHE_PAIRS = 1 << 19
+CACHE_MOVES = 1 << 17
 LONG_WORD = 64  # longer words are counted each time
 _SLICE = 1 << 20  # characters cut into words at a time
 _TOGETHER = 1 << 22  # characters whose new words are worked out together
-_LETTER = re.compile(r"[^\W\d_]")
+_MANY = 1 << 20  # words held at a time, unless a slice has more
 
 
-def _kind(letter: str) -> str:
-    return SPACE if letter == SPACE else "letter" if _LETTER.match(letter) else "other"
+def _kin(pieces) -> list[str]:
+    """The letters that pieces hold side by side, directly or through others, blanks aside; the largest set first."""
+    kin: dict[str, list[str]] = {}
+    for a, b in {pair for p in pieces for pair in zip(p, p[1:]) if SPACE not in pair}:
+        more, less = sorted((kin.setdefault(a, [a]), kin.setdefault(b, [b])), key=len, reverse=True)
+        if more is not less:
+            more += less
+            kin.update(dict.fromkeys(less, more))
+    return sorted({"".join(sorted(k)) for k in kin.values()}, key=lambda k: (-len(k), k))
+
+
+class _Place(dict):
+    """A place in the automaton of the pieces: the next place by letter, and the pieces that end here, the longest first."""
+
+    __slots__ = ("text", "ends", "move")
+
+    def __init__(self, text: str, ends: list[tuple[int, int, int]], move):
+        super().__init__()
+        self.text, self.ends, self.move = text, ends, move
+
+    def __missing__(self, letter: str) -> "_Place":
+        found = self[letter] = self.move(self.text + letter)
+        return found
 
 
 class Vocabulary:
@@ -39,16 +62,18 @@ class Vocabulary:
 
     def __init__(self, scores: dict[str, float], cache_words: int = CACHE_WORDS):
         self.scores = scores
+        self.pieces = list(scores)
         self.ids = {p: i for i, p in enumerate(scores)}
-        self.tails = {p[i:] for p in scores for i in range(len(p))}
-        # texts are cut where no piece goes on: before blanks, and between letters and what is none
-        kinds = {(_kind(p[i - 1]), _kind(p[i])) for p in scores for i in range(1, len(p))}
-        inner = kinds & {("letter", SPACE), ("other", SPACE)}
-        apart = not kinds & {("letter", "other"), ("other", "letter")}
-        self.cut = re.compile("(?s).+" if inner else rf"{SPACE}*(?:[^\W\d_]+|(?:(?!{SPACE})[\W\d_])+)|{SPACE}+" if apart
-                              else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.heads = {p[:i] for p in scores for i in range(1, len(p) + 1)}
+        # texts are cut where no piece goes on: before blanks, and between letters that no piece holds side by side
+        inner = any(SPACE in p.lstrip(SPACE) for p in scores)
+        sets = [f"[{re.escape(k)}]+" for k in _kin(scores)]
+        self.cut = re.compile("(?s).+" if inner else f"{SPACE}*(?:{'|'.join([*sets, f'[^{SPACE}]'])})|{SPACE}+")
         self.border = None if inner else re.compile(f"[^{SPACE}](?={SPACE})")
         self.pairs: dict[int, bool] = {}
+        self.places: dict[str, _Place] = {}
+        self.moves = 0
+        self.start = _Place("", [], self.move)
         # two generations: what is still met when the younger one is full moves on, the rest is forgotten
         self.young: dict[str, array] = {}
         self.old: dict[str, array] = {}
@@ -68,47 +93,60 @@ class Vocabulary:
                 ranks[at] = self.scores.get(symbols[at] + symbols[at + 1])
         return symbols
 
-    def follows(self, key: int, before: str, token: str) -> bool:
-        """Whether the two, encoded together, stay apart and whole; nothing before: whether the token stays whole."""
+    def token(self, number: int) -> str:
+        return self.pieces[number - 1] if number <= len(self.pieces) else chr(number - len(self.pieces) - 1)
+
+    def follows(self, key: int) -> bool:
+        """Whether the two tokens, encoded together, stay apart and whole; nothing before: whether the token stays whole."""
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        known = self.pairs[key] = self.merged([*before, *token]) == ([before, token] if before else [token])
+        apart = [self.token(n) for n in (key >> 21, key & 0x1FFFFF) if n]
+        known = self.pairs[key] = self.merged([*"".join(apart)]) == apart
         return known
 
+    def move(self, text: str) -> _Place:
+        """The place after these letters: that of their longest end that begins a piece, or else of the last letter."""
+        if self.moves >= CACHE_MOVES:
+            for place in (self.start, *self.places.values()):
+                place.clear()
+            self.places, self.moves = {}, 0
+        self.moves += 1
+        while len(text) > 1 and text not in self.heads:
+            text = text[1:]
+        if (place := self.places.get(text)) is None:
+            ends = [(len(text) - i, self.ids[text[i:]] + 1, 1) for i in range(len(text)) if text[i:] in self.ids]
+            if text[-1] not in self.ids:
+                ends.append((1, len(self.pieces) + 1 + ord(text[-1]), len(text[-1].encode())))
+            place = self.places[text] = _Place(text, ends, self.move)
+        return place
+
     def counted(self, words: list[str]) -> dict[str, array]:
         """The number of tokens of each prefix (not the empty one) of each word.
 
         In sorted order a word shares the table of the one before it as far as their letters are equal.
         """
-        ids, tails, pairs, follows, unknown = self.ids, self.tails, self.pairs, self.follows, len(self.ids) + 1
-        # of each prefix: its tokens, its last token and that one's number
-        out, count, last, number, before = {}, [0], [""], [0], ""
+        known, follows = self.pairs.get, self.follows
+        # of each prefix: its tokens, the number of its last token and its place
+        out, count, number, places, before = {}, [0], [0], [self.start], ""
         for word in sorted(words):
             same = 0
             for a, b in zip(word, before):
                 if a != b:
                     break
                 same += 1
-            del count[same + 1:], last[same + 1:], number[same + 1:]
-            for i in range(same + 1, len(word) + 1):
-                start = i - 1
-                token = word[start:i]
-                ends = [(start, token, ids.get(token, -1) + 1 or unknown + ord(token))]
-                while start and token in tails:
-                    start -= 1
-                    token = word[start:i]
-                    if token in ids:
-                        ends.append((start, token, ids[token] + 1))
-                for start, token, own in reversed(ends):
-                    key = number[start] << 21 | own
-                    known = pairs.get(key)
-                    if follows(key, last[start], token) if known is None else known:
+            del count[same + 1:], number[same + 1:], places[same + 1:]
+            place = places[-1]
+            for letter in word[same:]:
+                place = place[letter]
+                for length, own, tokens in place.ends:
+                    key = number[-length] << 21 | own
+                    if (apart := known(key)) or apart is None and follows(key):
                         break
                 else:
-                    raise AssertionError(f"no last token: {word[:i]!r}")
-                last.append(token)
+                    raise AssertionError(f"no last token: {word[:len(count)]!r}")
+                count.append(count[-length] + tokens)
                 number.append(own)
-                count.append(count[start] + (1 if own < unknown else len(token.encode())))
+                places.append(place)
             out[word] = array("i", count[1:])
             before = word
         return out
@@ -141,10 +179,11 @@ class Vocabulary:
         out, words, owners, size = [0] * len(texts), [], [], 0
 
         def settle():
-            counts, at = [f[-1] for f in self.look_up(words)], 0
+            new = [*dict.fromkeys(words)]
+            known = {w: f[-1] for w, f in zip(new, self.look_up(new))}
+            counts = map(known.__getitem__, words)
             for owner, n in owners:
-                out[owner] += sum(counts[at:at + n])
-                at += n
+                out[owner] += sum(islice(counts, n))
             del words[:], owners[:]
 
         for owner, text in enumerate(texts):
@@ -153,7 +192,7 @@ class Vocabulary:
                 words += pieces
                 owners.append((owner, len(pieces)))
                 size += len(part)
-                if size >= _TOGETHER:
+                if size >= _TOGETHER or len(words) >= _MANY:
                     settle()
                     size = 0
         settle()

@@ -51,6 +51,33 @@ def test_a_vocabulary_whose_pieces_cross_blanks():
             assert v.prefixes(t)[i] == len(v.merged(list("▁" + t[:i].replace(" ", "▁"))))
 
 
+def test_a_stem_is_worked_out_once_whatever_stands_around_it(library):
+    v = tokencounts.load_vocabulary(PATH)
+    stems, ends = ["house", "Garten", "дом", "cheval", "Éire", "x"], [".", ",", "!!", ".\nThe", "2", "7\n", "語", "😀", "\u0301"]
+    some = [f"a {s}{e} {e}{s}" for s in stems for e in ends]
+    assert v.totals(some) == [len(library.encode(t)) for t in some]
+    assert len(v.young) < len(stems) * len(ends)  # words cut at blanks alone are twice as many
+
+
+def test_joined_pieces_equal_the_library(library, vocabulary):
+    rng = random.Random(5)
+    pieces = [p.replace("▁", " ") for p in vocabulary.scores]
+    some = ["".join(rng.choice(pieces[:1 << rng.randrange(6, 16)]) + rng.choice(["", "", "\u0301", "\t", "٣", "ß\x00", "😀"])
+                    for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    assert vocabulary.totals(some) == [len(library.encode(t)) for t in some]
+    for t in some[:150]:
+        assert vocabulary.prefixes(t).tolist() == [len(library.encode(t[:i])) for i in range(len(t) + 1)]
+
+
+def test_forgotten_places_and_many_words_change_nothing(library, monkeypatch):
+    monkeypatch.setattr(tokencounts, "CACHE_MOVES", 7)
+    monkeypatch.setattr(tokencounts, "_MANY", 3)
+    v = tokencounts.load_vocabulary(PATH)
+    some = [t for t in ODD if t] + texts(200, 90)
+    assert v.totals(some) == [len(library.encode(t)) for t in some]
+    assert len(v.places) <= 7
+
+
 def test_counts_budgets_and_truncation(spark, library):
     rows = [(i, t, "x") for i, t in enumerate(ODD + texts(30))] + [(0, None, "y"), (None, "ab", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
